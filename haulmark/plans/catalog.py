@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import load_queries  # noqa: F401
+from . import function_queries, load_queries, sql_queries, state_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
