@@ -53,7 +53,7 @@ def null_string(df: DataFrame, marker: str, nullable: Sequence[str]) -> DataFram
 def repair_utf8(col: Column | str) -> Column:
     """Bytes that are not valid UTF-8 become a space; valid text is untouched."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(F.is_valid_utf8(c), c).otherwise(F.translate(F.make_valid_utf8(c), "�", " "))
+    return F.when(F.is_valid_utf8(c), c).otherwise(F.translate(F.make_valid_utf8(c), "\N{REPLACEMENT CHARACTER}", " "))
 
 
 def typed(col: Column, column: TargetColumn) -> Column:

@@ -109,9 +109,9 @@ def scan_table(spark, sf):
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query("scan_where", "select o_orderkey, o_orderpriority from orders where o_orderstatus = 'F' and o_custkey > 700")
+@query("scan_where", "select o_orderkey, o_orderpriority from orders where o_orderstatus = 'F' and o_custkey > 70")
 def scan_where(spark, sf):
-    return table(spark, sf, "orders").where("o_orderstatus = 'F' and o_custkey > 700").select("o_orderkey", "o_orderpriority")
+    return table(spark, sf, "orders").where("o_orderstatus = 'F' and o_custkey > 70").select("o_orderkey", "o_orderpriority")
 
 
 _SPLIT_SQL = "select c_mktsegment, count(*) as n, cast(sum(c_custkey) as bigint) as keys from customer group by 1"

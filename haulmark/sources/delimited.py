@@ -133,9 +133,11 @@ def scan_delimited(spark: SparkSession, path: str | Sequence[str], columns: Sequ
                  columnNameOfCorruptRecord="_bad", columnPruning=False, maxCharsPerColumn=-1)
         .csv(path if isinstance(path, str) else list(path))
     )
+    # Spark refuses a query that reads nothing but the corrupt-record column, so the flag names a field too.
+    named = F.coalesce(F.length(columns[0]), F.lit(0)) >= 0
     out = rows.select(
         *[F.col(c) for c in columns], F.col("_metadata.file_path").alias(SOURCE),
-        F.col("_bad").alias(LINE), F.col("_bad").isNull().alias(ARITY_OK),
+        F.col("_bad").alias(LINE), (F.col("_bad").isNull() & named).alias(ARITY_OK),
     )
     return out.withColumn(BLOCK, F.lit(0).cast("bigint")).withColumn(
         SEQ, F.monotonically_increasing_id()) if positions else out
