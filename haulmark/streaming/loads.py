@@ -43,8 +43,10 @@ def stream_load(spark: SparkSession, folder: str, table: str, checkpoint: str,
         if counts["rejected"] and reject_path:
             rejects.select("_reject").write.mode("overwrite").text(f"{reject_path}/batch={batch_id}")
         if batch_column:
-            valid.withColumn(batch_column, F.lit(batch_id)).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+            # A named partition is replaced on its own, whatever the session's overwrite mode.
+            valid.createOrReplaceTempView("arrived_rows")
+            batch.sparkSession.sql(
+                f"INSERT OVERWRITE TABLE {table} PARTITION (`{batch_column}` = {batch_id}) SELECT * FROM arrived_rows")
         else:
             valid.write.insertInto(table)
 
