@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import enable_checkpoints
-from ..skew import spread_join
+from ..session import pinned
+from ..skew import salted_join
 from .literals import as_column
 
 PLACEHOLDER = r"\$\{(\??)(.+?)\}"
@@ -128,12 +128,11 @@ def render_template(df: DataFrame, key: Sequence[str], col: str, variables: Data
     if len(small) <= INLINE_VARIABLES:
         return df.withColumn(col, render_with(col, {r["name"]: r["value"] for r in small}))
 
-    enable_checkpoints(df.sparkSession)
     table = variables.select("name", "value")
     for _ in range(max_rounds):
         if table.where(F.col("value").contains("${") & F.col("value").rlike(PLACEHOLDER)).isEmpty():
             break
-        table = _fill_from_table(table, ["name"], "value", table).checkpoint()
+        table = pinned(_fill_from_table(table, ["name"], "value", table), "variables")
     else:
         raise ValueError(f"variables still refer to variables after {max_rounds} rounds")
     return _fill_from_table(df, list(key), col, table)
@@ -146,7 +145,7 @@ def _fill_from_table(df: DataFrame, key: list[str], col: str, table: DataFrame)
     refs = df.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.explode(tokens).alias("_token")) \
         .withColumn("_ref", F.regexp_extract("_token", whole, 2))
     # One variable may be named by a large share of the templates: the references are salted.
-    values = spread_join(refs, table.select(F.col("name").alias("_ref"), F.col("value").alias("_value")), ["_ref"], "left")
+    values = salted_join(refs, table.select(F.col("name").alias("_ref"), F.col("value").alias("_value")), ["_ref"], "left")
     checked = F.coalesce(F.col("_value"), F.when(F.col("_token").startswith("${?"), F.lit("")), F.raise_error(
         F.concat(F.lit("unable to resolve variable "), F.col("_ref"))).cast("string"))
     maps = values.groupBy(*[f"_k_{k}" for k in key]).agg(

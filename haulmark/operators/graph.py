@@ -1,7 +1,8 @@
 """Dependency tables: ``nodes(name, status)`` and ``edges(child, parent, kind)``.
 
-The rounds of the iterative operators are set-at-a-time joins; each round is pinned with
-``checkpoint()`` in the shared folder, so lineage stays short and survives a lost executor.
+The iterative operators go round by round over the nodes that changed in the last one. What a round
+finds is written to the shared folder, so lineage stays short and survives a lost executor. A parent
+with a large share of the edges is joined apart from the others.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.literals import as_column
-from ..session import enable_checkpoints
-from ..skew import spread_join
+from ..session import pinned, scratch_path
+from ..skew import hot_keys, join_with_hot, split_hot_join
 
 # Statuses by meaning, dependency kinds, and the keys of a task entry.
 SUCCESSFUL = ("SUCCEEDED", "SKIPPED", "FAILURE_IGNORED")
@@ -51,7 +52,7 @@ def parse_dependencies(df: DataFrame, name: str, col: str) -> DataFrame:
 
 def dangling_refs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose parent is no node."""
-    return spread_join(edges.withColumnRenamed("parent", "name"), nodes.select("name").distinct(), ["name"], "left_anti") \
+    return split_hot_join(edges.withColumnRenamed("parent", "name"), nodes.select("name").distinct(), ["name"], "left_anti") \
         .select("child", F.col("name").alias("parent"), "kind")
 
 
@@ -63,37 +64,37 @@ def leaf_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def children(nodes: DataFrame, edges: DataFrame, kind: str = "all") -> DataFrame:
     """``name, child, kind`` for every node and the nodes that depend on it."""
     wanted = edges if kind == "all" else edges.where(F.col("kind") == kind)
-    return spread_join(wanted.withColumnRenamed("parent", "name"), nodes.select("name").distinct(), ["name"]) \
+    return split_hot_join(wanted.withColumnRenamed("parent", "name"), nodes.select("name").distinct(), ["name"]) \
         .select("name", "child", "kind")
 
 
 def topo_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``name, level``: level 1 has no parents, others come one round after their last parent.
 
-    A node on or behind a cycle has no level (NULL). Edges to unknown nodes count as unmet. Every
-    round touches the nodes just placed and the edges that leave them, so the rounds together read
-    each edge a bounded number of times and there are as many rounds as levels.
+    A node on or behind a cycle has no level (NULL). Edges to unknown nodes count as unmet. There are
+    as many rounds as levels; each joins the nodes just placed to the edges, which are written and
+    checked for hot parents once, and keeps only the nodes still waiting.
     """
     spark = nodes.sparkSession
-    enable_checkpoints(spark)
-    links = edges.select("child", "parent").distinct().checkpoint()
+    links = pinned(edges.select("child", "parent").distinct(), "links")
+    hot = hot_keys(links, ["parent"])
     waits = links.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("waits"))
-    state = nodes.select("name").distinct().join(waits, "name", "left").select(
-        "name", F.coalesce("waits", F.lit(0)).alias("waits"),
-        F.when(F.coalesce("waits", F.lit(0)) == 0, F.lit(1)).alias("level")).checkpoint()
+    start = pinned(nodes.select("name").distinct().join(waits, "name", "left").select(
+        "name", F.coalesce("waits", F.lit(0)).alias("waits")), "waiting")
+    levels = scratch_path(spark, "levels")
+    placed = pinned(start.where("waits = 0").select("name"), "levels", f"{levels}/level=1")
+    waiting = start.where("waits > 0")
     level = 1
-    while max_rounds is None or level < max_rounds:
-        placed = state.where(F.col("level") == level).select(F.col("name").alias("parent"))
-        met = spread_join(links, placed, ["parent"]).groupBy(F.col("child").alias("name")).agg(
-            F.count(F.lit(1)).alias("met"))
-        left = F.col("waits") - F.coalesce(F.col("met"), F.lit(0))
-        state = state.join(met, "name", "left").select(
-            "name", F.when(F.col("level").isNull(), left).otherwise(F.col("waits")).alias("waits"),
-            F.when(F.col("level").isNull() & (left == 0), F.lit(level + 1)).otherwise(F.col("level")).alias("level")).checkpoint()
+    while (max_rounds is None or level < max_rounds) and not placed.isEmpty():
+        met = join_with_hot(links, placed.withColumnRenamed("name", "parent"), ["parent"], hot).groupBy(
+            F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("met"))
+        left = pinned(waiting.join(met, "name", "left").select(
+            "name", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), "waiting")
         level += 1
-        if state.where(F.col("level") == level).isEmpty():
-            break
-    return state.select("name", "level")
+        placed = pinned(left.where("waits = 0").select("name"), "levels", f"{levels}/level={level}")
+        waiting = left.where("waits > 0")
+    done = spark.read.schema("name string, level int").parquet(levels)
+    return done.unionByName(waiting.select("name", F.lit(None).cast("int").alias("level")))
 
 
 def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def is_met(kind: Column, parent_status: Column) -> Column:
 def runnable_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """READY nodes whose dependencies are all met."""
     parents = nodes.select(F.col("name").alias("parent"), F.col("status").alias("_status"))
-    unmet = spread_join(edges, parents, ["parent"], "left").where(
+    unmet = split_hot_join(edges, parents, ["parent"], "left").where(
         ~F.coalesce(is_met(F.col("kind"), F.col("_status")), F.lit(False)))
     blocked = unmet.select(F.col("child").alias("name")).distinct()
     return nodes.where(F.col("status") == "READY").join(blocked, "name", "left_anti").select("name")
@@ -126,24 +127,32 @@ def propagate_status(nodes: DataFrame, edges: DataFrame, max_rounds: int | None
     deactivated node deactivates all its children. Only nodes that are not finished change. Each round
     follows just the nodes deactivated in the one before.
     """
-    enable_checkpoints(nodes.sparkSession)
-    links = edges.select("child", "parent", "kind").distinct().checkpoint()
-    state = nodes.select("name", "status", F.lit(0).alias("round")).checkpoint()
-    round_no = 0
+    spark = nodes.sparkSession
+    links = pinned(edges.select("child", "parent", "kind").distinct(), "links")
+    hot = hot_keys(links, ["parent"])
+    state = pinned(nodes.select("name", "status"), "state")
+    open_nodes = state.where(~F.col("status").isin(*TERMINAL)).select("name")
+    fresh = state.where(F.col("status").isin("DEACTIVATE", "FAILED_RECOVERED", *SUCCESSFUL))
+    found = scratch_path(spark, "deactivated")
+    dead, round_no = None, 0
     while max_rounds is None or round_no < max_rounds:
-        fresh = state.where(F.col("round") == round_no).select(F.col("name").alias("parent"), F.col("status").alias("_ps"))
+        parents = fresh.select(F.col("name").alias("parent"), F.col("status").alias("_ps"))
         kills = ((F.col("_ps") == "DEACTIVATE") | ((F.col("_ps") == "FAILED_RECOVERED") & (F.col("kind") == "success"))
                  | (F.col("_ps").isin(*SUCCESSFUL) & (F.col("kind") == "fail")))
-        hit = spread_join(links, fresh, ["parent"]).where(kills).select(
-            F.col("child").alias("name")).distinct().withColumn("_hit", F.lit(True))
+        hit = join_with_hot(links, parents, ["parent"], hot).where(kills).select(F.col("child").alias("name")).distinct()
+        dies = hit.join(open_nodes, "name", "left_semi")
+        if dead is not None:
+            dies = dies.join(dead, "name", "left_anti")
         round_no += 1
-        dies = F.col("_hit").isNotNull() & ~F.col("status").isin(*TERMINAL)
-        state = state.join(hit, "name", "left").select(
-            "name", F.when(dies, F.lit("DEACTIVATE")).otherwise(F.col("status")).alias("status"),
-            F.when(dies, F.lit(round_no)).otherwise(F.col("round")).alias("round")).checkpoint()
-        if state.where(F.col("round") == round_no).isEmpty():
+        fresh = pinned(dies, "deactivated", f"{found}/round={round_no}").withColumn("status", F.lit("DEACTIVATE"))
+        if fresh.isEmpty():
             break
-    return state.select("name", "status")
+        dead = spark.read.schema("name string, round int").parquet(found).select("name")
+    if dead is None:
+        return state
+    gone = dead.withColumn("_gone", F.lit(True))
+    return state.join(gone, "name", "left").select(
+        "name", F.when(F.col("_gone"), F.lit("DEACTIVATE")).otherwise(F.col("status")).alias("status"))
 
 
 def status_rollup(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:

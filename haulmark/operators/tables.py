@@ -106,6 +106,10 @@ def rows_after_update(df: DataFrame, assignments: dict[str, str], predicate: str
         for c in df.columns])
 
 
+def _literal(value) -> str:
+    return "null" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _rewrite(spark: SparkSession, table: str, rows: DataFrame, affected: DataFrame) -> None:
     """Write the new rows beside the table and swap. A partitioned table rewrites only the partitions
     that hold an affected row."""
@@ -116,14 +120,17 @@ def _rewrite(spark: SparkSession, table: str, rows: DataFrame, affected: DataFra
         rows.write.insertInto(staged)
         swap_in(spark, table, staged)
         return
-    touched = affected.select(*parts).distinct()
+    # One row per partition of the table, which the catalog holds on the driver anyway: the broadcast
+    # is bounded by that, and it prunes the partitions that are read.
+    touched = spark.createDataFrame(affected.select(*parts).distinct().collect(), affected.select(*parts).schema)
     keep = [F.col(f"r.{p}").eqNullSafe(F.col(f"t.{p}")) for p in parts]
-    rows.alias("r").join(touched.alias("t"), keep, "left_semi").write.insertInto(staged)
+    rows.alias("r").join(F.broadcast(touched.alias("t")), keep, "left_semi").write.insertInto(staged)
     # A partition that lost all its rows has nothing staged, so it is dropped by name.
-    for row in touched.collect():
-        spec = ", ".join(f"{p}='{row[p]}'" for p in parts)
-        if spark.sql(f"SHOW PARTITIONS {staged} PARTITION ({spec})").isEmpty():
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    left = spark.table(staged).select(*parts).distinct()
+    both = [F.col(f"t.{p}").eqNullSafe(F.col(f"l.{p}")) for p in parts]
+    for row in touched.alias("t").join(left.alias("l"), both, "left_anti").collect():
+        spec = ", ".join(f"`{p}` = {_literal(row[p])}" for p in parts)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
     mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the library relies on: AQE turns measured-small sides into broadcasts, splits skewed join
 # and rebalance partitions, and merges small ones. All are Spark defaults; they are stated here so
@@ -47,7 +47,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    """Point ``checkpoint()`` at the shared folder unless the cluster already did."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def pinned(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write rows to the shared folder and read them back.
+
+    Cuts the lineage of a loop as a checkpoint does, survives a lost executor, and unlike a checkpoint
+    tells the planner how large the rows are, so that only measured-small sides are broadcast.
+    """
+    spark = df.sparkSession
+    path = path or scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

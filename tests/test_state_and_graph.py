@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from haulmark.operators import graph as GR, state as ST
-from haulmark.skew import spread_join
+from haulmark import skew
 
 EDGE = "child string, parent string, kind string"
 
@@ -119,13 +119,32 @@ def test_levels_against_plain_python(spark, pairs):
     assert {int(r.name): r.level for r in out.collect()} == {n: level.get(n) for n in range(8)}
 
 
-def test_spread_join_equals_join(spark):
-    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then 0 else id end as k", "id")
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skewed_joins_equal_the_join(spark, how):
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then 0 when id % 7 = 1 then null else id end as k", "id")
     lookup = spark.range(0, 3000, 2).selectExpr("id as k", "id * 2 as v")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        assert sorted(map(repr, spread_join(rows, lookup, ["k"], how).collect())) == sorted(map(repr, rows.join(lookup, ["k"], how).collect()))
-    with pytest.raises(ValueError):
-        spread_join(rows, lookup, ["k"], "full")
+    want = sorted(map(repr, rows.join(lookup, ["k"], how).collect()))
+    assert skew.hot_keys(rows, ["k"], 100).where("k = 0").count() == 1 and skew.hot_keys(rows, ["k"], 5000) is None
+    for join in (skew.salted_join(rows, lookup, ["k"], how), skew.split_hot_join(rows, lookup, ["k"], how, floor=100),
+                 skew.split_hot_join(rows, lookup, ["k"], how)):
+        assert sorted(map(repr, join.collect())) == want
+
+
+def test_other_joins_are_refused(spark):
+    for join in (skew.salted_join, skew.split_hot_join):
+        with pytest.raises(ValueError):
+            join(spark.range(3), spark.range(3), ["id"], "full")
+
+
+def test_graph_with_a_hot_parent(spark, monkeypatch):
+    """One parent has half the edges; the results are those of the plain joins."""
+    n = nodes(spark, range(300), n0="FAILED_RECOVERED")
+    e = edges(spark, *[(i, 0, "success") for i in range(1, 200)], *[(i, i - 100, "complete") for i in range(200, 300)])
+    plain = [sorted(map(tuple, f(n, e).collect())) for f in (GR.topo_levels, GR.propagate_status, GR.runnable_nodes, GR.children, GR.dangling_refs)]
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (50,))
+    monkeypatch.setattr(skew.split_hot_join, "__defaults__", ("inner", 50))
+    split = [sorted(map(tuple, f(n, e).collect())) for f in (GR.topo_levels, GR.propagate_status, GR.runnable_nodes, GR.children, GR.dangling_refs)]
+    assert split == plain and ("0", 1) in plain[0] and ("299", "DEACTIVATE") in plain[1]
 
 
 def test_for_all_overrides(spark):
