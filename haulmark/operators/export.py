@@ -34,8 +34,8 @@ def line_of(df: DataFrame, setting: ExportSetting = ExportSetting(), columns: Se
     cells = []
     for name in columns or df.columns:
         text = as_text(df, name)
-        cells.append(F.coalesce(_quoted(text, setting) if setting.quoting else text, F.lit("")))
-    return F.array_join(F.array(*cells), setting.delimiter)
+        cells.append(_quoted(text, setting) if setting.quoting else text)
+    return F.array_join(F.array(*cells), setting.delimiter, "")
 
 
 def header_line(columns: Sequence[str], setting: ExportSetting = ExportSetting()) -> str:

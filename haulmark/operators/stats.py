@@ -30,6 +30,12 @@ def load_stats(checked: DataFrame) -> DataFrame:
     )
 
 
+def load_outcomes(checked: DataFrame, *sums: str) -> DataFrame:
+    """Rows by outcome (``loaded`` or the reject reason), with sums over the loaded rows, in one pass."""
+    return checked.groupBy(F.coalesce("_reason", F.lit("loaded")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("_reason").isNull(), F.col(c))).alias(c) for c in sums])
+
+
 def load_stats_stream(rows: DataFrame, disposition: str = "disposition") -> DataFrame:
     """Counts of a streamed load: rows marked ``loaded``, ``error_table`` or ``error_file``."""
     d = F.col(disposition)

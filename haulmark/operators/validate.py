@@ -8,6 +8,7 @@ narrow projection: no shuffle, no Python.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,26 +17,49 @@ from ..settings import REJECT_DELIMITER
 from ..sources.delimited import ARITY_OK, LINE
 
 # What a text must look like before it is cast.
-WHOLE = r"^[+-]?[0-9]+$"
-DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 FLOATING = (r"^[\x00-\x20]*[+-]?(NaN|Infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[fFdD]?"
             r"|0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+[fFdD]?)[\x00-\x20]*$")
 DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 TIME = r"^([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$"
 TIMESTAMP = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,9})?\s*$"
+WHOLE_TYPES = ("bigint", "int", "smallint", "tinyint")
+FLOATING_TYPES = ("double", "float")
+TIMESTAMP_TYPES = ("timestamp", "timestamp_ntz")
 
-GATES = {
-    "bigint": WHOLE, "int": WHOLE, "smallint": WHOLE, "tinyint": WHOLE,
-    "double": FLOATING, "float": FLOATING,
-    "date": DATE, "timestamp": TIMESTAMP, "timestamp_ntz": TIMESTAMP,
-}
 
-REASON = "_reason"
-REJECT = "_reject"
+def _digit_at_end(text: Column) -> Column:
+    return F.right(text, F.lit(1)).between("0", "9")
+
+
+def _at(text: Column, **marks: str) -> Column:
+    """Whether single characters stand at 1-based places (``p5="-"``)."""
+    return reduce(Column.__and__, [F.substring(text, int(k[1:]), 1) == v for k, v in marks.items()])
+
+
+def _gate(kind: str, text: Column) -> Column | None:
+    """Whether a text may be cast. Byte tests decide where they can; a pattern is tried only after them.
+
+    A whole or decimal number may not start or end with a blank, which is all the cast would forgive.
+    A text that ends in a digit is no special floating word. A date or timestamp of full length with
+    its separators in place leaves the cast nothing else to accept.
+    """
+    first = F.substring(text, 1, 1)
+    if kind in WHOLE_TYPES:
+        return first.between("+", "9") & _digit_at_end(text)
+    if kind.startswith("decimal"):
+        return first.between("+", "9") & F.right(text, F.lit(1)).between(".", "9")
+    if kind in FLOATING_TYPES:
+        return _digit_at_end(text) | text.rlike(FLOATING)
+    if kind == "date":
+        return ((F.length(text) == 10) & _at(text, p5="-", p8="-") & _digit_at_end(text)) | text.rlike(DATE)
+    if kind in TIMESTAMP_TYPES:
+        full = (F.length(text) == 19) & _at(text, p5="-", p8="-", p11=" ", p14=":", p17=":") & _digit_at_end(text)
+        return full | text.rlike(TIMESTAMP)
+    return None
 
 
-def _gate(kind: str) -> str | None:
-    return DECIMAL if kind.startswith("decimal") else GATES.get(kind)
+REASON = "_reason"
+REJECT = "_reject"
 
 
 def blank_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -67,17 +91,30 @@ def typed(col: Column, column: TargetColumn) -> Column:
         return F.when(text.rlike(TIME), F.array_join(parts, ":"))
     if column.width is not None:
         return F.when(F.length(text) <= column.width, text)
-    gate = _gate(kind)
+    gate = _gate(kind, text)
     if gate is None:
         return text if kind == "string" else text.try_cast(kind)
-    return F.when(text.rlike(gate), text.try_cast(kind))
+    return F.when(gate, text.try_cast(kind))
+
+
+def _apart(flag: Column) -> Column:
+    """The same flag, computed so that its projection is not fused with its neighbours.
+
+    Casting dozens of columns in one fused stage makes a method longer than the JVM compiles (8000
+    bytes of code), which then runs interpreted and several times slower. A projection that holds a
+    lambda is generated on its own, cut into methods that are compiled, for any number of columns.
+    """
+    return F.exists(F.array(flag), lambda x: x)
 
 
 def cast_typed(df: DataFrame, columns: Sequence[TargetColumn]) -> DataFrame:
     """Typed columns plus ``_failed``: names of the cells whose text the type does not accept."""
-    values = df.select("*", *[typed(F.col(c.name), c).alias(f"_v_{c.name}") for c in columns])
+    head = columns[0].name
+    values = df.select("*", _apart(F.coalesce(F.col(head) != "", F.lit(False))).alias("_head"),
+                       *[typed(F.col(c.name), c).alias(f"_v_{c.name}") for c in columns])
+    given = [F.col("_head"), *[F.col(c.name) != "" for c in columns[1:]]]
     failed = F.array_compact(F.array(*[
-        F.when((F.col(c.name) != "") & F.col(f"_v_{c.name}").isNull(), F.lit(c.name)) for c in columns]))
+        F.when(g & F.col(f"_v_{c.name}").isNull(), F.lit(c.name)) for g, c in zip(given, columns)]))
     others = [c for c in df.columns if c not in set(names(columns))]
     return values.select(*[F.col(f"_v_{c.name}").alias(c.name) for c in columns], *others, failed.alias("_failed"))
 
@@ -107,7 +144,8 @@ def check_rows(fields: DataFrame, columns: Sequence[TargetColumn], marker: str |
         raw = null_string(fields, marker, [c.name for c in columns if c.nullable])
     if ARITY_OK not in raw.columns:
         raw = raw.withColumn(ARITY_OK, F.lit(True))
-    values = raw.select("*", *[typed(F.col(c.name), c).alias(f"_v_{c.name}") for c in columns])
+    values = raw.select(*[_apart(F.col(c)).alias(c) if c == ARITY_OK else F.col(c) for c in raw.columns],
+                        *[typed(F.col(c.name), c).alias(f"_v_{c.name}") for c in columns])
 
     def bad(c: TargetColumn) -> Column:
         return (F.col(c.name) != "") & F.col(f"_v_{c.name}").isNull()
@@ -116,11 +154,12 @@ def check_rows(fields: DataFrame, columns: Sequence[TargetColumn], marker: str |
     tests += [F.when(bad(c), F.lit(f"cast:{c.name}")) for c in columns if c.width is None and c.type != "string"]
     tests += [F.when(bad(c), F.lit(f"width:{c.name}")) for c in columns if c.width is not None]
     tests += [F.when(F.col(f"_v_{c.name}").isNull(), F.lit(f"null:{c.name}")) for c in columns if not c.nullable]
-    joined = F.array_join(F.array(*[F.coalesce(F.col(c.name), F.lit("")) for c in columns]), REJECT_DELIMITER)
+    joined = F.array_join(F.array(*names(columns)), REJECT_DELIMITER, "")
     line = F.col(LINE) if LINE in raw.columns else F.lit(None).cast("string")
     # A filter on the reason would be pushed below the projections and repeat every cast there. The
     # last branch never holds, but as it names the task the optimizer leaves the filter above.
-    reasoned = values.withColumn(REASON, F.coalesce(*tests, F.when(F.spark_partition_id() < 0, F.lit(""))))
+    reasoned = values.withColumn(REASON, F.coalesce(
+        F.when(~_apart(F.col(ARITY_OK)), F.lit("arity")), *tests[1:], F.when(F.spark_partition_id() < 0, F.lit(""))))
     others = [c for c in fields.columns if c not in own and c not in (LINE, ARITY_OK)]
     return reasoned.select(
         *[F.col(f"_v_{c.name}").alias(c.name) for c in columns], *others, REASON,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import export as X, load as L, stats as S, tables as T, validate as V
 from ..schema import names, target
 from ..session import scratch_path
-from ..settings import ExportSetting, LoadSetting
+from ..settings import REJECT_DELIMITER, ExportSetting, LoadSetting
 from ..sources import delimited as D, files as FS, tables as ST
 from .inputs import (BAD_KEY, BLANK_QUANTITY, LINEITEM, LINEITEM_NAMES, ORDERS, REASONED_SQL, SHORT_LINE,
                      WIDE_FLAG, lineitem_export, lineitem_lines, lineitem_text, orders_export)
@@ -330,12 +330,28 @@ def arity_check(spark, sf):
     cast(sum(case when reason is null and not ({BLANK_QUANTITY}) then cast(l_quantity as decimal(12,2)) end) as double) as quantity
   from ({REASONED_SQL}) group by 1""")
 def split_rejects(spark, sf):
-    valid, rejects = V.split_rejects(_checked(spark, sf), LINEITEM)
-    loaded = valid.agg(F.lit("loaded").alias("outcome"), F.count(F.lit(1)).alias("n"),
-                       F.sum("l_quantity").cast("double").alias("quantity"))
-    turned = rejects.groupBy(F.col("_reason").alias("outcome")).agg(
-        F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("quantity"))
-    return loaded.unionByName(turned)
+    counted = S.load_outcomes(_checked(spark, sf), "l_quantity")
+    return counted.select("outcome", "n", F.col("l_quantity").cast("double").alias("quantity"))
+
+
+@query("valid_rows", f"""
+  select l_orderkey, l_partkey, l_linenumber, case when {BLANK_QUANTITY} then null else l_quantity end as l_quantity, l_returnflag,
+    cast(cast(l_shipdate as date) as varchar) as l_shipdate from ({REASONED_SQL}) where reason is null""")
+def valid_rows(spark, sf):
+    valid, _ = V.split_rejects(_checked(spark, sf), LINEITEM)
+    return valid.select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"),
+                        "l_returnflag", F.col("l_shipdate").cast("string").alias("l_shipdate"))
+
+
+@query("rejected_rows", f"""
+  select reason, concat_ws('|', concat(cast(l_orderkey as varchar), case when {BAD_KEY} then 'x' else '' end), l_partkey, l_suppkey, l_linenumber,
+    case when {BLANK_QUANTITY} then '' else cast(cast(l_quantity as decimal(12,2)) as varchar) end,
+    cast(l_extendedprice as decimal(12,2)), cast(l_discount as decimal(4,2)), cast(l_tax as decimal(4,2)),
+    concat(l_returnflag, case when {WIDE_FLAG} then '+' else '' end), l_linestatus, case when reason <> 'arity' then cast(l_shipdate as date) end) as line
+  from ({REASONED_SQL}) where reason is not null""")
+def rejected_rows(spark, sf):
+    _, rejects = V.split_rejects(_checked(spark, sf), LINEITEM)
+    return rejects.select(F.col("_reason").alias("reason"), F.translate("_reject", REJECT_DELIMITER, "|").alias("line"))
 
 
 @query("write_rejects", f"""

@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # What the library relies on: AQE turns measured-small sides into broadcasts, splits skewed join
-# and rebalance partitions, and merges small ones. All are Spark defaults; they are stated here so
-# that a session built by this package has them whatever the site defaults say.
+# and rebalance partitions, and merges small ones. These are Spark defaults; they are stated here so
+# that a session built by this package has them whatever the site defaults say. The method limit is
+# the value Spark's documentation gives for HotSpot, which does not compile longer methods: wide
+# projections then run as separate, compiled pieces.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -69,16 +69,16 @@ def test_arity_and_blank_lines(spark):
 
 
 @pytest.mark.parametrize("kind,good,bad", [
-    ("int", ["12", "+12", "-2147483648", "007"], [" 12", "12 ", "1.0", "2147483648", "1e3", "0x1"]),
+    ("int", ["12", "+12", "-2147483648", "007"], [" 12", "12 ", "1.0", "2147483648", "1e3", "0x1", "\t1", "1\u0001", "--1", "+", "1,2", "/1"]),
     ("tinyint", ["127", "-128"], ["128", "a"]),
     ("smallint", ["32767"], ["32768"]),
     ("bigint", ["9223372036854775807"], ["9223372036854775808"]),
-    ("decimal(6,2)", ["8723.38", "1e2", ".5", "5.", "1.005"], ["12345.6", " 1", "1,5", "NaN"]),
-    ("double", ["1.0d", " 1.5 ", "NaN", "-Infinity", "1e400", ".5f", "0x1p3"], ["inf", "nan", "1,5", "abc", "1.0x"]),
+    ("decimal(6,2)", ["8723.38", "1e2", ".5", "5.", "1.005"], ["12345.6", " 1", "1 ", "1,5", "NaN", ".", "1e", "--1", "1/2", "/"]),
+    ("double", ["1.0d", " 1.5 ", "NaN", "-Infinity", "1e400", ".5f", "0x1p3"], ["inf", "nan", "1,5", "abc", "1.0x", "Infinity1", "-inf", "1 2"]),
     ("float", ["1.5f", "3"], ["x"]),
-    ("date", ["1945-05-09", "1945-5-9"], ["1945/05/09", "45-05-09", "1945-13-01", "1945-05-09 00:00:00"]),
+    ("date", ["1945-05-09", "1945-5-9"], ["1945/05/09", "45-05-09", "1945-13-01", "1945-05-09 00:00:00", "1945-5-9 1", "1945-05- 9", "1945-05-9 ", "1945-05", "1945", "1945-05-T1", "+945-05-09", "19450-05-9", "1945-5-9T1"]),
     ("time", ["12:30:00", "1:2:3"], ["24:00:00", "12:60:00", "12:30"]),
-    ("timestamp_ntz", ["1945-05-09 12:30:00", "1945-05-09 12:30:00.123456", "1945-5-9 1:2:3"], ["1945-05-09", "1945-05-09T12:30:00", "x"]),
+    ("timestamp_ntz", ["1945-05-09 12:30:00", "1945-05-09 12:30:00.123456", "1945-5-9 1:2:3"], ["1945-05-09", "1945-05-09T12:30:00", "x", "1945-05-09 12:30", "1945-05-09 12:30:0Z", "1945-05-09 12:61:00", "1945-05-09 12:30:00Z", "1945-05-09 12:30:00+01"]),
     ("boolean", ["true", "TRUE", "yes", "anything"], []),
     ("varchar(3)", ["abc"], ["abcd"]),
     ("string", ["anything at all"], []),
