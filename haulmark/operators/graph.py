@@ -79,22 +79,24 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = Non
     links = pinned(edges.select("child", "parent").distinct(), "links")
     hot = hot_keys(links, ["parent"])
     waits = links.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("waits"))
-    start = pinned(nodes.select("name").distinct().join(waits, "name", "left").select(
-        "name", F.coalesce("waits", F.lit(0)).alias("waits")), "waiting")
-    levels = scratch_path(spark, "levels")
-    placed = pinned(start.where("waits = 0").select("name"), "levels", f"{levels}/level=1")
-    waiting = start.where("waits > 0")
+    found = scratch_path(spark, "levels")
+
+    def keep(round_no: int, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Write the nodes of a round in one go, apart by whether they are placed."""
+        split = pinned(state.withColumn("placed", F.col("waits") == 0), "levels", f"{found}/level={round_no}", ["placed"])
+        return split.where("placed").select("name"), split.where("not placed").select("name", "waits")
+
     level = 1
+    placed, waiting = keep(level, nodes.select("name").distinct().join(waits, "name", "left").select(
+        "name", F.coalesce("waits", F.lit(0)).alias("waits")))
     while (max_rounds is None or level < max_rounds) and not placed.isEmpty():
         met = join_with_hot(links, placed.withColumnRenamed("name", "parent"), ["parent"], hot).groupBy(
             F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("met"))
-        left = pinned(waiting.join(met, "name", "left").select(
-            "name", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), "waiting")
         level += 1
-        placed = pinned(left.where("waits = 0").select("name"), "levels", f"{levels}/level={level}")
-        waiting = left.where("waits > 0")
-    done = spark.read.schema("name string, level int").parquet(levels)
-    return done.unionByName(waiting.select("name", F.lit(None).cast("int").alias("level")))
+        placed, waiting = keep(level, waiting.join(met, "name", "left").select(
+            "name", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")))
+    done = spark.read.schema("name string, waits bigint, level int, placed boolean").parquet(found).where("placed")
+    return done.select("name", "level").unionByName(waiting.select("name", F.lit(None).cast("int").alias("level")))
 
 
 def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:

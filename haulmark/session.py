@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +51,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def pinned(df: DataFrame, label: str, path: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write rows to the shared folder and read them back.
 
     Cuts the lineage of a loop as a checkpoint does, survives a lost executor, and unlike a checkpoint
@@ -58,5 +59,5 @@ def pinned(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
