@@ -13,8 +13,8 @@ from ..sources.delimited import scan_delimited
 from ..sources.files import path_stats
 from .export import write_rejects
 from .stats import auto_mode, check_error_limit, check_tolerance
-from .tables import insert_batch, truncate_table
-from .validate import REASON, check_rows, repair_utf8, split_rejects, strict_rows
+from .tables import insert_batch, truncate_else_recreate
+from .validate import REASON, REJECT, check_rows, repair_utf8, split_rejects, strict_rows
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,8 @@ def load(spark: SparkSession, path: str | Sequence[str], table: str, setting: Lo
         mode, batch_rows = auto_mode(size, mode, batch_rows, setting.bulk_threshold)
         if size == 0:
             if setting.truncate and not url:
-                truncate_table(spark, table)
+                truncate_else_recreate(spark, table)
+            _clear_rejects(spark, setting)
             return LoadResult(0, 0, 0, mode)
     checked = checked_rows(spark, path, cols, setting)
     if setting.check_first:
@@ -68,10 +69,18 @@ def load(spark: SparkSession, path: str | Sequence[str], table: str, setting: Lo
     total, rejected = counts.get["total"], counts.get["rejected"]
     if rejected and setting.reject_path:
         write_rejects(split_rejects(checked, cols)[1], setting.reject_path, overwrite=True)
+    else:
+        _clear_rejects(spark, setting)
     _gate(total, rejected, setting)
     return LoadResult(total, total - rejected, rejected, mode)
 
 
+def _clear_rejects(spark: SparkSession, setting: LoadSetting) -> None:
+    """Leave no rejects of an earlier run behind."""
+    if setting.reject_path:
+        write_rejects(spark.createDataFrame([], f"{REJECT} string"), setting.reject_path, overwrite=True)
+
+
 def _gate(total: int, rejected: int, setting: LoadSetting) -> None:
     check_error_limit(rejected, setting.error_limit)
     check_tolerance(total, rejected, setting.error_tolerance)

@@ -168,13 +168,13 @@ _sql("rollup_totals", """
 _sql("cube_totals", "select c_mktsegment, c_nationkey, count(*) as n from customer group by cube (c_mktsegment, c_nationkey)", "customer")
 
 _sql("window_functions", """
-  select o_custkey, o_orderkey, row_number() over w as nth, lag(o_orderkey) over w as before,
+  select o_custkey, o_orderkey, cast(row_number() over w as bigint) as nth, lag(o_orderkey) over w as before,
     cast(sum(cast(o_totalprice as decimal(12,2))) over (partition by o_custkey order by o_orderdate, o_orderkey
       rows between unbounded preceding and current row) as double) as running
   from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""", "orders")
 
 _sql("window_top_per_group", """
-  select * from (select o_custkey, o_orderkey, rank() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders) t
+  select * from (select o_custkey, o_orderkey, cast(rank() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as place from orders) t
   where place <= 3""", "orders")
 
 _sql("sort_limit", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50", "orders")
@@ -197,16 +197,16 @@ _sql("subquery_scalar", """
   select c_custkey, c_name from customer where c_acctbal > (select avg(cast(c_acctbal as decimal(12,2))) from customer)""", "customer")
 
 _sql("string_functions", """
-  select p_partkey, upper(p_name) as up, length(p_name) as len, substr(p_name, 1, 4) as head, replace(p_brand, '#', '-') as brand,
+  select p_partkey, upper(p_name) as up, cast(length(p_name) as bigint) as len, substr(p_name, 1, 4) as head, replace(p_brand, '#', '-') as brand,
     trim(concat('  ', p_type, ' ')) as kind, lpad(cast(p_size as varchar(10)), 5, '0') as padded, reverse(p_name) as back,
-    position('i' in p_name) as at_i from part""", "part")
+    cast(position('i' in p_name) as bigint) as at_i from part""", "part")
 
 _sql("date_functions", """
-  select o_orderkey, year(o_orderdate) as y, month(o_orderdate) as m, day(o_orderdate) as d, quarter(o_orderdate) as q,
+  select o_orderkey, cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m, cast(day(o_orderdate) as bigint) as d, cast(quarter(o_orderdate) as bigint) as q,
     cast(date_trunc('month', o_orderdate) as date) < cast(o_orderdate as date) as after_first from orders""", "orders")
 
 _sql("math_functions", """
-  select l_orderkey, l_linenumber, l_partkey, abs(l_partkey - 1000) as gap, l_partkey % 7 as rest, ceil(l_quantity / 7) as up, floor(l_quantity / 7) as down,
+  select l_orderkey, l_linenumber, l_partkey, abs(l_partkey - 1000) as gap, l_partkey % 7 as rest, cast(ceil(l_quantity / 7) as bigint) as up, cast(floor(l_quantity / 7) as bigint) as down,
     greatest(l_partkey, l_suppkey) as big, least(l_partkey, l_suppkey) as small, sqrt(l_quantity * l_quantity) as root from lineitem""", "lineitem")
 
 _sql("conditional_functions", """

@@ -162,6 +162,15 @@ def test_empty_source_is_skipped(spark, nine, tmp_path):
     assert (out.total, out.rejected, out.mode) == (0, 0, "default")
 
 
+def test_rejects_of_an_earlier_run_are_cleared(spark, nine, tmp_path):
+    setting = LoadSetting(reject_path=str(tmp_path / "rejects"), mode="auto", truncate=True)
+    for text, loaded, rejected in (("\n".join(BAD_INT), 4, 1), (BAD_INT[0], 1, 0), ("\n".join(BAD_INT), 4, 1), ("", 0, 0)):
+        (tmp_path / "in.csv").write_text(text)
+        out = L.load(spark, str(tmp_path / "in.csv"), nine, setting, NINE)
+        assert (out.loaded, out.rejected, spark.table(nine).count()) == (loaded, rejected, loaded)
+        assert spark.read.text(str(tmp_path / "rejects")).count() == rejected
+
+
 def test_glob_load(spark, nine, tmp_path):
     ids = iter([100, 101, 102, 103, 104, 105, 106, 106])
     for d in ("dir1", "dir2"):
