@@ -49,7 +49,7 @@ def load(spark: SparkSession, path: str | Sequence[str], table: str, setting: Lo
     after the write, or before it with ``check_first`` (one more narrow pass).
     """
     cols = list(columns or target_of(spark.table(table)))
-    mode, batch_rows = setting.mode, setting.batch_rows
+    mode, batch_rows = setting.mode, setting.rows_per_batch
     if mode == "auto":
         size = path_stats(spark, path).first()["bytes"]
         mode, batch_rows = auto_mode(size, mode, batch_rows, setting.bulk_threshold)
@@ -91,4 +91,4 @@ def bulk_load(spark: SparkSession, path: str | Sequence[str], table: str, settin
     """A load without a reject path: the first bad row fails the job; returns rows."""
     cols = list(columns or target_of(spark.table(table)))
     rows = strict_rows(checked_rows(spark, path, cols, setting), cols)
-    return insert_batch(rows, table, setting.batch_rows, overwrite=setting.truncate)
+    return insert_batch(rows, table, setting.rows_per_batch, overwrite=setting.truncate)

@@ -139,11 +139,10 @@ _sql("join_semi", "select o_orderkey from orders where exists (select 1 from lin
 _sql("join_anti", "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
      "orders", "lineitem")
 
-_sql("join_cross_small", """
-  select n_name, r_name, n_regionkey = r_regionkey as own from nation cross join region""", "nation", "region")
-
 _sql("join_theta", """
-  select r_name, count(*) as pairs from nation join region on n_regionkey < r_regionkey group by r_name""", "nation", "region")
+  select r_name, count(*) as orders, cast(sum(cast(o_totalprice as decimal(12,2))) as double) as price
+  from orders join (select r_name, r_regionkey * 100000 as low, (r_regionkey + 1) * 100000 as high from region) band
+    on o_totalprice >= low and o_totalprice < high group by r_name""", "orders", "region")
 
 _sql("group_count", """
   select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(12,2))) as double) as qty,

@@ -38,7 +38,7 @@ class LoadSetting:
     repair_utf8: bool = False
     truncate: bool = False
     mode: str = "default"
-    batch_rows: int = BATCH_ROWS
+    batch_rows: int | None = None
     bulk_threshold: int = BULK_THRESHOLD_BYTES
     error_tolerance: float | None = None
     error_limit: int | None = None
@@ -56,6 +56,11 @@ class LoadSetting:
         if self.multi_line and not self.quoting:
             raise ValueError("multi_line needs quoting: only a quoted field can hold a line break")
 
+    @property
+    def rows_per_batch(self) -> int:
+        """Rows a JDBC write sends at once, by mode unless given."""
+        return self.batch_rows or (BULK_BATCH_ROWS if self.mode == "bulk" else BATCH_ROWS)
+
     @property
     def skip_rows(self) -> int:
         """Rows to drop at the top of each file; ``skip_lines`` wins over ``header``."""

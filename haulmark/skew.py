@@ -24,11 +24,13 @@ def salted_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
                 salts: int = SALTS) -> DataFrame:
     """Join ``rows`` to a ``lookup`` that is unique on ``on`` and much smaller than ``rows``.
 
-    Rows of one key are spread over ``salts`` groups by a hash of the whole row and the lookup is
-    repeated per group. It reads ``rows`` once, so it suits rows that are costly to compute.
+    Rows of one key are spread over ``salts`` groups by a hash of the whole row and of the task that
+    holds it (so that copies of a row spread as well), and the lookup is repeated per group. It reads
+    ``rows`` once, so it suits rows that are costly to compute.
     """
     _check(how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)))
+    mixed = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.spark_partition_id())
+    salted = rows.withColumn("_salt", F.pmod(mixed, F.lit(salts)))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.stats import check_error_limit, check_tolerance
 from ..operators.validate import REASON, check_rows, split_rejects
 from ..schema import TargetColumn, names, target_of
-from ..sources.delimited import split_lines
+from ..sources.delimited import BLOCK, SOURCE, skip_rows, split_lines
 from ..settings import LoadSetting
 
 
@@ -26,16 +26,18 @@ def stream_load(spark: SparkSession, folder: str, table: str, checkpoint: str,
     so a crash between write and commit leaves no copy. A batch over its limits fails the stream, so
     reader and writer stop together.
     """
-    if setting.skip_rows or setting.multi_line or setting.codec:
-        raise ValueError("stream_load reads plain lines: no header, skipped lines, multi_line or codec")
+    if setting.multi_line or setting.codec:
+        raise ValueError("stream_load reads lines: no multi_line and no explicit codec")
     cols = list(columns or [c for c in target_of(spark.table(table)) if c.name != batch_column])
     reader = spark.readStream.schema("value string")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = reader.text(folder)
+    lines = reader.text(folder).select(
+        "value", F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_block_start").alias(BLOCK))
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        checked = check_rows(split_lines(batch, names(cols), setting), cols, setting.null_string)
+        rows = skip_rows(batch, setting.skip_rows).drop(SOURCE, BLOCK)
+        checked = check_rows(split_lines(rows, names(cols), setting), cols, setting.null_string)
         valid, rejects = split_rejects(checked, cols)
         counts = checked.agg(F.count(F.lit(1)).alias("total"), F.count(REASON).alias("rejected")).first()
         check_error_limit(counts["rejected"], setting.error_limit)

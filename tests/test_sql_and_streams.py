@@ -9,7 +9,7 @@ import pytest
 from haulmark.plans import sqlapi as Q
 from haulmark.operators.export import export_delimited
 from haulmark.schema import target
-from haulmark.settings import LoadSetting
+from haulmark.settings import ExportSetting, LoadSetting
 from haulmark.streaming import script_transform, stream_load
 
 
@@ -73,8 +73,8 @@ def test_stream_load_in_two_runs(spark, tmp_path):
     source, state, bad = (str(tmp_path / x) for x in ("in", "state", "bad"))
     for run in range(2):
         export_delimited(spark.sql(f"select concat(cast(id as string), case when id = 3 then 'x' else '' end) as a, 'r{run}' as b from range(5)"),
-                         f"{source}/run{run}")
-        stream_load(spark, f"{source}/*", name, state, LoadSetting(), cols, reject_path=bad, batch_column="batch").awaitTermination()
+                         f"{source}/run{run}", ExportSetting(header=True))
+        stream_load(spark, f"{source}/*", name, state, LoadSetting(header=True), cols, reject_path=bad, batch_column="batch").awaitTermination()
         assert spark.table(name).count() == 4 * (run + 1)
     assert sorted(r.value for r in spark.read.text(f"{bad}/*").collect()) == ["3x\u0001r0", "3x\u0001r1"]
 
