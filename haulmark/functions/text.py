@@ -12,9 +12,10 @@ from ..skew import salted_join
 from .literals import as_column
 
 PLACEHOLDER = r"\$\{(\??)(.+?)\}"
-# The mask, and how many variables are looked up inside an expression before the
+# The mask, the percent codes (the percent sign first), and how many variables are looked up inside an expression before the
 # table join takes over (the lookup is linear in the map).
 MASK = "*****"
+URI_CODES = {"%": "%25", " ": "%20", "?": "%3F", "#": "%23"}
 INLINE_VARIABLES = 64
 MAX_ROUNDS = 32
 
@@ -31,12 +32,17 @@ def _tabs(x: Column) -> Column:
 
 
 def normalize_uri(col: Column | str, base: str = "/") -> Column:
-    """A path without a scheme becomes an absolute ``file:`` URI under ``base``."""
+    """A path without a scheme becomes an absolute ``file:`` URI under ``base``.
+
+    Characters that would end or change the path of a URI are percent-encoded.
+    """
     c = as_column(col)
     root = base.rstrip("/")
     absolute = F.when(c.startswith("/"), c).otherwise(F.concat(F.lit(root + "/"), c))
-    return F.when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), c).otherwise(
-        F.concat(F.lit("file:"), F.regexp_replace(absolute, "/+", "/")))
+    path = F.regexp_replace(F.regexp_replace(absolute, "/+", "/"), "(.)/$", "$1")
+    for char, code in URI_CODES.items():
+        path = F.replace(path, F.lit(char), F.lit(code))
+    return F.when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), c).otherwise(F.concat(F.lit("file:"), path))
 
 
 def join_path(*cols: Column | str) -> Column:

@@ -52,8 +52,8 @@ def test_bool_words(spark):
 
 
 def test_paths(spark):
-    assert apply(spark, lambda c: FT.normalize_uri(c, "/base"), ["hdfs://n/x", "/a//b", "rel", "s3a:x"]) == [
-        "hdfs://n/x", "file:/a/b", "file:/base/rel", "s3a:x"]
+    assert apply(spark, lambda c: FT.normalize_uri(c, "/base"), ["hdfs://n/x", "/a//b/", "rel", "s3a:x", "/a b?c#d%", "/"]) == [
+        "hdfs://n/x", "file:/a/b", "file:/base/rel", "s3a:x", "file:/a%20b%3Fc%23d%25", "file:/"]
     assert apply(spark, lambda c: FT.join_path(c, F.lit("x/"), F.lit("/y")), ["a", "/a//", ""]) == ["/a/x/y", "/a/x/y", "/x/y"]
 
 
