@@ -1,6 +1,6 @@
 """All queries of the text operators."""
 
-from . import language, mixing, pii, quality, simhash, token_counts  # noqa: F401
+from . import decontaminate, language, mixing, pii, quality, simhash, token_counts  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
