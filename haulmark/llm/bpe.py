@@ -84,6 +84,10 @@ class Encoder:
         units = _STABLE.split(text) if _LOOSE.search(text) else text.split(" ")
         return self._values(self.bare, units[:1], "") + self._values(self.spaced, units[1:], " ")
 
+    def word_values(self, words: list[str]) -> list:
+        """``value`` of the ids of each word behind a space, whatever the words hold."""
+        return self._values(self.spaced, words, " ")
+
     def values(self, text: str) -> list:
         """``value`` of the ids of consecutive stretches of the text."""
         if not text:

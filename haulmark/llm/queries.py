@@ -1,6 +1,6 @@
 """All queries of the text operators."""
 
-from . import decontaminate, language, mixing, pii, quality, repeats, simhash, token_counts, token_files  # noqa: F401
+from . import decontaminate, language, lm, mixing, pii, quality, repeats, simhash, token_counts, token_files  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
