@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import tokenizer_path
@@ -33,6 +35,7 @@ SAMPLE_PER_LANGUAGE = 2_000  # expected training documents a language; the class
 ROUNDS = 3
 SMOOTHING = 0.05
 EVIDENCE = 40.0
+LEAST_SCORE = 0.5
 KNOWN_WORDS = 400_000
 UNDETERMINED = "und"
 MARK = "▁"
@@ -193,8 +196,6 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         table_now = _with_none(logs)
 
         def expect(batches, table_now=table_now):
-            import pyarrow as pa
-
             vocab, sums = Pieces.of(vocabulary), {}
             for batch in batches:
                 language = np.asarray(batch.column("language"))
@@ -272,6 +273,25 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep=("d
     return map_rows(docs.select(*keep, raw_text(text)), setup, [*zip(keep, types), ("lang_pred", "string"), ("score", "double")])
 
 
+def with_language(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE, text: str = "text") -> DataFrame:
+    """The documents whose language is told with a score of at least ``least``, with their own columns.
+
+    Only the text goes to Python. Texts without a letter go; if the model knows no language, the others stay.
+    """
+    @F.arrow_udf("boolean")
+    def told(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(model)
+        for column in columns:
+            keep = []
+            for body in column:
+                words = letter_runs((body.as_py() or b"").decode("utf-8", "replace"))
+                keep.append(bool(words) and (not model.languages or float(
+                    posterior(scorer.of(words), sum(map(len, words))).max()) >= least))
+            yield pa.array(keep)
+
+    return docs.where(told(raw_text(text)))
+
+
 FOLDS, HELD_OUT = 3, 1
 
 
