@@ -4,7 +4,8 @@ The library's pre-tokenizer starts a new piece at every single space that stands
 white space, whatever surrounds them: no alternative of its pattern crosses such a space, and one of ` ?\\p{L}+`,
 ` ?\\p{N}+`, ` ?[^\\s\\p{L}\\p{N}]+` begins there. BPE never merges across pieces. So a text may be cut at these
 spaces, and each cut ("unit") be encoded once and remembered, without changing any id. Special strings are matched by the
-library before all this, so texts are first cut at them. Files with another pre-tokenizer, a normaliser, or special
+library before all this, so texts are first cut at them. A new unit of plain Latin letters, digits and marks is cut on into the
+pre-tokenizer's pieces here, and only pieces not met before go to the library's model; any other unit goes whole. Files with another pre-tokenizer, a normaliser, or special
 tokens that swallow white space are encoded whole, always.
 """
 
@@ -17,8 +18,13 @@ import re
 from tokenizers import Tokenizer
 
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE = re.compile(r"^ | $| \s|\s ")
-UNITS = 400_000
+# The pre-tokenizer's pattern over units of these characters, whose classes no Unicode version changes.
+_SIMPLE = re.compile(r"[\n!-~À-ÖØ-öø-ſ]+")
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ſ0-9]+|\n")
+# The model reads bytes as printable characters: those that are printable as themselves, the others from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+UNITS = 700_000
 LONG_UNIT = 64
 
 
@@ -34,13 +40,14 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """``ids`` of texts, and the same as packed bytes; remembers up to ``UNITS`` units."""
+    """``value`` of the ids of texts (their number, or packed bytes); remembers up to ``UNITS`` units, and as many pieces."""
 
     _made: dict[tuple, "Encoder"] = {}
 
     def __init__(self, path: str, value=len):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
@@ -51,7 +58,8 @@ class Encoder:
                         and spec.get("model", {}).get("type") == "BPE")
         self.special = {a["content"]: a["id"] for a in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
-        self.value, self.spaced, self.bare = value, {}, {}
+        self.value, self.spaced, self.bare, self.pieces = value, {}, {}, {}
+        self.joined = sum if value is len else b"".join
 
     @classmethod
     def of(cls, path: str, value=len) -> "Encoder":
@@ -67,8 +75,24 @@ class Encoder:
     def _learn(self, known: dict, units: list[str], lead: str) -> None:
         if len(known) + len(units) > UNITS:
             known.clear()
-        for u, e in zip(units, self.lib.encode_batch_fast([lead + u for u in units], add_special_tokens=False)):
-            known[u] = self.value(e.ids)
+        if len(self.pieces) > UNITS:
+            self.pieces.clear()
+        pieces, whole = self.pieces, []
+        for u in units:
+            if not _SIMPLE.fullmatch(u) or "\n\n" in u:
+                whole.append(u)
+                continue
+            found = [lead + u] if u.isalpha() else _PIECE.findall(lead + u)
+            values = list(map(pieces.get, found))
+            if None in values:
+                for i, v in enumerate(values):
+                    if v is None:
+                        shown = found[i].encode().decode("latin-1").translate(_BYTES)
+                        values[i] = pieces[found[i]] = self.value([t.id for t in self.model.tokenize(shown)])
+            known[u] = values[0] if len(values) == 1 else self.joined(values)
+        if whole:
+            for u, e in zip(whole, self.lib.encode_batch_fast([lead + u for u in whole], add_special_tokens=False)):
+                known[u] = self.value(e.ids)
 
     def _values(self, known: dict, units: list[str], lead: str) -> list:
         out = list(map(known.get, units))
@@ -81,7 +105,9 @@ class Encoder:
         return out
 
     def _segment(self, text: str) -> list:
-        units = _STABLE.split(text) if _LOOSE.search(text) else text.split(" ")
+        parts = text.replace("\n", " ").split(" ")
+        single = "" not in parts and len(parts) == len(text.split())  # white space is single spaces and line ends
+        units = text.split(" ") if single else _STABLE.split(text)
         return self._values(self.bare, units[:1], "") + self._values(self.spaced, units[1:], " ")
 
     def word_values(self, words: list[str]) -> list:
