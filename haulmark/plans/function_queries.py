@@ -188,7 +188,7 @@ def reconcile(spark, sf):
 def hive_rows_by_table(spark, sf):
     return G.hive_rows_by_table(log_lines(spark, sf, """case event_type
         when 'click' then concat(cast(user_id + 1 as string), ' Rows loaded to click')
-        when 'view' then concat('Table db.view stats: [numFiles=1, numRows=', cast(user_id + 1 as string), ', totalSize=24810, rawDataSize=595799]')
+        when 'view' then concat('Table db.view stats: [numFiles=1, numRows=', cast(user_id + 1 as string), ', totalSize=5120, rawDataSize=70400]')
         else concat('INFO ', cast(user_id as string), ' Rows loaded') end"""))
 
 
@@ -220,22 +220,26 @@ def map_output_rows(spark, sf):
 _BULK_SQL = """
   select user_id as job_id, coalesce(max_by(event_id * 10, event_id) filter (event_type = 'click'), 0) as sent,
     coalesce(max_by(event_id, event_id) filter (event_type = 'view'), 0) as loaded,
-    coalesce(max_by(event_id % 10, event_id) filter (event_type = 'error'), 0) as err_table1,
-    cast(0 as bigint) as err_table2, coalesce(max_by(event_id % 7, event_id) filter (event_type = 'signup'), 0) as duplicate,
-    coalesce(max_by(event_id % 10, event_id) filter (event_type = 'purchase'), 0) as err_file from events group by 1"""
+    coalesce(max_by(event_id, event_id) filter (event_type = 'error' and event_id % 2 = 0), 0) as err_table1,
+    coalesce(max_by(event_id, event_id) filter (event_type = 'error' and event_id % 2 = 1), 0) as err_table2,
+    coalesce(max_by(event_id * 7, event_id) filter (event_type = 'signup'), 0) as duplicate,
+    coalesce(max_by(event_id * 3, event_id) filter (event_type = 'purchase' and event_id % 3 = 0), 0) as err_file,
+    max_by(concat('job-', cast(event_id as varchar)), event_id) filter (event_type = 'purchase' and event_id % 3 = 1) as job_name,
+    max_by(concat('/logs/', cast(event_id as varchar), '.out'), event_id) filter (event_type = 'purchase' and event_id % 3 = 2) as log_file
+  from events group by 1"""
 
 
 @query("bulk_load_counters", f"""
   select *, sent + err_file as source, err_table1 + err_table2 + duplicate + err_file as rejected from ({_BULK_SQL})""")
 def bulk_load_counters(spark, sf):
-    # The error-file pattern is greedy before its number, so only a one-digit number is read whole.
-    out = G.bulk_load_counters(log_lines(spark, sf, """case event_type
-        when 'click' then concat('tpt_writer: Total Rows Sent To RDBMS:      ', cast(event_id * 10 as string))
-        when 'view' then concat('tpt_writer: Total Rows Applied:           ', cast(event_id as string))
-        when 'error' then concat('tpt_writer: Total Rows in Error Table 1:  ', cast(event_id % 10 as string))
-        when 'signup' then concat('tpt_writer: Total Duplicate Rows:       ', cast(event_id % 7 as string))
-        else concat('tpt_reader: TPT19229 ', cast(event_id % 10 as string), ' error rows sent to error file /tmp/x') end"""))
-    return out.drop("job_name", "log_file")
+    return G.bulk_load_counters(log_lines(spark, sf, """case
+        when event_type = 'click' then concat('tpt_writer: Total Rows Sent To RDBMS:      ', cast(event_id * 10 as string))
+        when event_type = 'view' then concat('tpt_writer: Total Rows Applied:           ', cast(event_id as string))
+        when event_type = 'error' then concat('tpt_writer: Total Rows in Error Table ', cast(event_id % 2 + 1 as string), ':  ', cast(event_id as string))
+        when event_type = 'signup' then concat('tpt_writer: Total Duplicate Rows:       ', cast(event_id * 7 as string))
+        when event_id % 3 = 0 then concat('tpt_reader: TPT19229 ', cast(event_id * 3 as string), ' error rows sent to error file /tmp/x')
+        when event_id % 3 = 1 then concat('Teradata Parallel Transporter Version: Job id is job-', cast(event_id as string), ',running on host')
+        else concat('Job log: /logs/', cast(event_id as string), '.out') end"""))
 
 
 @query("stream_load_counters", """

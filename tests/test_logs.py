@@ -1,4 +1,4 @@
-"""Job-log lines with known counters."""
+"""Job-log lines with known counters. All names and numbers are made up here; only the line shapes are given."""
 
 from __future__ import annotations
 
@@ -11,66 +11,70 @@ def log(spark, *lines, job="j"):
 
 def test_rows_by_table(spark):
     out = G.hive_rows_by_table(log(
-        spark, "52 Rows loaded to test_table", "8 Rows loaded to test_table", "x 9 Rows loaded to test_table",
-        "Table chlr_db.test_table stats: [numFiles=1, numRows=1097, totalSize=24810, rawDataSize=595799]"))
-    assert {r.table_name: r.rows for r in out.collect()} == {"test_table": 60, "chlr_db.test_table": 1097}
+        spark, "31 Rows loaded to parcels", "6 Rows loaded to parcels", "x 9 Rows loaded to parcels",
+        "Table depot.parcels stats: [numFiles=2, numRows=418, totalSize=907, rawDataSize=3300]"))
+    assert {r.table_name: r.rows for r in out.collect()} == {"parcels": 37, "depot.parcels": 418}
 
 
 def test_partition_rows(spark):
-    line = "INFO  : Partition db.t {event_date=2017-01-0%d, country=us} stats: [numFiles=4, numRows=%d, totalSize=1, rawDataSize=2]"
-    out = G.hive_partition_rows(log(spark, *[line % (i, 172932 + i) for i in range(5)], "Table db.u stats: [numFiles=1, numRows=7, x]", "none"))
-    assert {r.table_name: r.rows for r in out.collect()} == {"db.t": 5 * 172932 + 10, "db.u": 7}
+    line = "INFO  : Partition depot.trips {leg=%d, port=oslo} stats: [numFiles=3, numRows=%d, totalSize=11, rawDataSize=13]"
+    out = G.hive_partition_rows(log(spark, *[line % (i, 600 + 10 * i) for i in range(4)],
+                                    "Table depot.crew stats: [numFiles=1, numRows=23, x]", "none"))
+    assert {r.table_name: r.rows for r in out.collect()} == {"depot.trips": 2460, "depot.crew": 23}
 
 
 def test_map_counters(spark):
-    out = G.mr_counters(log(spark, "16/01/01 INFO mapred.JobClient:     Map input records=3",
-                            "16/01/01 INFO mapred.JobClient:     Map input records=8",
-                            "16/01/01 INFO mapred.JobClient:     Map output records=8"))
-    assert out.first()[:] == ("j", 8, 8)
-    assert G.map_output_rows(log(spark, "  Map output records=8", "x Map output records=9")).first()[:] == ("j", 8)
+    at = "21/09/14 INFO mapred.JobClient:     "
+    out = G.mr_counters(log(spark, at + "Map input records=41", at + "Map input records=57", at + "Map output records=66"))
+    assert out.first()[:] == ("j", 57, 66)
+    assert G.map_output_rows(log(spark, "  Map output records=66", "x Map output records=67")).first()[:] == ("j", 66)
 
 
 def test_bulk_counters(spark):
     r = G.bulk_load_counters(log(
-        spark, "Teradata Parallel Transporter Version: Job id is root-52,running on host", "Job log: /opt/logs/root-52.out",
-        "tpt_writer: Total Rows Sent To RDBMS:      1000010", "tpt_writer: Total Rows Applied:             1000000",
-        "tpt_writer: Total Rows in Error Table 1:   3", "tpt_writer: Total Rows in Error Table 2:   2",
-        "tpt_writer: Total Duplicate Rows:          1")).first()
-    assert (r.sent, r.loaded, r.err_table1, r.err_table2, r.duplicate, r.err_file) == (1000010, 1000000, 3, 2, 1, 0)
-    assert (r.source, r.rejected, r.job_name, r.log_file) == (1000010, 6, "root-52", "/opt/logs/root-52.out")
+        spark, "Teradata Parallel Transporter Version: Job id is freight-7,running on quay", "Job log: /var/spool/freight-7.out",
+        "tpt_writer: Total Rows Sent To RDBMS:      82013", "tpt_writer: Total Rows Applied:             81990",
+        "tpt_writer: Total Rows in Error Table 1:   14", "tpt_writer: Total Rows in Error Table 2:   5",
+        "tpt_writer: Total Duplicate Rows:          4")).first()
+    assert (r.sent, r.loaded, r.err_table1, r.err_table2, r.duplicate, r.err_file) == (82013, 81990, 14, 5, 4, 0)
+    assert (r.source, r.rejected, r.job_name, r.log_file) == (82013, 23, "freight-7", "/var/spool/freight-7.out")
 
 
 def test_bulk_error_file_rows(spark):
-    r = G.bulk_load_counters(log(spark, "tpt_writer: Total Rows Sent To RDBMS:  1000010",
-                                 "tpt_reader: TPT19229 50 error rows sent to error file /tmp/e")).first()
-    assert (r.err_file, r.source, r.rejected) == (50, 1000060, 50)
+    r = G.bulk_load_counters(log(spark, "tpt_writer: Total Rows Sent To RDBMS:  7200",
+                                 "tpt_reader: TPT19229 1387 error rows sent to error file /srv/bad")).first()
+    assert (r.err_file, r.source, r.rejected) == (1387, 8587, 1387)
 
 
 def test_stream_counters(spark):
-    lines = log(spark, "tpt_writer: Rows Inserted: 995", "tpt_reader: TPT19229 5 error rows sent to error file /tmp/e")
+    lines = log(spark, "tpt_writer: Rows Inserted: 2750", "tpt_reader: TPT19229 38 error rows sent to error file /srv/bad")
     r = G.stream_load_counters(lines).first()
-    assert (r.loaded, r.error_file, r.error_table, r.rejected, r.source) == (995, 5, 0, 5, 1000)
-    counted = spark.createDataFrame([("j", 7)], "job_id string, error_table long")
-    assert G.stream_load_counters(lines, counted).first().source == 1007
+    assert (r.loaded, r.error_file, r.error_table, r.rejected, r.source) == (2750, 38, 0, 38, 2788)
+    counted = spark.createDataFrame([("j", 12)], "job_id string, error_table long")
+    assert G.stream_load_counters(lines, counted).first().source == 2800
 
 
 def test_error_records(spark):
-    et = "\n".join(['[Error 1160] table "db.tbl_ERR_1" contains rows', "ErrorCode=5317", "ErrorFieldName=F_col1", "ActualDataParcelLength=15",
-                    "DataParcel: byte array length 15 (0xf), offset 0 (0x0), dump length 15 (0xf)",
-                    "00000    00 00 00 00 3c 00 04 79 79 79 79 00 11 65 85   |....<..yyyy..e.|"])
-    uv = 'table "db.tbl_ERR_2" contains rows\r\ncol1=4\r\ncol2=xxxx\r\ncol3=2014-01-01'
-    df = spark.createDataFrame([(1, et), (2, uv), (3, "other"), (4, '"tbl_ERR_1"\nbroken')], "id int, message string")
-    out = {r.id: r for r in G.fastload_error_records(df, "tbl").collect()}
-    assert (out[1].kind, out[1].field, out[1].code) == ("ET", "F_col1", 5317)
-    assert out[1].record == bytes.fromhex("000000003c000479797979001165 85".replace(" ", "")).decode("latin-1")
-    assert (out[2].kind, out[2].record) == ("UV", "col1=4,col2=xxxx,col3=2014-01-01")
+    parcel = bytes([2, 0, 65, 66, 67, 10, 200, 31, 33, 126])
+    dump = " ".join(f"{b:02x}" for b in parcel) + "   |" + "".join(chr(b) if 32 <= b < 127 else "." for b in parcel) + "|"
+    et = "\n".join(['[Error 1160] table "depot.crates_ERR_1" contains rows', "ErrorCode=2679", "ErrorFieldName=weight",
+                    f"ActualDataParcelLength={len(parcel)}",
+                    f"DataParcel: byte array length {len(parcel)} (0x{len(parcel):x}), offset 0 (0x0), dump length {len(parcel)} (0x{len(parcel):x})",
+                    "00000    " + dump])
+    uv = 'table "depot.crates_ERR_2" contains rows\r\ncrate=91\r\nport=riga\r\nseen=2020-02-29'
+    df = spark.createDataFrame([(1, et), (2, uv), (3, "other"), (4, '"crates_ERR_1"\nbroken')], "id int, message string")
+    out = {r.id: r for r in G.fastload_error_records(df, "crates").collect()}
+    assert (out[1].kind, out[1].field, out[1].code) == ("ET", "weight", 2679)
+    assert out[1].record == parcel.decode("latin-1")
+    assert (out[2].kind, out[2].record) == ("UV", "crate=91,port=riga,seen=2020-02-29")
     assert (out[4].field, out[4].code, out[4].record) == ("", -1, "") and 3 not in out
 
 
 def test_first_rows(spark):
-    assert G.tsv_first_row(log(spark, "col1\tcol2", "10\txyz", "11\tabc")).first()["values"] == {"col1": "10", "col2": "xyz"}
-    box = log(spark, "", "+-----------+--+", "|    cnt    |", "+-----------+--+", "| 30636492  |", "+-----------+--+")
-    assert G.boxed_table_first_row(box).first()["values"] == {"cnt": "30636492"}
+    assert G.tsv_first_row(log(spark, "crate\tport", "55\tturku", "56\tgdynia")).first()["values"] == {"crate": "55", "port": "turku"}
+    rule = "+----------+--+"
+    box = log(spark, "", rule, "|  crates  |", rule, "| 7712     |", rule)
+    assert G.boxed_table_first_row(box).first()["values"] == {"crates": "7712"}
 
 
 def test_running_jobs(spark):
