@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -37,10 +38,14 @@ def build_session(app_name: str = "haulmark", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test run) is a temporary folder made and set.
+    Where the session names none, a temporary folder is made and set in local mode only: on a cluster the executors
+    would write to their own disks what the driver cannot read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
         folder = tempfile.mkdtemp(prefix="haulmark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
