@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import pinned
-from ..skew import salted_join
+from ..session import pinned, scratch_path
 from .literals import as_column
 
 PLACEHOLDER = r"\$\{(\??)(.+?)\}"
@@ -16,8 +15,6 @@ PLACEHOLDER = r"\$\{(\??)(.+?)\}"
 # table join takes over (the lookup is linear in the map).
 MASK = "*****"
 URI_CODES = {"%": "%25", " ": "%20", "?": "%3F", "#": "%23"}
-INLINE_VARIABLES = 64
-MAX_ROUNDS = 32
 
 
 def dedent(col: Column | str) -> Column:
@@ -83,10 +80,8 @@ def _substitute(text: Column, value_of) -> Column:
 
 
 def render_with(col: Column | str, variables: Mapping[str, str]) -> Column:
-    """Placeholders filled from a few variables whose own placeholders are already resolved."""
+    """Placeholders filled from variables given in the program, which are written out in the expression."""
     flat = resolve_variables(variables)
-    if len(flat) > INLINE_VARIABLES:
-        raise ValueError(f"more than {INLINE_VARIABLES} variables: use render_template with a table")
     known = F.create_map(*[F.lit(x) for pair in flat.items() for x in pair]) if flat else \
         F.create_map().cast("map<string,string>")
 
@@ -121,27 +116,41 @@ def resolve_variables(variables: Mapping[str, str]) -> dict[str, str]:
     return done
 
 
-def render_template(df: DataFrame, key: Sequence[str], col: str, variables: DataFrame,
-                    max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def render_template(df: DataFrame, key: Sequence[str], col: str, variables: DataFrame) -> DataFrame:
     """Fill placeholders of ``df[col]`` from a table of ``(name, value)``; the result replaces ``col``.
 
-    A table that fits the inline bound (counted with a limit) is folded into the expression, so the
-    templates are read once with no shuffle. A larger table is first made free of references by joining
-    it with itself round by round, then joined to the references found in the templates. ``key``
-    identifies a template row.
+    The same joins serve a table of any size; a small one is broadcast by its measured size. Rows that repeat a name with the
+    same value are one variable, with different values an error. A variable whose value is NULL counts as not
+    given. Variables that refer to variables are filled first, those with no open reference before those that refer to
+    them; a round fills what the last one freed, so rounds are as many as the longest chain. Variables that refer to each other
+    are never freed, which is an error before any text could grow. ``key`` identifies a template row.
     """
-    small = variables.select("name", "value").limit(INLINE_VARIABLES + 1).collect()
-    if len(small) <= INLINE_VARIABLES:
-        return df.withColumn(col, render_with(col, {r["name"]: r["value"] for r in small}))
-
-    table = variables.select("name", "value")
-    for _ in range(max_rounds):
-        if table.where(F.col("value").contains("${") & F.col("value").rlike(PLACEHOLDER)).isEmpty():
-            break
-        table = pinned(_fill_from_table(table, ["name"], "value", table), "variables")
-    else:
-        raise ValueError(f"variables still refer to variables after {max_rounds} rounds")
-    return _fill_from_table(df, list(key), col, table)
+    return _fill_from_table(df, list(key), col, resolve_table(variables))
+
+
+def resolve_table(variables: DataFrame) -> DataFrame:
+    """``(name, value)`` with every reference to another variable filled."""
+    same = F.when(F.min("value") == F.max("value"), F.min("value")).otherwise(
+        F.raise_error(F.concat(F.lit("variable with different values: "), F.first("name"))).cast("string"))
+    table = pinned(variables.where("name is not null and value is not null").groupBy("name").agg(same.alias("value")), "variables")
+    tokens = F.regexp_extract_all(F.col("value"), F.lit(PLACEHOLDER), F.lit(2))
+    named = table.where(F.col("value").contains("${")).select("name", F.explode(F.array_distinct(tokens)).alias("ref"))
+    refs = pinned(named.join(table.select(F.col("name").alias("ref")), "ref", "left_semi"), "references")
+    ready = table.join(refs.select("name").distinct(), "name", "left_anti")
+    # Each round's variables go to a folder of their own under one path, so that all rounds are one scan.
+    path, rounds = scratch_path(variables.sparkSession, "filled"), 0
+    filled = table.limit(0)
+    while True:
+        fresh = pinned(_fill_from_table(ready, ["name"], "value", filled), "filled", f"{path}/round={rounds}")
+        filled = variables.sparkSession.read.schema("name string, value string, round int").parquet(path).select("name", "value")
+        if refs.isEmpty():
+            return filled
+        left = pinned(refs.join(fresh.select(F.col("name").alias("ref")), "ref", "left_anti"), "references")
+        ready = table.join(refs.select("name").distinct().join(left.select("name").distinct(), "name", "left_anti"), "name", "left_semi")
+        if ready.isEmpty():
+            some = ", ".join(sorted(r["name"] for r in refs.select("name").distinct().limit(5).collect()))
+            raise ValueError(f"variables refer to each other: {some}")
+        refs, rounds = left, rounds + 1
 
 
 def _fill_from_table(df: DataFrame, key: list[str], col: str, table: DataFrame) -> DataFrame:
@@ -150,8 +159,8 @@ def _fill_from_table(df: DataFrame, key: list[str], col: str, table: DataFrame)
     tokens = F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(PLACEHOLDER), F.lit(0)))
     refs = df.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.explode(tokens).alias("_token")) \
         .withColumn("_ref", F.regexp_extract("_token", whole, 2))
-    # One variable may be named by a large share of the templates: the references are salted.
-    values = salted_join(refs, table.select(F.col("name").alias("_ref"), F.col("value").alias("_value")), ["_ref"], "left")
+    # One variable may be named by a large share of the templates; the references are the side that can be split.
+    values = refs.join(table.select(F.col("name").alias("_ref"), F.col("value").alias("_value")), "_ref", "left")
     checked = F.coalesce(F.col("_value"), F.when(F.col("_token").startswith("${?"), F.lit("")), F.raise_error(
         F.concat(F.lit("unable to resolve variable "), F.col("_ref"))).cast("string"))
     maps = values.groupBy(*[f"_k_{k}" for k in key]).agg(

@@ -84,19 +84,24 @@ def test_variables_that_refer_to_each_other():
         FT.resolve_variables({"a": "${b}", "b": "${a}"})
 
 
-def test_template_table_equals_inline(spark, monkeypatch):
+@pytest.mark.parametrize("others", [0, 300])
+def test_template_table_equals_inline(spark, others):
+    """The same rules with few variables and with many."""
     variables = {"a": "1", "b": "<${a}>", "c": "${b}${?zz}${a}"}
-    table = spark.createDataFrame(list(variables.items()), "name string, value string")
-    texts = ["${c} and ${c} and ${a}", "none", "${?zz}", None]
+    more = [(f"v{i}", f"${{v{i - 1}}}" if i % 3 else "x") for i in range(others)]
+    table = spark.createDataFrame([*variables.items(), ("a", "1"), ("unused", None), ("c", None), *more], "name string, value string")
+    texts = ["${c} and ${c} and ${a}", "none", "${?zz}", "${?unused}", None]
     want = apply(spark, lambda c: FT.render_with(c, variables), texts)
-    monkeypatch.setattr(FT, "INLINE_VARIABLES", 1)
     out = FT.render_template(column(spark, texts), ["i"], "x", table)
     assert [r.x for r in out.orderBy("i").collect()] == want
-    with pytest.raises(Exception, match="unable to resolve"):
-        FT.render_template(column(spark, ["${nope}"]), ["i"], "x", table).collect()
-    loop = spark.createDataFrame([("a", "${b}"), ("b", "${a}")], "name string, value string")
-    with pytest.raises(ValueError, match="still refer"):
-        FT.render_template(column(spark, ["${a}"]), ["i"], "x", loop, max_rounds=3)
+    for missing in ("nope", "unused"):
+        with pytest.raises(Exception, match=f"unable to resolve variable {missing}"):
+            FT.render_template(column(spark, [f"${{{missing}}}"]), ["i"], "x", table).collect()
+    with pytest.raises(Exception, match="different values: a"):
+        FT.render_template(column(spark, ["x"]), ["i"], "x", table.unionByName(table.limit(1).selectExpr("'a' as name", "'2' as value")))
+    loop = spark.createDataFrame([("k", "${l}${l}"), ("l", "${k}${k}")], "name string, value string")
+    with pytest.raises(ValueError, match="refer to each other: k, l"):
+        FT.render_template(column(spark, ["${a}"]), ["i"], "x", table.unionByName(loop))
 
 
 def check(spark, tree):
