@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..schema import TargetColumn, names, target_of
+from ..session import pinned, scratch_path
 from ..settings import BATCH_ROWS
 from .validate import check_rows, strict_rows
 
@@ -48,8 +47,19 @@ def truncate_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"TRUNCATE TABLE {table}")
 
 
+def _with_overwrite_mode(spark: SparkSession, mode: str) -> SparkSession:
+    """A session on the same catalog with its own partition overwrite mode; the caller's settings stay."""
+    other = spark.newSession()
+    other.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
+    other.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    other.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return other
+
+
 def _overwrite_with_nothing(spark: SparkSession, table: str) -> None:
-    spark.createDataFrame([], spark.table(table).schema).write.insertInto(table, overwrite=True)
+    other = _with_overwrite_mode(spark, "static")
+    other.createDataFrame([], other.table(table).schema).write.insertInto(table, overwrite=True)
+    spark.catalog.refreshTable(table)
 
 
 def drop_recreate(spark: SparkSession, table: str) -> None:
@@ -73,23 +83,12 @@ def truncate_else_recreate(spark: SparkSession, table: str) -> None:
         drop_recreate(spark, table)
 
 
-def _side_name(table: str, label: str) -> str:
-    return f"{table}_{label}_{uuid.uuid4().hex[:8]}"
-
-
 def swap_recreate(spark: SparkSession, table: str) -> None:
-    """Replace a table by an empty one of the same shape."""
-    empty = _side_name(table, "new")
-    spark.sql(f"CREATE TABLE {empty} LIKE {table}")
-    swap_in(spark, table, empty)
+    """Make a table an empty one of the same shape; its kind, location and properties stay."""
+    _overwrite_with_nothing(spark, table)
 
 
-def swap_in(spark: SparkSession, table: str, replacement: str) -> None:
-    """Put ``replacement`` in the place of ``table``; the old rows go only after the new are in place."""
-    old = _side_name(table, "old")
-    spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {replacement} RENAME TO {table}")
-    spark.sql(f"DROP TABLE {old}")
+_HIT, _FOLDER = "_hit_by_predicate", "_file_folder"
 
 
 def rows_after_delete(df: DataFrame, predicate: str) -> DataFrame:
@@ -99,7 +98,10 @@ def rows_after_delete(df: DataFrame, predicate: str) -> DataFrame:
 
 def rows_after_update(df: DataFrame, assignments: dict[str, str], predicate: str) -> DataFrame:
     """Rows after an UPDATE: matching rows take the new values, computed from the old row."""
-    hit = F.coalesce(F.expr(predicate), F.lit(False))
+    return _updated(df, assignments, F.coalesce(F.expr(predicate), F.lit(False)))
+
+
+def _updated(df: DataFrame, assignments: dict[str, str], hit: Column) -> DataFrame:
     types = dict(df.dtypes)
     return df.select(*[
         F.when(hit, F.expr(assignments[c]).cast(types[c])).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c)
@@ -110,47 +112,69 @@ def _literal(value) -> str:
     return "null" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _rewrite(spark: SparkSession, table: str, rows: DataFrame, affected: DataFrame) -> None:
-    """Write the new rows beside the table and swap. A partitioned table rewrites only the partitions
-    that hold an affected row."""
+# Up to so many touched partitions are broadcast to prune the rewrite; beyond it they are joined.
+BROADCAST_PARTITIONS = 10_000
+
+
+def _rewrite(spark: SparkSession, table: str, predicate: str, change, alias: str | None = None) -> int:
+    """Put ``change(rows)`` in the place of the rows; returns how many met the predicate.
+
+    The new rows are written to the shared folder first and then overwrite the table from there, so its kind,
+    location and properties stay and no old row is left under its path. They are counted by that first write. If the
+    overwrite fails half-way, the staged rows are still whole. A partitioned table rewrites only the partitions that hold
+    a row that meets the predicate.
+    """
     parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-    staged = _side_name(table, "new")
-    spark.sql(f"CREATE TABLE {staged} LIKE {table}")
-    if not parts:
-        rows.write.insertInto(staged)
-        swap_in(spark, table, staged)
+    columns = spark.table(table).columns
+    rows, touched = spark.table(table), None
+    if parts:
+        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias(_FOLDER)
+        touched = pinned(_named(rows.select("*", folder), alias).where(F.expr(predicate)).select(*parts, _FOLDER).distinct(), "touched")
+        n = touched.count()
+        if not n:
+            return 0
+        keep = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in parts]
+        few = (F.broadcast(touched) if n <= BROADCAST_PARTITIONS else touched).alias("t")
+        rows = rows.alias("r").join(few, keep, "left_semi")
+    seen = Observation()
+    hit = F.coalesce(F.expr(predicate), F.lit(False))
+    marked = _named(rows, alias).withColumn(_HIT, hit).observe(seen, F.count_if(_HIT).alias("rows"))
+    path = scratch_path(spark, "rewrite")
+    staged = pinned(change(_named(marked, alias)).select(*columns), "rewrite", path)
+    if not seen.get["rows"]:
+        return 0
+    other = _with_overwrite_mode(spark, "dynamic" if parts else "static")
+    other.read.schema(staged.schema).parquet(path).write.insertInto(table, overwrite=True)
+    if parts:
+        _empty_partitions(spark, table, parts, touched, staged)
+    spark.catalog.refreshTable(table)
+    return seen.get["rows"]
+
+
+def _named(df: DataFrame, alias: str | None) -> DataFrame:
+    return df.alias(alias) if alias else df
+
+
+def _empty_partitions(spark: SparkSession, table: str, parts: list[str], touched: DataFrame, staged: DataFrame) -> None:
+    """Partitions that lost all their rows: their names go in one statement, then the folders that an external table keeps."""
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"l.{c}")) for c in parts]
+    emptied = touched.alias("t").join(staged.select(*parts).distinct().alias("l"), same, "left_anti").collect()
+    if not emptied:
         return
-    # One row per partition of the table, which the catalog holds on the driver anyway: the broadcast
-    # is bounded by that, and it prunes the partitions that are read.
-    touched = spark.createDataFrame(affected.select(*parts).distinct().collect(), affected.select(*parts).schema)
-    keep = [F.col(f"r.{p}").eqNullSafe(F.col(f"t.{p}")) for p in parts]
-    rows.alias("r").join(F.broadcast(touched.alias("t")), keep, "left_semi").write.insertInto(staged)
-    # A partition that lost all its rows has nothing staged, so it is dropped by name.
-    left = spark.table(staged).select(*parts).distinct()
-    both = [F.col(f"t.{p}").eqNullSafe(F.col(f"l.{p}")) for p in parts]
-    for row in touched.alias("t").join(left.alias("l"), both, "left_anti").collect():
-        spec = ", ".join(f"`{p}` = {_literal(row[p])}" for p in parts)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
-    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        spark.table(staged).write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
-    spark.sql(f"DROP TABLE {staged}")
+    specs = {", ".join(f"`{c}` = {_literal(row[c])}" for c in parts): None for row in emptied}
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS " + ", ".join(f"PARTITION ({s})" for s in specs))
+    for folder in {row[_FOLDER] for row in emptied}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def delete_where(spark: SparkSession, table: str, predicate: str) -> int:
+def delete_where(spark: SparkSession, table: str, predicate: str, alias: str | None = None) -> int:
     """Delete matching rows by rewriting what is left; returns rows deleted."""
-    source = spark.table(table)
-    gone = source.where(F.expr(predicate))
-    n = gone.count()
-    if n:
-        _rewrite(spark, table, rows_after_delete(source, predicate), gone)
-    return n
+    return _rewrite(spark, table, predicate, lambda rows: rows.where(f"not {_HIT}"), alias)
 
 
-def update_where(spark: SparkSession, table: str, assignments: dict[str, str], predicate: str = "true") -> int:
+def update_where(spark: SparkSession, table: str, assignments: dict[str, str], predicate: str = "true",
+                 alias: str | None = None) -> int:
     """Update matching rows by rewriting the table; returns rows updated.
 
     A partition column cannot be assigned, since only the affected partitions are rewritten.
@@ -158,9 +182,4 @@ def update_where(spark: SparkSession, table: str, assignments: dict[str, str], p
     parts = {c.name for c in spark.catalog.listColumns(table) if c.isPartition}
     if parts & set(assignments):
         raise ValueError("a partition column cannot be updated")
-    source = spark.table(table)
-    hit = source.where(F.expr(predicate))
-    n = hit.count()
-    if n:
-        _rewrite(spark, table, rows_after_update(source, assignments, predicate), hit)
-    return n
+    return _rewrite(spark, table, predicate, lambda rows: _updated(rows, assignments, F.col(_HIT)), alias)

@@ -42,12 +42,14 @@ def sql_export(spark, sf):
     return FS.scan_compressed(spark, path).select(F.col("value").alias("line"))
 
 
-@query("sql_execute", "select c_mktsegment, count(*) as n from customer where c_acctbal > 100 group by 1")
+@query("sql_execute", "select c_mktsegment, count(*) as n from customer where c_acctbal > 100 and c_custkey % 5 <> 0 group by 1")
 def sql_execute(spark, sf):
     _views(spark, sf, "customer")
     name = _new_table(spark, "execute", "c_custkey bigint, c_mktsegment string")
-    Q.sql_execute(spark, f"INSERT INTO {name} SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 100")
-    return spark.table(name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    added = Q.sql_execute(spark, f"-- all that are in credit\nINSERT INTO {name} SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 100")
+    gone = Q.sql_execute(spark, f"DELETE FROM {name} WHERE c_custkey % 5 = 0")
+    kept = spark.table(name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return kept.where(F.lit(added - gone == spark.table(name).count()))
 
 
 _DELETED = "o_orderstatus = 'F' and o_custkey % 10 < 4"
@@ -73,27 +75,36 @@ def update_where(spark, sf):
 
 @query("sql_script", """
   select 'first' as which, count(*) as n from orders where o_orderstatus <> 'P'
-  union all select 'second', count(*) from orders where o_orderstatus = 'P'""")
+  union all select 'second', count(*) from orders where o_orderstatus = 'P'
+  union all select 'third', count(*) from orders where o_orderstatus = 'F' and o_custkey % 3 <> 0""")
 def sql_script(spark, sf):
     _views(spark, sf, "orders")
-    first, second = (_new_table(spark, "script", "o_orderkey bigint, o_custkey bigint") for _ in range(2))
+    first, second, third = (_new_table(spark, "script", "o_orderkey bigint, o_custkey bigint") for _ in range(3))
     rows = Q.sql_script(spark, f"""
         INSERT INTO {first} SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F';
         INSERT INTO {second} (o_orderkey, o_custkey) SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P';
 
-        INSERT INTO {first} SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O';
+        -- those that are open
+        WITH open AS (SELECT * FROM orders WHERE o_orderstatus = 'O') INSERT INTO {first} SELECT o_orderkey, o_custkey FROM open;
+        INSERT INTO {third} BY NAME SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F';
+        UPDATE {third} SET o_orderkey = -1 WHERE o_custkey % 3 = 0;
+        DELETE FROM {third} AS t WHERE t.o_orderkey < 0;
         """)
     kept = spark.table(first).agg(F.count(F.lit(1)).alias("n")).select(F.lit("first").alias("which"), "n").unionByName(
         spark.table(second).agg(F.count(F.lit(1)).alias("n")).select(F.lit("second").alias("which"), "n"))
+    left = spark.table(third).agg(F.count(F.lit(1)).alias("n")).select(F.lit("third").alias("which"), "n")
     counted = F.when(F.col("which") == "first", rows[first]).otherwise(rows[second])
-    return kept.where(F.col("n") == counted)
+    return kept.where(F.col("n") == counted).unionByName(left)
 
 
 @query("sql_from_file", "select o_orderpriority, count(*) as n from orders where o_orderstatus = 'F' and o_custkey > 100 group by 1")
 def sql_from_file(spark, sf):
     _views(spark, sf, "orders")
-    return Q.sql_from_file(spark, "select o_orderpriority, count(*) as n from ${source} where o_orderstatus = '${status}' "
-                           "and o_custkey > :floor group by 1${?tail}",
+    path = scratch_path(spark, "statement")
+    text = ("select o_orderpriority, count(*) as n from ${source}\n"
+            "where o_orderstatus = '${status}' and o_custkey > :floor group by 1${?tail}")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return Q.sql_from_file(spark, path=path + "/*.txt",
                            variables={"source": "${name}", "name": "orders", "status": "F"}, args={"floor": 100})
 
 

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import datetime
 import re
-import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import PLACEHOLDER, resolve_variables
 from ..operators.export import export_delimited
+from ..operators.tables import delete_where, update_where
 from ..settings import ExportSetting
 
 STATEMENT_END = ";\n"
-_INSERT = re.compile(
-    r"^\s*(insert\s+(?:into|overwrite)\s+(?:table\s+)?([\w.`]+)(?:\s+partition\s*\([^)]*\))?(?:\s*\((?!\s*select\b)[^)]*\))?)\s+(.*)$",
-    re.IGNORECASE | re.DOTALL)
+FILE_PROVIDERS = ("parquet", "orc", "csv", "json", "text", "avro")
 
 
 def first_row(df: DataFrame) -> dict[str, Any]:
@@ -58,20 +56,77 @@ def sql_export(spark: SparkSession, sql: str, path: str, setting: ExportSetting
     return export_delimited(spark.sql(sql), path, setting)
 
 
-def _counted_insert(spark: SparkSession, sql: str) -> tuple[str | None, int]:
-    """Run a statement. The query of an insert is watched, so its rows are counted by the write."""
-    found = _INSERT.match(sql)
-    if not found:
-        result = spark.sql(sql)
-        return None, _affected(result)
-    head, table, body = found.groups()
-    seen, view = Observation(), f"insert_source_{uuid.uuid4().hex}"
-    spark.sql(body).observe(seen, F.count(F.lit(1)).alias("rows")).createOrReplaceTempView(view)
-    try:
-        spark.sql(f"{head} SELECT * FROM {view}")
-    finally:
-        spark.catalog.dropTempView(view)
-    return table.replace("`", ""), seen.get["rows"]
+def _each(nodes):
+    """The elements of a JVM sequence."""
+    return [nodes.apply(i) for i in range(nodes.size())]
+
+
+def _written(plan, current: str) -> list[tuple[str, int]]:
+    """(target, rows) of every write of an executed plan, from the write's own metric."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _written(plan.executedPlan(), current)
+    if kind.endswith("QueryStageExec"):
+        return _written(plan.plan(), current)
+    if kind == "DataWritingCommandExec":
+        target = plan.cmd().catalogTable() if hasattr(plan.cmd(), "catalogTable") else None
+        if target is not None and target.isDefined():
+            name = target.get().identifier()
+            database = name.database().get() if name.database().isDefined() else current
+            shown = name.table() if database == current else f"{database}.{name.table()}"
+            return [(shown, plan.metrics().apply("numOutputRows").value())]
+    return [x for child in _each(plan.children()) for x in _written(child, current)]
+
+
+def _target(plan) -> tuple[str, str | None]:
+    """Name and alias of the table of a parsed DELETE or UPDATE."""
+    alias = None
+    if plan.getClass().getSimpleName() == "SubqueryAlias":
+        alias, plan = plan.alias(), plan.child()
+    return ".".join(f"`{x}`" for x in _each(plan.multipartIdentifier())), alias
+
+
+def _source(sql: str, expression) -> str:
+    """The text an expression was parsed from."""
+    origin = expression.origin()
+    if expression.getClass().getSimpleName() == "Literal":  # also the condition that was left out
+        return expression.sql()
+    return sql[origin.startIndex().get():origin.stopIndex().get() + 1]
+
+
+def _run(spark: SparkSession, sql: str) -> tuple[list[tuple[str, int]], int]:
+    """Run one statement; returns the inserts by target, and all rows effected.
+
+    The engine's parser tells what a statement is, so comments, WITH and BY NAME are no matter. DELETE and UPDATE of tables
+    that the engine cannot change row by row rewrite the table. Rows are those the writes report.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    kind = plan.getClass().getSimpleName()
+    if kind in ("DeleteFromTable", "UpdateTable") and not _row_level(spark, _target(plan.table())[0]):
+        table, alias = _target(plan.table())
+        if kind == "DeleteFromTable":
+            return [], delete_where(spark, table, _source(sql, plan.condition()), alias)
+        condition = _source(sql, plan.condition().get()) if plan.condition().isDefined() else "true"
+        values = {_each(a.key().nameParts())[-1]: _source(sql, a.value()) for a in _each(plan.assignments())}
+        return [], update_where(spark, table, values, condition, alias)
+    result = spark.sql(sql)
+    done = result._jdf.queryExecution().commandExecuted()
+    if done.getClass().getSimpleName() == "CommandResult":
+        command = done.commandLogicalPlan()
+        if command.getClass().getSimpleName() == "InsertIntoDataSourceDirCommand":
+            folder = command.storage().locationUri().get().toString()
+            rows = spark.read.format(command.provider()).load(folder).count()  # the overwrite left just its own rows
+            return [(folder, rows)], rows
+        inserts = _written(done.commandPhysicalPlan(), spark.catalog.currentDatabase())
+        if inserts:
+            return inserts, sum(n for _, n in inserts)
+    return [], _affected(result)
+
+
+def _row_level(spark: SparkSession, table: str) -> bool:
+    """Whether the table's provider takes DELETE and UPDATE itself; plain file tables do not."""
+    found = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    return found.get("Provider", "").lower() not in FILE_PROVIDERS
 
 
 def _affected(result: DataFrame) -> int:
@@ -82,8 +137,8 @@ def _affected(result: DataFrame) -> int:
 
 
 def sql_execute(spark: SparkSession, sql: str) -> int:
-    """Run one DDL or DML statement; returns rows effected."""
-    return _counted_insert(spark, sql)[1]
+    """Run one DDL or DML statement, DELETE and UPDATE included; returns rows effected."""
+    return _run(spark, sql)[1]
 
 
 def statements_of(text: str) -> list[str]:
@@ -95,8 +150,7 @@ def sql_script(spark: SparkSession, script: str | Sequence[str]) -> dict[str, in
     """Run statements in order; returns rows inserted, summed by target table."""
     rows: dict[str, int] = {}
     for sql in statements_of(script) if isinstance(script, str) else script:
-        table, n = _counted_insert(spark, sql)
-        if table is not None:
+        for table, n in _run(spark, sql)[0]:
             rows[table] = rows.get(table, 0) + n
     return rows
 
