@@ -13,8 +13,8 @@ from ..sources.delimited import scan_delimited
 from ..sources.files import path_stats
 from .export import write_rejects
 from .stats import auto_mode, check_error_limit, check_tolerance
-from .tables import insert_batch, truncate_else_recreate
-from .validate import REASON, REJECT, check_rows, repair_utf8, split_rejects, strict_rows
+from .tables import insert_batch
+from .validate import REASON, REJECT, check_rows, split_rejects, strict_rows
 
 
 @dataclass(frozen=True)
@@ -29,10 +29,7 @@ def checked_rows(spark: SparkSession, path: str | Sequence[str], columns: Sequen
                  setting: LoadSetting = LoadSetting(), positions: bool = False) -> DataFrame:
     """Scan and classify: the narrow front half of every load."""
     fields = scan_delimited(spark, path, names(columns), setting, positions)
-    if setting.repair_utf8:
-        own = set(names(columns))
-        fields = fields.select(*[repair_utf8(c).alias(c) if c in own else F.col(c) for c in fields.columns])
-    return check_rows(fields, columns, setting.null_string)
+    return check_rows(fields, columns, setting.null_string, setting.repair_utf8)
 
 
 def skip_if_empty(spark: SparkSession, path: str | Sequence[str]) -> bool:
@@ -51,13 +48,7 @@ def load(spark: SparkSession, path: str | Sequence[str], table: str, setting: Lo
     cols = list(columns or target_of(spark.table(table)))
     mode, batch_rows = setting.mode, setting.rows_per_batch
     if mode == "auto":
-        size = path_stats(spark, path).first()["bytes"]
-        mode, batch_rows = auto_mode(size, mode, batch_rows, setting.bulk_threshold)
-        if size == 0:
-            if setting.truncate and not url:
-                truncate_else_recreate(spark, table)
-            _clear_rejects(spark, setting)
-            return LoadResult(0, 0, 0, mode)
+        mode, batch_rows = auto_mode(path_stats(spark, path).first()["bytes"], mode, batch_rows, setting.bulk_threshold)
     checked = checked_rows(spark, path, cols, setting)
     if setting.check_first:
         seen = checked.agg(F.count(F.lit(1)).alias("total"), F.count(REASON).alias("rejected")).first()

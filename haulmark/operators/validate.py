@@ -130,18 +130,23 @@ def length_check(df: DataFrame, columns: Sequence[TargetColumn]) -> DataFrame:
     return df.withColumn("_too_long", F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>"))
 
 
-def check_rows(fields: DataFrame, columns: Sequence[TargetColumn], marker: str | None = None) -> DataFrame:
+def check_rows(fields: DataFrame, columns: Sequence[TargetColumn], marker: str | None = None, repair: bool = False) -> DataFrame:
     """Classify every row once: typed columns, ``_reason`` and ``_reject``.
 
     ``_reason`` is NULL for a loadable row, else ``arity``, ``cast:<column>``, ``width:<column>`` or
     ``null:<column>`` (a blank in a column that may not be NULL), the first that applies in that order.
-    ``_reject`` is the row as read, fields split by ``\\u0001``; for a row with the wrong number of
+    ``_reject`` is the row as read, before the null marker and the repair of bytes, fields split by ``\\u0001``; for a row with the wrong number of
     fields under quoting it is the line itself, since its fields have no columns.
     """
     own = set(names(columns))
-    raw = fields
+    raw, as_read = fields, {c: c for c in names(columns)}
+    if marker is not None or repair:
+        as_read = {c: f"_read_{c}" for c in names(columns)}
+        raw = fields.select("*", *[F.col(c).alias(r) for c, r in as_read.items()])
+    if repair:
+        raw = raw.select(*[repair_utf8(c).alias(c) if c in own else F.col(c) for c in raw.columns])
     if marker is not None:
-        raw = null_string(fields, marker, [c.name for c in columns if c.nullable])
+        raw = null_string(raw, marker, [c.name for c in columns if c.nullable])
     if ARITY_OK not in raw.columns:
         raw = raw.withColumn(ARITY_OK, F.lit(True))
     values = raw.select(*[_apart(F.col(c)).alias(c) if c == ARITY_OK else F.col(c) for c in raw.columns],
@@ -154,7 +159,7 @@ def check_rows(fields: DataFrame, columns: Sequence[TargetColumn], marker: str |
     tests += [F.when(bad(c), F.lit(f"cast:{c.name}")) for c in columns if c.width is None and c.type != "string"]
     tests += [F.when(bad(c), F.lit(f"width:{c.name}")) for c in columns if c.width is not None]
     tests += [F.when(F.col(f"_v_{c.name}").isNull(), F.lit(f"null:{c.name}")) for c in columns if not c.nullable]
-    joined = F.array_join(F.array(*names(columns)), REJECT_DELIMITER, "")
+    joined = F.array_join(F.array(*as_read.values()), REJECT_DELIMITER, "")
     line = F.col(LINE) if LINE in raw.columns else F.lit(None).cast("string")
     # A filter on the reason would be pushed below the projections and repeat every cast there. The
     # last branch never holds, but as it names the task the optimizer leaves the filter above.

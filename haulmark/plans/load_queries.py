@@ -103,9 +103,10 @@ def scan_format(spark, sf):
 
 @query("scan_table", "select n_name, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by 1")
 def scan_table(spark, sf):
-    for name in ("customer", "nation"):
-        table(spark, sf, name).createOrReplaceTempView(f"scan_{name}")
-    joined = ST.scan_table(spark, "scan_customer").join(ST.scan_table(spark, "scan_nation"), F.expr("c_nationkey = n_nationkey"))
+    customers = _new_table(spark, "customers", "c_custkey bigint, c_nationkey bigint")
+    T.insert_batch(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), customers)
+    table(spark, sf, "nation").createOrReplaceTempView("scan_nation")
+    joined = ST.scan_table(spark, customers).join(ST.scan_table(spark, "scan_nation"), F.expr("c_nationkey = n_nationkey"))
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
 
 
@@ -114,6 +115,19 @@ def scan_where(spark, sf):
     return table(spark, sf, "orders").where("o_orderstatus = 'F' and o_custkey > 70").select("o_orderkey", "o_orderpriority")
 
 
+@query("table_metadata", """
+  select * from (values ('c_custkey', 'bigint', 1), ('c_name', 'string', 2), ('customers', cast((select count(*) from customer) as varchar), 3)) as t(name, detail, place)""")
+def table_metadata(spark, sf):
+    name = _new_table(spark, "described", "c_custkey bigint, c_name string")
+    T.insert_batch(table(spark, sf, "customer").select("c_custkey", "c_name"), name)
+    rows = spark.table(name).agg(F.count(F.lit(1)).cast("string").alias("detail")).select(
+        F.lit("customers").alias("name"), "detail", F.lit(3).alias("place"))
+    listed = ST.table_metadata(spark, name)
+    columns = listed.where("name in ('c_custkey', 'c_name')").select(
+        "name", F.col("type").alias("detail"), F.when(F.col("name") == "c_custkey", 1).otherwise(2).alias("place"))
+    return columns.unionByName(rows)
+
+
 _SPLIT_SQL = "select c_mktsegment, count(*) as n, cast(sum(c_custkey) as bigint) as keys from customer group by 1"
 
 
@@ -206,11 +220,11 @@ def export_to_fs(spark, sf):
     return FS.scan_compressed(spark, path).select(F.col("value").alias("line"))
 
 
-def _new_table(spark: SparkSession, label: str, ddl: str) -> str:
+def _new_table(spark: SparkSession, label: str, ddl: str, partition: str | None = None) -> str:
     """A table of this run, its files in the shared folder."""
     path = scratch_path(spark, label)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet LOCATION '{path}'")
+    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet " + (f"PARTITIONED BY ({partition}) " if partition else "") + f"LOCATION '{path}'")
     return name
 
 
@@ -358,12 +372,13 @@ def rejected_rows(spark, sf):
   select concat_ws(chr(1), concat(cast(l_orderkey as varchar), case when {BAD_KEY} then 'x' else '' end), l_partkey, l_suppkey,
     l_linenumber, case when {BLANK_QUANTITY} then '' else cast(cast(l_quantity as decimal(12,2)) as varchar) end,
     cast(l_extendedprice as decimal(12,2)), cast(l_discount as decimal(4,2)), cast(l_tax as decimal(4,2)),
-    concat(l_returnflag, case when {WIDE_FLAG} then '+' else '' end), l_linestatus, cast(l_shipdate as date)) as line
-  from ({REASONED_SQL}) where reason is not null and reason <> 'arity'""")
+    concat(l_returnflag, case when {WIDE_FLAG} then '+' else '' end), l_linestatus, case when reason <> 'arity' then cast(l_shipdate as date) end) as line
+  from ({REASONED_SQL}) where reason is not null""")
 def write_rejects(spark, sf):
     path = scratch_path(spark, "rejects")
-    X.write_rejects(_checked(spark, sf).where("_reason <> 'arity'"), path)
-    return spark.read.text(path).withColumnRenamed("value", "line")
+    # A row of the wrong arity is kept as its line, so its fields are still split by the file's delimiter.
+    X.write_rejects(_checked(spark, sf).where("_reason is not null"), path)
+    return spark.read.text(path).select(F.translate("value", "|", REJECT_DELIMITER).alias("line"))
 
 
 @query("length_check", f"""

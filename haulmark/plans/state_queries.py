@@ -26,10 +26,11 @@ def for_all(spark, sf):
 
 
 @query("for_all_expr", """
-  select cast(1 + turn as integer) as iteration, concat('turn$', cast(1 + turn as varchar)) as copy_name, count(*) as n from conversations where turn < 8 group by 1, 2""")
+  select cast(1 + turn as integer) as iteration, concat('turn$', cast(1 + turn as varchar)) as copy_name, count(*) as n from conversations group by 1, 2""")
 def for_all_expr(spark, sf):
-    bindings = ST.for_all_expr(spark, "sequence(0, 7)", "turn")
     turns = table(spark, sf, "conversations").groupBy("turn").agg(F.count(F.lit(1)).alias("n"))
+    last = turns.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
+    bindings = ST.for_all_expr(spark, f"sequence(0, {last})", "turn")
     return bindings.join(turns, bindings["value"] == turns["turn"]).select("iteration", "copy_name", "n")
 
 
@@ -194,7 +195,7 @@ def splice(spark, sf):
 def stream_load(spark, sf):
     source, state = scratch_path(spark, "arriving"), scratch_path(spark, "stream")
     lineitem_lines(spark, sf).write.text(source)
-    name = _new_table(spark, "streamed", ", ".join(f"{c.name} {c.type}" for c in LINEITEM))
+    name = _new_table(spark, "streamed", ", ".join(f"{c.name} {c.type}" for c in LINEITEM) + ", batch bigint", "batch")
     load_stream(spark, source, name, state, LoadSetting(delimiter="|", error_tolerance=0.5), LINEITEM,
                 reject_path=scratch_path(spark, "streamrejects"), files_per_batch=1000).awaitTermination()
     return spark.table(name).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))

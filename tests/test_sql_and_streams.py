@@ -79,10 +79,41 @@ def test_stream_load_in_two_runs(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(f"{bad}/*").collect()) == ["3x\u0001r0", "3x\u0001r1"]
 
 
+def test_stream_settings_are_honoured_or_refused(spark, tmp_path):
+    name = fresh(spark, "streamed_set", "a int, b string, batch bigint", "PARTITIONED BY (batch)")
+    spark.sql("select 'x,NA' as value union all select '1,NA' union all select '2,ok'").coalesce(1).write.text(str(tmp_path / "in"))
+    bad, states = str(tmp_path / "bad"), [str(tmp_path / f"state{i}") for i in range(2)]
+    for state in states:  # a new checkpoint gives the same batch id again, as a replay does
+        stream_load(spark, str(tmp_path / "in"), name, state, LoadSetting(null_string="NA", reject_path=bad)).awaitTermination()
+        spark.catalog.refreshTable(name)  # the stream has a session of its own
+        assert sorted(map(tuple, spark.table(name).select("a", "b").collect()), key=repr) == [(1, None), (2, "ok")]
+        assert [r.value for r in spark.read.text(f"{bad}/*").collect()] == ["x\u0001NA"]
+    plain = fresh(spark, "streamed_plain", "a int")
+    for wrong in (LoadSetting(truncate=True), LoadSetting(codec="gzip")):
+        with pytest.raises(ValueError):
+            stream_load(spark, str(tmp_path / "in"), name, states[0], wrong)
+    with pytest.raises(ValueError, match="no column 'batch'"):
+        stream_load(spark, str(tmp_path / "in"), plain, states[0])
+
+
+def test_statements_of_every_form(spark, tmp_path):
+    name = fresh(spark, "dml_forms", "a bigint, b bigint")
+    assert Q.sql_execute(spark, f"-- note; more\n/* x */ INSERT INTO {name} SELECT id, id FROM range(5)") == 5
+    assert Q.sql_execute(spark, f"WITH r AS (SELECT 7L AS x) INSERT INTO {name} SELECT x, max(x) FROM r GROUP BY x") == 1
+    assert Q.sql_execute(spark, f"INSERT INTO {name} BY NAME SELECT 1L AS b, 9L AS a") == 1
+    assert Q.sql_execute(spark, f"INSERT OVERWRITE DIRECTORY '{tmp_path}/d' USING parquet SELECT * FROM {name}") == 7
+    assert Q.sql_execute(spark, f"UPDATE {name} AS t SET a = t.a + 100, b = 0 WHERE t.a = 9 OR t.b IN (7)") == 2
+    assert Q.sql_execute(spark, f"delete from {name} where a < 2") == 2
+    assert sorted(map(tuple, spark.table(name).collect())) == [(2, 2), (3, 3), (4, 4), (107, 0), (109, 0)]
+    assert Q.sql_execute(spark, f"DELETE FROM {name}") == 5 and spark.table(name).count() == 0
+    assert Q.sql_script(spark, f"INSERT INTO {name} VALUES (1, 1), (2, 2);\nDELETE FROM {name} WHERE a = 1;\n") == {name: 2}
+    assert spark.table(name).count() == 1
+
+
 def test_stream_over_its_limit_fails(spark, tmp_path):
     name = fresh(spark, "streamed_bad", "a int")
     spark.range(4).selectExpr("'x' as value").write.text(str(tmp_path / "in"))
-    query = stream_load(spark, str(tmp_path / "in"), name, str(tmp_path / "state"), LoadSetting(error_tolerance=0.5))
+    query = stream_load(spark, str(tmp_path / "in"), name, str(tmp_path / "state"), LoadSetting(error_tolerance=0.5), batch_column=None)
     with pytest.raises(Exception, match="rows rejected"):
         query.awaitTermination()
     assert spark.table(name).count() == 0
