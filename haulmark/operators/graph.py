@@ -63,7 +63,7 @@ def leaf_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def children(nodes: DataFrame, edges: DataFrame, kind: str = "all") -> DataFrame:
     """``name, child, kind`` for every node and the nodes that depend on it."""
-    wanted = edges if kind == "all" else edges.where(F.col("kind") == kind)
+    wanted = pinned(edges if kind == "all" else edges.where(F.col("kind") == kind), "links")
     return split_hot_join(wanted.withColumnRenamed("parent", "name"), nodes.select("name").distinct(), ["name"]) \
         .select("name", "child", "kind")
 
@@ -72,31 +72,29 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = Non
     """``name, level``: level 1 has no parents, others come one round after their last parent.
 
     A node on or behind a cycle has no level (NULL). Edges to unknown nodes count as unmet. There are
-    as many rounds as levels; each joins the nodes just placed to the edges, which are written and
-    checked for hot parents once, and keeps only the nodes still waiting.
+    as many rounds as levels. A round joins the nodes just placed to the edges, which are written and checked for hot
+    parents once, and writes one row for each child it touches and one for each node it places; a child whose rows add
+    up to its number of parents is placed. So all rounds together write a row an edge and a row a node at most.
     """
     spark = nodes.sparkSession
     links = pinned(edges.select("child", "parent").distinct(), "links")
     hot = hot_keys(links, ["parent"])
-    waits = links.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("waits"))
-    found = scratch_path(spark, "levels")
-
-    def keep(round_no: int, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Write the nodes of a round in one go, apart by whether they are placed."""
-        split = pinned(state.withColumn("placed", F.col("waits") == 0), "levels", f"{found}/level={round_no}", ["placed"])
-        return split.where("placed").select("name"), split.where("not placed").select("name", "waits")
-
+    names = pinned(nodes.select("name").distinct(), "names")
+    waits = pinned(links.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("waits")).join(names, "name", "left_semi"), "waits")
+    found, partly = scratch_path(spark, "levels"), scratch_path(spark, "met")
     level = 1
-    placed, waiting = keep(level, nodes.select("name").distinct().join(waits, "name", "left").select(
-        "name", F.coalesce("waits", F.lit(0)).alias("waits")))
+    placed = pinned(names.join(waits, "name", "left_anti"), "levels", f"{found}/level=1")
     while (max_rounds is None or level < max_rounds) and not placed.isEmpty():
+        level += 1
         met = join_with_hot(links, placed.withColumnRenamed("name", "parent"), ["parent"], hot).groupBy(
             F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("met"))
-        level += 1
-        placed, waiting = keep(level, waiting.join(met, "name", "left").select(
-            "name", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")))
-    done = spark.read.schema("name string, waits bigint, level int, placed boolean").parquet(found).where("placed")
-    return done.select("name", "level").unionByName(waiting.select("name", F.lit(None).cast("int").alias("level")))
+        met = pinned(met, "met", f"{partly}/round={level}")
+        so_far = spark.read.schema("name string, met bigint, round int").parquet(partly)
+        ready = so_far.join(met.select("name"), "name", "left_semi").groupBy("name").agg(F.sum("met").alias("met")).join(
+            waits, "name").where("met = waits").select("name")
+        placed = pinned(ready, "levels", f"{found}/level={level}")
+    done = spark.read.schema("name string, level int").parquet(found)
+    return done.unionByName(names.join(done, "name", "left_anti").select("name", F.lit(None).cast("int").alias("level")))
 
 
 def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,7 +114,7 @@ def is_met(kind: Column, parent_status: Column) -> Column:
 def runnable_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """READY nodes whose dependencies are all met."""
     parents = nodes.select(F.col("name").alias("parent"), F.col("status").alias("_status"))
-    unmet = split_hot_join(edges, parents, ["parent"], "left").where(
+    unmet = split_hot_join(pinned(edges, "links"), parents, ["parent"], "left").where(
         ~F.coalesce(is_met(F.col("kind"), F.col("_status")), F.lit(False)))
     blocked = unmet.select(F.col("child").alias("name")).distinct()
     return nodes.where(F.col("status") == "READY").join(blocked, "name", "left_anti").select("name")

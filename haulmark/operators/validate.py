@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import TargetColumn, names
+from ..session import pinned
 from ..settings import REJECT_DELIMITER
 from ..sources.delimited import ARITY_OK, LINE
 
@@ -199,13 +200,20 @@ def drop_duplicate_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def unique_violations(df: DataFrame, key: Sequence[str], order_by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Keep one row per key, the first by ``order_by`` and then by all columns; the rest are violations.
 
-    Violations come as distinct rows with a ``copies`` count. Both sides are pre-aggregated sums and
-    minima, never a sort of a key's rows, so a key that holds a third of the table is no special case.
+    Violations come as distinct rows with a ``copies`` count. Keys are counted on their own columns; a row whose key is
+    single passes as it is, and only rows of repeated keys are shuffled whole. These are sums and minima, combined before
+    the shuffle and never a sort of a key's rows, so a key that holds a third of the table is no special case.
     """
+    repeated = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(
+        F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows")
+    repeated = pinned(repeated, "repeated-keys")
+    same = reduce(Column.__and__, [F.col(f"d.{k}").eqNullSafe(F.col(f"r._k{i}")) for i, k in enumerate(key)])
+    single = df.alias("d").join(repeated.alias("r"), same, "left_anti")
+    rows = df.alias("d").join(repeated.alias("r"), same, "left_semi")
     rank = [*order_by, *[c for c in df.columns if c not in set(order_by)]]
-    kept = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(
+    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(
         F.min(F.struct(*rank)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
-    # The rows minus one copy of each kept row, as a signed count per distinct row.
-    signed = df.withColumn("_n", F.lit(1).cast("bigint")).unionByName(kept.withColumn("_n", F.lit(-1).cast("bigint")))
+    # The rows minus one copy of each first row, as a signed count per distinct row.
+    signed = rows.withColumn("_n", F.lit(1).cast("bigint")).unionByName(first.withColumn("_n", F.lit(-1).cast("bigint")))
     uv = signed.groupBy(*df.columns).agg(F.sum("_n").alias("copies")).where("copies > 0")
-    return kept, uv
+    return single.unionByName(first), uv

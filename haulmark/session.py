@@ -25,6 +25,10 @@ DEFAULTS = {
 }
 
 
+# The temporary folder of each local application that names none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app_name: str = "haulmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; keyword arguments use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)
@@ -38,7 +42,7 @@ def build_session(app_name: str = "haulmark", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the session names none, a temporary folder is made and set in local mode only: on a cluster the executors
+    Where the session names none, a temporary folder is made in local mode only: on a cluster the executors
     would write to their own disks what the driver cannot read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,8 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
-        folder = tempfile.mkdtemp(prefix="haulmark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _LOCAL_FOLDERS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="haulmark-")
+        _LOCAL_FOLDERS[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from haulmark.operators import graph as GR, state as ST
-from haulmark import skew
+from haulmark import session, skew
 
 EDGE = "child string, parent string, kind string"
 
@@ -178,3 +178,15 @@ def test_state_log(spark):
     assert ST.latest_state(df, ["task"], ["ts"]).first().status == "SUCCEEDED"
     assert ST.pending(df.select("task").distinct(), df, ["task"]).count() == 0
     assert df.select(ST.seconds_between("ts", F.lit("2024-01-01 00:00:59").cast("timestamp_ntz"))).first()[0] == 59
+
+
+def test_rounds_write_a_row_a_node_and_a_row_an_edge(spark, tmp_path, monkeypatch):
+    """A chain with a fan at its end: no round writes the nodes that still wait."""
+    chain = [(f"c{i}", f"c{i - 1}") for i in range(1, 12)] + [(f"f{i}", "c11") for i in range(40)]
+    nodes = spark.createDataFrame([("c0",)] + [(c,) for c, _ in chain], "name string")
+    edges = spark.createDataFrame([(c, p, "success") for c, p in chain], "child string, parent string, kind string")
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    levels = {r.name: r.level for r in GR.topo_levels(nodes, edges).collect()}
+    assert levels["c11"] == 12 and levels["f7"] == 13 and len(levels) == 52
+    written = sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir() if p.name.startswith(("levels-", "met-")))
+    assert written == len(levels) + len(chain)
