@@ -153,7 +153,10 @@ _sql("join_anti", "select o_orderkey from orders where not exists (select 1 from
 _sql("join_theta", """
   select r_name, count(*) as orders, cast(sum(cast(o_totalprice as decimal(12,2))) as double) as price
   from orders join (select r_name, r_regionkey * 100000 as low, (r_regionkey + 1) * 100000 as high from region) band
-    on o_totalprice >= low and o_totalprice < high group by r_name""", "orders", "region")
+    on o_totalprice >= low and o_totalprice < high group by r_name""", "orders", "region", spark_text="""
+  select r_name, count(*) as orders, cast(sum(cast(o_totalprice as decimal(12,2))) as double) as price
+  from orders join (select r_name, r_regionkey as band, r_regionkey * 100000 as low, (r_regionkey + 1) * 100000 as high from region) band
+    on cast(floor(o_totalprice / 100000) as bigint) = band and o_totalprice >= low and o_totalprice < high group by r_name""")
 
 _sql("group_count", """
   select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(12,2))) as double) as qty,
