@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import tokenizer_path
-from .common import id_mod, map_rows, map_slices, raw_text
+from .common import SLICE, id_mod, map_slices, mixed, raw_text
 from .registry import query, table
 from ..session import pinned
 
@@ -61,6 +61,22 @@ class Pieces:
                     if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
         self.unk, self.size = model.unk_id(), model.get_piece_size()
         self.none, self.longest = self.size, max(map(len, self.ids))
+        # Per length, the pieces' hashes in order and their ids: all substrings of many words are looked up at once.
+        self.tables = {}
+        for n in range(1, self.longest + 1):
+            found = [x for x in self.ids if len(x) == n]
+            if found:
+                h = self._hashes(_codes(found, n))[0][n - 1][:, 0]
+                order = np.argsort(h)
+                self.tables[n] = h[order], np.array([self.ids[found[i]] for i in order], np.int32)
+
+    def _hashes(self, codes: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """For each length, the hashes of all substrings of that length, [word, start]."""
+        base, k = np.uint64(0x9E3779B97F4A7C15), min(codes.shape[1], self.longest)
+        out = [codes]
+        for m in range(2, k + 1):
+            out.append(out[-1][:, :-1] * base + codes[:, m - 1:])
+        return out, k
 
     @classmethod
     def of(cls, path: str) -> "Pieces":
@@ -71,15 +87,23 @@ class Pieces:
     def lattice(self, words: list[str]) -> np.ndarray:
         """Piece ids for words of one length: [word, end - 1, piece length - 1]."""
         n = len(words[0])
-        k = min(n, self.longest)
-        get, none = self.ids.get, self.none
-        flat = [get(w[e - m:e], none) if m <= e else none for w in words for e in range(1, n + 1) for m in range(1, k + 1)]
-        out = np.array(flat, np.int32).reshape(len(words), n, k)
+        hashes, k = self._hashes(_codes(words, n))
+        out = np.full((len(words), n, k), self.none, np.int32)
+        for m in range(1, k + 1):
+            if m in self.tables:
+                keys, ids = self.tables[m]
+                at = np.minimum(np.searchsorted(keys, hashes[m - 1]), len(keys) - 1)
+                out[:, m - 1:, m - 1] = np.where(keys[at] == hashes[m - 1], ids[at], self.none)
         first = out[:, :, 0]
-        first[first == none] = self.unk
+        first[first == self.none] = self.unk
         return out
 
 
+def _codes(words: list[str], n: int) -> np.ndarray:
+    """A hash of each character, [word, place]."""
+    return mixed(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64) + np.uint64(1))
+
+
 def by_length(words: list[str]):
     """Index lists of words of equal length, few enough at a time for bounded memory."""
     groups: dict[int, list[int]] = {}
@@ -125,12 +149,29 @@ def backward(ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
     return out
 
 
+def totals(ids: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
+    """Log of the last column of ``forward``, with plain probabilities that are scaled up on the way."""
+    count, n, k = ids.shape
+    out = np.zeros((count, n + 1, probabilities.shape[1]))
+    out[:, 0] = 1
+    scale = np.zeros(out[:, 0].shape)
+    for end in range(1, n + 1):
+        m = min(end, k)
+        out[:, end] = (out[:, end - m:end][:, ::-1] * probabilities[ids[:, end - 1, :m]]).sum(axis=1)
+        if end % 16 == 0:  # a piece's probability is far above 1e-18, so 16 steps stay in range
+            low = max(0, end - k)
+            top = out[:, low:end + 1].max(axis=1)
+            out[:, low:end + 1] /= top[:, None]
+            scale += np.log(top)
+    return np.log(out[:, n]) + scale
+
+
 def word_scores(words: list[str], logs: np.ndarray, pieces: Pieces) -> np.ndarray:
     """[word, language] log probabilities."""
-    marked = [MARK + w for w in words]
+    marked, probabilities = [MARK + w for w in words], np.exp(logs)
     out = np.empty((len(words), logs.shape[1]))
     for some in by_length(marked):
-        out[some] = forward(pieces.lattice([marked[i] for i in some]), logs)[:, -1]
+        out[some] = totals(pieces.lattice([marked[i] for i in some]), probabilities)
     return out
 
 
@@ -225,18 +266,17 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(model.languages)))
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """Summed log probabilities of a text's words."""
-        at = list(map(self.known.get, words))
-        if None in at:
-            new = list({w for w, i in zip(words, at) if i is None})
-            if len(self.known) + len(new) > KNOWN_WORDS:
-                self.known.clear()
-                self.rows = self.rows[:0]
-                new = list(set(words))
-            self._add(new)
-            at = [self.known[w] for w in words]
-        return self.rows[at].sum(axis=0)
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Summed log probabilities of each text's words; the new words of all texts are scored together."""
+        flat = list(chain.from_iterable(texts))
+        new = set(flat).difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known.clear()
+            new = set(flat)
+        self._add(list(new))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        ends = np.cumsum([len(t) for t in texts])
+        return [self.rows[at[e - len(t):e]].sum(axis=0) for t, e in zip(texts, ends.tolist())]
 
     def _add(self, words: list[str]) -> None:
         size = len(self.known)
@@ -259,18 +299,19 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep=("d
     def setup():
         scorer = Scorer(model)
 
-        def row(*cells):
-            words = letter_runs((cells[-1] or b"").decode("utf-8", "replace"))
-            if not words or not model.languages:
-                yield (*cells[:-1], UNDETERMINED, 0.0)
-                return
-            p = posterior(scorer.of(words), sum(map(len, words)))
-            best = int(p.argmax())
-            yield (*cells[:-1], model.languages[best], float(p[best]))
+        def fn(columns):
+            texts = [letter_runs((body or b"").decode("utf-8", "replace")) for body in columns[-1]]
+            for kept, words, total in zip(zip(*columns[:-1]), texts, scorer.of(texts)):
+                if not words or not model.languages:
+                    yield (*kept, UNDETERMINED, 0.0)
+                    continue
+                p = posterior(total, sum(map(len, words)))
+                best = int(p.argmax())
+                yield (*kept, model.languages[best], float(p[best]))
 
-        return row
+        return fn
 
-    return map_rows(docs.select(*keep, raw_text(text)), setup, [*zip(keep, types), ("lang_pred", "string"), ("score", "double")])
+    return map_slices(docs.select(*keep, raw_text(text)), setup, [*zip(keep, types), ("lang_pred", "string"), ("score", "double")])
 
 
 def with_language(docs: DataFrame, model: LanguageModel, least: float = LEAST_SCORE, text: str = "text") -> DataFrame:
@@ -283,11 +324,11 @@ def with_language(docs: DataFrame, model: LanguageModel, least: float = LEAST_SC
         scorer = Scorer(model)
         for column in columns:
             keep = []
-            for body in column:
-                words = letter_runs((body.as_py() or b"").decode("utf-8", "replace"))
-                keep.append(bool(words) and (not model.languages or float(
-                    posterior(scorer.of(words), sum(map(len, words))).max()) >= least))
-            yield pa.array(keep)
+            for at in range(0, len(column), SLICE):
+                texts = [letter_runs((x or b"").decode("utf-8", "replace")) for x in column.slice(at, SLICE).to_pylist()]
+                keep += [bool(words) and (not model.languages or float(posterior(total, sum(map(len, words))).max()) >= least)
+                         for words, total in zip(texts, scorer.of(texts))]
+            yield pa.array(keep, pa.bool_())
 
     return docs.where(told(raw_text(text)))
 
