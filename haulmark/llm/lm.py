@@ -39,7 +39,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 50_256
 WIDTH, HALF = 16, 32  # of vectors; of a window
 OWN_ROWS, CLASSES = 2_048, 64
-SLICES, ROUNDS = 16, 2  # each round trains on another slice of the documents, one in SLICES
+SLICES, ROUNDS = 64, 2  # each round trains on another slice of the documents, one in SLICES
 STEP, BATCH = 0.01, 64
 HEAD = 1 << 18  # most frequent words held by each task: 4 MB
 ALPHA = 0.1
@@ -74,21 +74,30 @@ def first_parameters(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndar
             "b": np.zeros(2 * HALF, np.float32), "o": draw(WIDTH, CLASSES), "c": vocabulary.share.copy()}
 
 
-def windows_of(ids: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input rows [window, 2 * HALF], target ids [window, HALF] (-1: none), and each text's number of windows."""
-    inputs, targets, counts = [], [], []
-    for x in ids:
-        blocks = -(-len(x) // HALF)
-        row = np.full((blocks + 1) * HALF, Vocabulary.PAD, np.int32)
-        row[HALF] = Vocabulary.START
-        row[HALF + 1:HALF + len(x)] = vocabulary.row_of[x[:-1]]
-        target = np.full(blocks * HALF, -1, np.int32)
-        target[:len(x)] = x
-        halves = row.reshape(-1, HALF)
-        inputs.append(np.hstack([halves[:-1], halves[1:]]))
-        targets.append(target.reshape(-1, HALF))
-        counts.append(blocks)
-    return np.vstack(inputs), np.vstack(targets), np.array(counts)
+def halves_of(ids: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input rows and target ids (-1: none), [half window, place], and each text's number of halves.
+
+    A text begins with an empty half; each of its other halves, behind the one before it, is a window.
+    """
+    sizes = np.array([-(-len(x) // HALF) + 1 for x in ids])
+    rows = np.full(int(sizes.sum()) * HALF, Vocabulary.PAD, np.int32)
+    targets = np.full(len(rows), -1, np.int32)
+    at = HALF
+    for x, n in zip(ids, sizes.tolist()):
+        rows[at] = Vocabulary.START
+        rows[at + 1:at + len(x)] = vocabulary.row_of[x[:-1]]
+        targets[at:at + len(x)] = x
+        at += n * HALF
+    return rows.reshape(-1, HALF), targets.reshape(-1, HALF), sizes
+
+
+def windows_of(ids: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows [window, 2 * HALF] and target ids [window, HALF] (-1: none)."""
+    rows, targets, sizes = halves_of(ids, vocabulary)
+    second = np.ones(len(rows), bool)
+    second[np.cumsum(sizes) - sizes] = False
+    at = np.flatnonzero(second)
+    return np.hstack([rows[at - 1], rows[at]]), targets[at]
 
 
 _AHEAD = np.arange(HALF)[:, None] + HALF - np.arange(2 * HALF)[None, :]  # how far a key lies behind each query
@@ -114,19 +123,55 @@ def _attend(p: dict, rows: np.ndarray):
     return e, q, k, v, s, out, logits
 
 
-def log_probabilities(p: dict, vocabulary: Vocabulary, rows: np.ndarray, targets: np.ndarray, batch: int = 512) -> np.ndarray:
-    """Natural log probability of each window's targets."""
-    out = np.empty(len(rows))
-    for at in range(0, len(rows), batch):
-        t = targets[at:at + batch]
-        logits = _attend(p, rows[at:at + batch])[-1]
+def _sums_of_exp(x: np.ndarray, safe: bool) -> np.ndarray:
+    """Exponentials in place, up to a factor a row where values may leave the range of floats; returns the rows' shifts."""
+    shift = np.zeros(x.shape[:-1] + (1,), x.dtype)
+    if not safe:
+        shift = x.max(axis=-1, keepdims=True)
+        x -= shift
+    np.exp(x, out=x)
+    return shift
+
+
+def log_probabilities(p: dict, vocabulary: Vocabulary, ids: list[np.ndarray], batch: int = 64) -> np.ndarray:
+    """Natural log probability of each text's ids.
+
+    Keys, values, queries and inputs of a row are one row of a table, looked up once an id; windows are overlapping views
+    of the looked-up rows.
+    """
+    rows, targets, sizes = halves_of(ids, vocabulary)
+    d, halves = WIDTH, len(rows)
+    table_ = np.hstack([p["e"] @ p["k"], p["e"] @ p["v"], p["e"] @ p["q"] / np.float32(math.sqrt(d)), p["e"]]).astype(np.float32)
+    bias = np.where(_PAST, p["b"][_BEHIND], -1e9).astype(np.float32)
+    longest = [float(np.sqrt((table_[:, i * d:(i + 1) * d] ** 2).sum(axis=1).max())) for i in range(4)]
+    small = longest[0] * longest[2] + float(np.abs(p["b"]).max()) < 60
+    small_out = (longest[1] + longest[3]) * float(np.sqrt((p["o"] ** 2).sum(axis=0).max())) + float(np.abs(p["c"]).max()) < 60
+    empty = np.zeros(halves, bool)
+    empty[np.cumsum(sizes) - sizes] = True
+    out = np.zeros(halves)
+    for at in range(1, halves, batch):
+        end = min(halves, at + batch)
+        n = end - at
+        found = table_.take(rows[at - 1:end].ravel(), axis=0)
+        line, item = found.strides
+        window = np.lib.stride_tricks.as_strided(found, (n, 2 * HALF, 4 * d), (HALF * line, line, item), writeable=False)
+        s = window[:, HALF:, 2 * d:3 * d] @ window[:, :, :d].transpose(0, 2, 1)
+        s += bias
+        _sums_of_exp(s, small)
+        s[empty[at - 1:end - 1], :, :HALF] = 0  # nothing stands before a text
+        h = s @ window[:, :, d:2 * d]
+        h /= s.sum(axis=2, keepdims=True)
+        h += window[:, HALF:, 3 * d:]
+        logits = h.reshape(-1, d) @ p["o"]
+        logits += p["c"]
+        t = targets[at:end].ravel()
         there = t >= 0
         t = np.where(there, t, 0)
-        picked = np.take_along_axis(logits, vocabulary.class_of[t][:, :, None], 2)[:, :, 0]
-        np.exp(logits, out=logits)
-        each = picked - np.log(logits.sum(axis=2)) + vocabulary.inside[t]
-        out[at:at + batch] = np.where(there, each, 0).sum(axis=1, dtype=np.float64)
-    return out
+        picked = logits[np.arange(len(t)), vocabulary.class_of[t]]
+        shift = _sums_of_exp(logits, small_out)
+        each = picked - shift[:, 0] - np.log(logits.sum(axis=1)) + vocabulary.inside[t]
+        out[at:end] = np.where(there, each, 0).reshape(n, HALF).sum(axis=1, dtype=np.float64)
+    return np.add.reduceat(out, np.cumsum(sizes) - sizes)
 
 
 def gradients(p: dict, rows: np.ndarray, classes: np.ndarray) -> tuple[dict, float]:
@@ -251,7 +296,7 @@ def train_attention(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
             adam, seen, waiting = Adam(mine), 0, []
 
             def step(some):
-                rows, targets, _ = windows_of(some, vocabulary)
+                rows, targets = windows_of(some, vocabulary)
                 classes = np.where(targets >= 0, vocabulary.class_of[np.maximum(targets, 0)], -1)
                 order = np.random.default_rng(len(rows)).permutation(len(rows))
                 for at in range(0, len(rows), BATCH):
@@ -340,9 +385,7 @@ def score_documents(docs: DataFrame, head: Head, vocabulary: Vocabulary, p: dict
                 while end < len(texts) and (end == at or size + len(texts[end]) <= 200_000):
                     size += len(texts[end])
                     end += 1
-                rows, targets, counts = windows_of(texts[at:end], vocab)
-                logs = log_probabilities(mine, vocab, rows, targets)
-                scores[at:end] = np.add.reduceat(logs, np.cumsum(counts) - counts) / math.log(10)
+                scores[at:end] = log_probabilities(mine, vocab, texts[at:end]) / math.log(10)
                 at = end
             for (r, doc_id, held, n, known, base, word, times), score in zip(parts, scores.tolist()):
                 yield r, doc_id, held, n, known, base, word.view(np.int64).tolist(), times.tolist(), score

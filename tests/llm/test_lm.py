@@ -23,7 +23,7 @@ def vocabulary():
 def test_gradients(vocabulary):
     rnd = np.random.default_rng(2)
     p = {n: x.astype(np.float64) for n, x in lm.first_parameters(vocabulary).items()}
-    rows, targets, _ = lm.windows_of([rnd.integers(0, 9000, n) for n in (1, 40, 90)], vocabulary)
+    rows, targets = lm.windows_of([rnd.integers(0, 9000, n) for n in (1, 40, 90)], vocabulary)
     classes = np.where(targets >= 0, vocabulary.class_of[np.maximum(targets, 0)], -1)
     g, _ = lm.gradients(p, rows, classes)
     for name in p:
@@ -57,11 +57,13 @@ def test_windows_score_each_id_once_and_probabilities_sum_to_one(vocabulary):
     p = lm.first_parameters(vocabulary)
     p["b"] = rnd.standard_normal(2 * lm.HALF).astype(np.float32)
     texts = [rnd.integers(0, 9000, n) for n in (1, 31, 32, 33, 64, 65, 200)]
-    rows, targets, counts = lm.windows_of(texts, vocabulary)
-    assert (targets >= 0).sum() == sum(map(len, texts))
-    logs = lm.log_probabilities(p, vocabulary, rows, targets, batch=3)
-    got = np.add.reduceat(logs, np.cumsum(counts) - counts)
-    assert got == pytest.approx([plain_score(p, vocabulary, t) for t in texts], rel=1e-4)
+    for _, targets in (lm.windows_of(texts, vocabulary), lm.halves_of(texts, vocabulary)[:2]):
+        assert (targets >= 0).sum() == sum(map(len, texts))
+    want = [plain_score(p, vocabulary, t) for t in texts]
+    for batch in (1, 3, 64):
+        assert lm.log_probabilities(p, vocabulary, texts, batch) == pytest.approx(want, rel=1e-4)
+    large = p | {"q": p["q"] * 3000, "o": p["o"] * 300}  # out of the range where exponentials are taken as they are
+    assert lm.log_probabilities(large, vocabulary, texts) == pytest.approx([plain_score(large, vocabulary, t) for t in texts], rel=1e-3)
     assert np.bincount(vocabulary.class_of, np.exp(vocabulary.inside.astype(float)), lm.CLASSES) == pytest.approx(
         (np.bincount(vocabulary.class_of, minlength=lm.CLASSES) > 0).astype(float), abs=1e-3)
 
