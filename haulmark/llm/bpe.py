@@ -24,7 +24,7 @@ _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+|
 # The model reads bytes as printable characters: those that are printable as themselves, the others from 256 on, in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-UNITS = 700_000
+UNITS = 1_000_000
 LONG_UNIT = 64
 
 
@@ -105,8 +105,9 @@ class Encoder:
         return out
 
     def _segment(self, text: str) -> list:
-        parts = text.replace("\n", " ").split(" ")
-        single = "" not in parts and len(parts) == len(text.split())  # white space is single spaces and line ends
+        flat = text.replace("\n", " ")
+        # All white space but the space is unprintable, so here it is single spaces and line ends.
+        single = "  " not in flat and flat[0] != " " and flat[-1] != " " and flat.isprintable()
         units = text.split(" ") if single else _STABLE.split(text)
         return self._values(self.bare, units[:1], "") + self._values(self.spaced, units[1:], " ")
 

@@ -42,11 +42,11 @@ SLOT = np.dtype([("print", "<u4"), ("copies", "<u4"), ("n", "<i8"), ("shard", "<
 
 
 def packed16(ids: list[int]) -> bytes:
-    return np.array(ids, "<u2").tobytes()
+    return struct.pack(f"<{len(ids)}H", *ids)
 
 
 def packed32(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def key_hashes(keys: list) -> np.ndarray:
