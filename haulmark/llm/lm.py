@@ -6,9 +6,9 @@ frequency, and the id within its class follows corpus counts. Its log probabilit
 included.
 
 *Counts* of words and of ids cover all training documents: a pass with partial sums. *Attention* is trained by local steps
-and averaging: every partition takes Adam steps over a share of its documents, chosen by hash, from the common parameters,
-and sends back its parameters and how many ids it saw; they are averaged by groups of bounded size. The share grows with the
-input; ``SLICES`` is the parameter.
+and averaging: every partition takes Adam steps over its documents of the round, from the common parameters, and sends back
+its parameters and how many ids it saw; they are averaged by groups of bounded size. A hash deals the documents to the
+``ROUNDS``, so that after the last one each training document was used once.
 
 *Scoring* cuts the ids of a text into context windows that overlap by half. A window's second half is scored, with attention,
 masked to the past, on the whole window, so each id is scored once; windows of many texts go through as one batch.
@@ -39,7 +39,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 50_256
 WIDTH, HALF = 16, 32  # of vectors; of a window
 OWN_ROWS, CLASSES = 2_048, 64
-SLICES, ROUNDS = 64, 2  # each round trains on another slice of the documents, one in SLICES
+ROUNDS = 4  # each trains on another slice of the documents, all together on every one
 STEP, BATCH = 0.01, 64
 HEAD = 1 << 18  # most frequent words held by each task: 4 MB
 ALPHA = 0.1
@@ -162,7 +162,7 @@ def log_probabilities(p: dict, vocabulary: Vocabulary, ids: list[np.ndarray], ba
         h = s @ window[:, :, d:2 * d]
         h /= s.sum(axis=2, keepdims=True)
         h += window[:, HALF:, 3 * d:]
-        logits = h.reshape(-1, d) @ p["o"]
+        logits = (h @ p["o"]).reshape(n * HALF, -1)  # a product a window: in one of all, rounding would hang on a row's place
         logits += p["c"]
         t = targets[at:end].ravel()
         there = t >= 0
@@ -180,9 +180,10 @@ def gradients(p: dict, rows: np.ndarray, classes: np.ndarray) -> tuple[dict, flo
     there = classes >= 0
     n = max(1, int(there.sum()))
     want = np.where(there, classes, 0)[:, :, None]
-    log_sum = np.log(np.exp(logits).sum(axis=2, keepdims=True))
-    loss = -float(((np.take_along_axis(logits, want, 2) - log_sum)[:, :, 0] * there).sum()) / n
-    d = np.exp(logits - log_sum)
+    d = np.exp(logits)
+    total = d.sum(axis=2, keepdims=True)
+    loss = -float(((np.take_along_axis(logits, want, 2) - np.log(total))[:, :, 0] * there).sum()) / n
+    d /= total
     np.put_along_axis(d, want, np.take_along_axis(d, want, 2) - 1, 2)
     d *= (there / n).astype(np.float32)[:, :, None]
     near = e[:, HALF:]
@@ -195,8 +196,8 @@ def gradients(p: dict, rows: np.ndarray, classes: np.ndarray) -> tuple[dict, flo
     d_q, d_k = scaled @ k, scaled.transpose(0, 2, 1) @ q
     d_e = d_k @ p["k"].T + d_v @ p["v"].T
     d_e[:, HALF:] += d_out + d_q @ p["q"].T
-    rows_e = np.zeros_like(p["e"])
-    np.add.at(rows_e, rows.ravel(), flat(d_e))
+    cells = (rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    rows_e = np.bincount(cells, d_e.ravel(), p["e"].size).reshape(p["e"].shape).astype(p["e"].dtype)
     return {"e": rows_e, "q": flat(near).T @ flat(d_q), "k": flat(e).T @ flat(d_k), "v": flat(e).T @ flat(d_v),
             "b": np.bincount(_BEHIND[_PAST], d_s.sum(axis=0)[_PAST], 2 * HALF).astype(np.float32),
             "o": flat(out).T @ flat(d), "c": d.sum(axis=(0, 1))}, loss
@@ -282,10 +283,10 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(raw_text(text)).mapInArrow(run, "subword boolean, key long, n long").groupBy("subword", "key").agg(F.sum("n").alias("n"))
 
 
-def train_attention(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS, slices: int = SLICES) -> dict:
-    """Parameters after ``rounds`` of local steps and averaging over the documents, one slice a round."""
+def train_attention(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> dict:
+    """Parameters after ``rounds`` of local steps and averaging, each over its own slice of the documents."""
     p = first_parameters(vocabulary)
-    draw = F.pmod(F.xxhash64(F.lit(31), F.col("doc_id"), F.col(text)), F.lit(slices))
+    draw = F.pmod(F.xxhash64(F.lit(31), F.col("doc_id"), F.col(text)), F.lit(rounds))
     for r in range(rounds):
         start = _pack(p)
 
@@ -293,7 +294,7 @@ def train_attention(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
             from pyspark import TaskContext
 
             reader, mine = Reader(), _unpack(start, first_parameters(vocabulary))
-            adam, seen, waiting = Adam(mine), 0, []
+            adam, seen, waiting, held = Adam(mine), 0, [], 0
 
             def step(some):
                 rows, targets = windows_of(some, vocabulary)
@@ -307,9 +308,10 @@ def train_attention(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
             for batch in batches:
                 for body in batch.column(0):
                     waiting.append(reader.ids(reader.words(body.as_py())))
-                    if sum(map(len, waiting)) > 100_000:
+                    held += len(waiting[-1])
+                    if held > 100_000:
                         seen += step(waiting)
-                        waiting = []
+                        waiting, held = [], 0
             if waiting:
                 seen += step(waiting)
             if seen:
@@ -317,7 +319,7 @@ def train_attention(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()),
                                                   pa.array([total.tobytes()], pa.binary())], ["task", "seen", "total"])
 
-        sums = pinned(docs.where(draw == r % slices).select(raw_text(text)).mapInArrow(run, "task long, seen long, total binary"), "lm-parts")
+        sums = pinned(docs.where(draw == r).select(raw_text(text)).mapInArrow(run, "task long, seen long, total binary"), "lm-parts")
         while (n := sums.count()) > AVERAGED_AT_ONCE:
             grouped = sums.groupBy(F.pmod("task", F.lit(-(-n // AVERAGED_AT_ONCE))).alias("group"))
             sums = pinned(grouped.applyInArrow(_added, "task long, seen long, total binary"), "lm-parts")

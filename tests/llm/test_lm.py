@@ -101,3 +101,15 @@ def test_attention_learns(spark):
     counts = np.bincount(ids, minlength=lm.END + 1)  # even against their own frequencies
     unigram = float((np.log10((counts + .5) / (counts + .5).sum())[ids]).sum())
     assert sum(r.score for r in rows) > unigram
+
+
+def test_every_training_document_is_used(spark):
+    """Each document has words of its own; training must move the input row of every id it reads."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q {chr(97 + i // 26)}{chr(97 + i % 26)}zx end") for i in range(300)] + [(None, "null id")]
+    reader = lm.Reader()
+    ids = [reader.ids(reader.words(t.encode())) for _, t in rows]
+    vocabulary = lm.Vocabulary(np.bincount(np.concatenate(ids), minlength=lm.END + 1))
+    p = lm.train_attention(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocabulary)
+    moved = (p["e"] != lm.first_parameters(vocabulary)["e"]).any(axis=1)
+    read = np.unique(vocabulary.row_of[np.concatenate([x[:-1] for x in ids])])
+    assert len(read) > 200 and moved[read].all()
