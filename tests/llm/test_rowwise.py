@@ -116,6 +116,9 @@ def test_base_spans_are_those_of_the_patterns(text):
      "plus one nine eight eight five five five two four eight five"),
     ("at one nine two dot one six eight dot one dot five", "ip", "one nine two dot one six eight dot one dot five"),
     ("see ４５３２ 0151 1283 0366", "card", "４５３２ 0151 1283 0366"),
+    ("server 10 . 0 . 0 . 1 is up", "ip", "10 . 0 . 0 . 1"),
+    ("server 10. 0. 0. 1 is up", "ip", "10. 0. 0. 1"),
+    ("joe@host . com wrote", "email", "joe@host . com"),
     ("ﬁx 漢 call +1 (nine eight eight) 555-2485", "phone", "+1 (nine eight eight) 555-2485"),
 ])
 def test_disguises_map_back_to_the_source(text, kind, span):
@@ -123,6 +126,23 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert [(text[s:e], pii.KINDS[k]) for s, e, k in found] == [(span, kind)]
 
 
+PIECES = ["ann", "host", "com", "c0m", "аnn", "at", "At", "arroba", "@", "dot", "DOT", "punkt", ".", "[", "(", "<", "]", ")", ">", "_", "*", "|", "one",
+          "Un", "uno", "ſeven", "Fİve", "fünf", "ZÉRO", "plus", "más", "+", "10", "7", "255", ",", "-", " ", " ", " ", "  ", "\n", "４", "é", "_a"]
+
+
+def all_of(mapped):
+    return mapped.text, mapped.new, mapped.old, mapped.same
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join))
+def test_gates_and_first_looks_change_nothing(text):
+    assert all_of(pii.deobfuscate(text)) == all_of(pii.deobfuscate(text, gated=False))
+    plain = re.compile(re.sub(r"\(\?=\[.*?\(\?!\\w\)\)\(\?=.*?\(\?!\\w\)\)", "", pii._SPOKEN.pattern, count=1), re.I)
+    assert plain.pattern.startswith(r"(?<!\w)(?:(?:") and "(?=[" not in plain.pattern[:40]
+    assert [m.span() for m in pii._SPOKEN.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
 @pytest.mark.parametrize("text", ["look at the house. Dot by dot it grew", "one two three four", "x at y", "Un deux trois at home.",
                                   "plus one", "b@c.de and b@c.de", "at 3.14 dot"])
 def test_plain_prose_gains_nothing(text):
