@@ -2,15 +2,17 @@
 
 Test items and documents are read as normalised words (lower case, ASCII punctuation as white space). Every run of ``SEED``
 words of an item is a seed. A first pass counts the items' words in the whole corpus. A seed is rare if its words, drawn by
-these frequencies, would hardly meet by chance; each item always keeps its rarer half. (How often the seed itself occurs would
+these frequencies, would hardly meet by chance; each item always keeps its rarer half and the rarest of every ``NEAR`` seeds
+in a row, so that no long passage is without one, and all of them if it is short. (How often the seed itself occurs would
 not do: an item copied into a third of the corpus would lose its seeds.) A second pass cuts a passage around the rare seeds of each document, as wide as the longest item on either side; a join on
 the seeds pairs passages with items, and local alignment of the words scores each pair. The score of an item is the
-alignment's score over that of a full match, so exact, edited and partial copies rank on one scale.
+alignment's score over that of a full match, so exact, edited and partial copies rank on one scale. A pair counts by its
+share, but not below ``LEAST`` (a lone seed proves nothing), or by ``LONG`` words' score, however long the item is. An item
+of six or seven words may differ by one word; shorter ones must match entirely.
 
 The seeds go to the tasks in blocks of bounded size; a larger benchmark makes more passes, not larger tasks.
 
-Null and empty texts or items give no seeds; an item shorter than a seed is one seed as a whole, and counts only if
-matched entirely. Repeated documents are each reported; per (doc_id, item_id) the best alignment is kept, of equal ones the
+Null and empty texts or items give no seeds; an item shorter than a seed is one seed as a whole. Repeated documents are each reported; per (doc_id, item_id) the best alignment is kept, of equal ones the
 first by place. Empty tables give an empty result.
 """
 
@@ -30,7 +32,18 @@ SEED_BLOCK = 1_000_000
 RARE_SHARE = 1e-4  # expected chance occurrences of a rare seed, as a share of the documents
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
-FULL_MATCH_BELOW = 8  # items of fewer words must match entirely
+LEAST, LONG = 6 * MATCH, 13 * MATCH  # least score by share, and score that is enough by itself
+SHORT = 8  # items of fewer words have seeds that one edited word leaves intact
+NEAR = (LONG // MATCH - SEED + 2) // 2  # any LONG words hold so many seeds in a row from a multiple of it
+
+
+def least_score(n: int, threshold: float = THRESHOLD) -> float:
+    """Score at which an item of ``n`` words counts as found."""
+    full = MATCH * n
+    edited = full - MATCH + MISMATCH  # one word replaced
+    if edited <= MATCH * SEED:
+        return full
+    return max(min(threshold * full, LONG), min(LEAST, edited))
 
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b >= 128 else 32 for b in range(256))
 
@@ -75,23 +88,31 @@ class SeedFinder:
 
 
 def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """(item_id, words, n, width, seed, parts) for each distinct seed of each item; parts are the hashes of its words."""
+    """(item_id, words, n, width, seed, parts, blocks) for each distinct seed of each item.
+
+    ``parts`` are the hashes of its words, ``blocks`` the rows of ``NEAR`` places in which it occurs.
+    """
     def setup():
         hashes, windows = WordHashes(), Windows()
 
         def fn(item, body):
             words = normal_words(body or b"")
             if words:
-                width = min(seed, len(words))
+                n = len(words)
+                width = seed if n >= SHORT else n // 2 if least_score(n) < MATCH * n else min(seed, n)
                 h = hashes.of(words)
-                found, first = np.unique(windows.of(h, width) ^ np.uint64(width), return_index=True)
-                for s, at in zip(found.view(np.int64).tolist(), first.tolist()):
-                    yield item, b" ".join(words), len(words), width, s, h[at:at + width].view(np.int64).tolist()
+                found, first, which = np.unique(windows.of(h, width) ^ np.uint64(width), return_index=True, return_inverse=True)
+                blocks: list[set] = [set() for _ in found]
+                for place, k in enumerate(which.tolist()):
+                    blocks[k].add(place // NEAR)
+                for s, at, where in zip(found.view(np.int64).tolist(), first.tolist(), blocks):
+                    yield item, b" ".join(words), n, width, s, h[at:at + width].view(np.int64).tolist(), sorted(where)
 
         return fn
 
     return map_rows(items.select(F.col(item_id).cast("string").alias("item_id"), raw_text(text)).distinct(), setup,
-                    [("item_id", "string"), ("words", "binary"), ("n", "int"), ("width", "int"), ("seed", "long"), ("parts", "array<long>")])
+                    [("item_id", "string"), ("words", "binary"), ("n", "int"), ("width", "int"), ("seed", "long"), ("parts", "array<long>"),
+                     ("blocks", "array<long>")])
 
 
 def _count_words(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
@@ -177,7 +198,7 @@ def alignments(pairs: DataFrame, keep: tuple, threshold: float = THRESHOLD) -> D
             *kept, start, item, words, passage = cells
             score, a, b = scored(words, passage)
             full = MATCH * (words.count(b" ") + 1)
-            if score >= (threshold * full if full >= MATCH * FULL_MATCH_BELOW else full):
+            if score >= least_score(full // MATCH, threshold):
                 yield (*kept, item, score / full, start + a, start + b)
 
         return fn
@@ -187,14 +208,19 @@ def alignments(pairs: DataFrame, keep: tuple, threshold: float = THRESHOLD) -> D
 
 
 def rare_seeds(found: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
-    """The seeds of ``found`` whose words seldom meet by chance, and the rarer half of each item's."""
+    """The seeds of ``found`` whose words seldom meet by chance, the rarer half of each item's and the rarest of each of its
+    blocks, and all seeds of short items."""
     total = float(counts.where("word is null").agg(F.max("n")).first()[0] or 1)
-    each = found.select("item_id", "words", "seed", F.explode("parts").alias("word")).join(counts, "word", "left").groupBy(
-        "item_id", "words", "seed").agg((F.sum(F.log(F.coalesce("n", F.lit(0.5)) / total)) + F.log(F.lit(total))).alias("_chance"))
+    each = found.select("item_id", "words", "n", "seed", "blocks", F.explode("parts").alias("word")).join(
+        counts.withColumnRenamed("n", "_n"), "word", "left").groupBy("item_id", "words", "n", "seed", "blocks").agg(
+        (F.sum(F.log(F.coalesce("_n", F.lit(0.5)) / total)) + F.log(F.lit(total))).alias("_chance"))
     item = W.partitionBy("item_id", "words")
     ranked = each.withColumns({"_rank": F.row_number().over(item.orderBy("_chance", "seed")), "_of": F.count(F.lit(1)).over(item)})
+    near = ranked.withColumn("block", F.explode("blocks")).withColumn(
+        "_near", F.row_number().over(W.partitionBy("item_id", "words", "block").orderBy("_chance", "seed")))
     limit = F.log(F.lit(max(1.0, RARE_SHARE * n_docs)))
-    return ranked.where((F.col("_chance") <= limit) | (F.col("_rank") * 2 <= F.col("_of") + 1)).select("item_id", "words", "seed")
+    return near.where((F.col("_chance") <= limit) | (F.col("_rank") * 2 <= F.col("_of") + 1) | (F.col("_near") == 1) | (F.col("n") < SHORT)
+                      ).select("item_id", "words", "seed").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep=("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

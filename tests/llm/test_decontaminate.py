@@ -68,3 +68,32 @@ def test_blocks_of_seeds_change_nothing(spark, docs, monkeypatch):
     want = sorted(map(tuple, d.contaminated(docs, bench).collect()), key=repr)
     monkeypatch.setattr(d, "SEED_BLOCK", 50)
     assert sorted(map(tuple, d.contaminated(docs, bench).collect()), key=repr) == want and want
+
+
+def test_partial_passages_of_long_items_and_short_phrases(spark):
+    """Long items by an absolute passage; short ones neither by a lone seed nor only by an entire match."""
+    w = lambda name, n: [f"{name}{i}" for i in range(n)]
+    long_, longer, nine, seven, six, five = w("a", 59), w("b", 200), w("c", 9), w("d", 7), w("e", 6), w("f", 5)
+    items = list(enumerate(map(" ".join, (long_, longer, nine, seven, six, five))))
+    texts = {
+        "23 of 59 words": (long_[20:43], 0), "70 of 200": (longer[100:170], 1), "13 of 200": (longer[43:56], 1), "12 of 200": (longer[43:55], None),
+        "4 of 9": (nine[3:7], None), "4 of 9, rarer": (nine[:4], None), "9 with one edit": (nine[:4] + ["odd"] + nine[5:], 2),
+        "7 with one edit": (seven[:3] + ["odd"] + seven[4:], 3), "7 with one word less": (seven[:3] + seven[4:], 3), "4 of 7": (seven[2:6], None),
+        "6 with one edit": (six[:2] + ["odd"] + six[3:], 4), "3 of 6": (six[2:5], None), "5": (five, 5), "4 of 5": (five[:4], None)}
+    rows = [(i, " ".join(w(f"x{i}y", 30) + t + w(f"z{i}y", 30))) for i, (t, _) in enumerate(texts.values())]
+    got = d.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    names = list(texts)
+    assert {names[r.doc_id]: int(r.item_id) for r in got} == {k: v for k, (_, v) in texts.items() if v is not None}
+
+
+def test_every_long_passage_keeps_a_seed(spark):
+    """Also in the commoner part of an item, where no seed is rare."""
+    item = [f"a{i}" for i in range(60)]
+    rows = [(0, " ".join(item[:13]))] + [(i, " ".join(item[:30])) for i in range(1, 40)] + [(99, " ".join(item[40:44]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seeds = d.item_seeds(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    counts = d._count_words(frame, "text", d._hashes(seeds.selectExpr("explode(parts) as seed")))
+    rare = {r.seed for r in d.rare_seeds(seeds, counts, 1).collect()}
+    places = d.Windows().of(d.WordHashes().of([x.encode() for x in item]), d.SEED) ^ d.np.uint64(d.SEED)
+    kept = [x in rare for x in places.view(d.np.int64).tolist()]
+    assert all(any(kept[at:at + 10]) for at in range(len(kept) - 9))
