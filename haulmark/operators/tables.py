@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import TargetColumn, names, target_of
 from ..session import pinned, scratch_path
 from ..settings import BATCH_ROWS
+from ..statements import name_parts
 from .validate import check_rows, strict_rows
 
 
@@ -47,7 +49,7 @@ def truncate_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"TRUNCATE TABLE {table}")
 
 
-def _with_overwrite_mode(spark: SparkSession, mode: str) -> SparkSession:
+def with_overwrite_mode(spark: SparkSession, mode: str) -> SparkSession:
     """A session on the same catalog with its own partition overwrite mode; the caller's settings stay."""
     other = spark.newSession()
     other.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
@@ -57,7 +59,7 @@ def _with_overwrite_mode(spark: SparkSession, mode: str) -> SparkSession:
 
 
 def _overwrite_with_nothing(spark: SparkSession, table: str) -> None:
-    other = _with_overwrite_mode(spark, "static")
+    other = with_overwrite_mode(spark, "static")
     other.createDataFrame([], other.table(table).schema).write.insertInto(table, overwrite=True)
     spark.catalog.refreshTable(table)
 
@@ -88,7 +90,7 @@ def swap_recreate(spark: SparkSession, table: str) -> None:
     _overwrite_with_nothing(spark, table)
 
 
-_HIT, _FOLDER = "_hit_by_predicate", "_file_folder"
+_HIT, FOLDER = "_hit_by_predicate", "_file_folder"
 
 
 def rows_after_delete(df: DataFrame, predicate: str) -> DataFrame:
@@ -128,14 +130,12 @@ def _rewrite(spark: SparkSession, table: str, predicate: str, change, alias: str
     columns = spark.table(table).columns
     rows, touched = spark.table(table), None
     if parts:
-        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias(_FOLDER)
-        touched = pinned(_named(rows.select("*", folder), alias).where(F.expr(predicate)).select(*parts, _FOLDER).distinct(), "touched")
+        alias = alias or name_parts(table)[-1]
+        touched = pinned(_named(with_folder(rows), alias).where(F.expr(predicate)).select(*parts, FOLDER).distinct(), "touched")
         n = touched.count()
         if not n:
             return 0
-        keep = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in parts]
-        few = (F.broadcast(touched) if n <= BROADCAST_PARTITIONS else touched).alias("t")
-        rows = rows.alias("r").join(few, keep, "left_semi")
+        rows = in_partitions(rows, touched, parts, n <= BROADCAST_PARTITIONS)
     seen = Observation()
     hit = F.coalesce(F.expr(predicate), F.lit(False))
     marked = _named(rows, alias).withColumn(_HIT, hit).observe(seen, F.count_if(_HIT).alias("rows"))
@@ -143,12 +143,29 @@ def _rewrite(spark: SparkSession, table: str, predicate: str, change, alias: str
     staged = pinned(change(_named(marked, alias)).select(*columns), "rewrite", path)
     if not seen.get["rows"]:
         return 0
-    other = _with_overwrite_mode(spark, "dynamic" if parts else "static")
-    other.read.schema(staged.schema).parquet(path).write.insertInto(table, overwrite=True)
+    put_back(spark, table, path, staged.schema, parts, touched)
+    return seen.get["rows"]
+
+
+def with_folder(rows: DataFrame) -> DataFrame:
+    """Rows with the folder of their file, which for a partitioned table is their partition's."""
+    return rows.select("*", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias(FOLDER))
+
+
+def in_partitions(rows: DataFrame, touched: DataFrame, parts: list[str], few: bool) -> DataFrame:
+    """The rows of the partitions that ``touched`` lists, which is broadcast if it is known to be ``few``."""
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in parts]
+    return rows.alias("r").join((F.broadcast(touched) if few else touched).alias("t"), same, "left_semi")
+
+
+def put_back(spark: SparkSession, table: str, path: str, schema: StructType, parts: list[str], touched: DataFrame | None, kept: str = "true") -> None:
+    """Overwrite a table, or the partitions it was touched in, with the staged rows that are ``kept``; partitions left without rows go."""
+    other = with_overwrite_mode(spark, "dynamic" if parts else "static")
+    staged = other.read.schema(schema).parquet(path).where(kept).select(*spark.table(table).columns)
+    staged.write.insertInto(table, overwrite=True)
     if parts:
-        _empty_partitions(spark, table, parts, touched, staged)
+        _empty_partitions(spark, table, parts, touched, spark.read.schema(schema).parquet(path).where(kept))
     spark.catalog.refreshTable(table)
-    return seen.get["rows"]
 
 
 def _named(df: DataFrame, alias: str | None) -> DataFrame:
@@ -163,7 +180,7 @@ def _empty_partitions(spark: SparkSession, table: str, parts: list[str], touched
         return
     specs = {", ".join(f"`{c}` = {_literal(row[c])}" for c in parts): None for row in emptied}
     spark.sql(f"ALTER TABLE {table} DROP IF EXISTS " + ", ".join(f"PARTITION ({s})" for s in specs))
-    for folder in {row[_FOLDER] for row in emptied}:
+    for folder in {row[FOLDER] for row in emptied}:
         path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

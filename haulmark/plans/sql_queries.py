@@ -42,14 +42,38 @@ def sql_export(spark, sf):
     return FS.scan_compressed(spark, path).select(F.col("value").alias("line"))
 
 
-@query("sql_execute", "select c_mktsegment, count(*) as n from customer where c_acctbal > 100 and c_custkey % 5 <> 0 group by 1")
+@query("sql_execute", """
+  select c_mktsegment, count(*) as n from customer
+  where c_acctbal > 100 and c_custkey % 5 <> 0 and c_mktsegment not in ('BUILDING', 'MACHINERY') and c_custkey not between 20 and 40
+    and c_custkey % 7 not in (2, 3) and not (c_custkey % 11 = 4) group by 1""")
 def sql_execute(spark, sf):
     _views(spark, sf, "customer")
     name = _new_table(spark, "execute", "c_custkey bigint, c_mktsegment string")
     added = Q.sql_execute(spark, f"-- all that are in credit\nINSERT INTO {name} SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 100")
-    gone = Q.sql_execute(spark, f"DELETE FROM {name} WHERE c_custkey % 5 = 0")
+    gone = sum(Q.sql_execute(spark, f"DELETE FROM {name} {where}") for where in (
+        "WHERE c_custkey % 5 = 0", "AS t WHERE t.c_mktsegment IN ('BUILDING', 'MACHINERY')", "WHERE c_custkey BETWEEN 20 AND 40",
+        "WHERE c_custkey % 7 NOT IN (0, 1, 4, 5, 6) /* that is 2, 3 */"))
+    blank = Q.sql_execute(spark, f"UPDATE {name} SET c_mktsegment = NULL WHERE c_custkey % 11 = 4")
+    gone += Q.sql_execute(spark, f"DELETE FROM {name} WHERE c_mktsegment IS NULL")
     kept = spark.table(name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    return kept.where(F.lit(added - gone == spark.table(name).count()))
+    return kept.where(F.lit(added - gone == spark.table(name).count() and blank <= gone))
+
+
+@query("sql_merge", """
+  select o_orderkey, o_custkey, case when o_custkey % 3 = 0 then 'm' || o_orderstatus else o_orderstatus end as o_orderstatus
+  from orders where o_orderstatus <> 'P' and not (o_custkey % 3 = 0 and o_orderstatus = 'F')
+  union all select o_orderkey, -o_custkey, null from orders where o_orderstatus = 'P' and o_custkey % 3 = 0""")
+def sql_merge(spark, sf):
+    _views(spark, sf, "orders")
+    name = _new_table(spark, "merge", "o_orderkey bigint, o_custkey bigint, o_orderstatus string")
+    Q.sql_execute(spark, f"INSERT INTO {name} SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+    before = spark.table(name).count()
+    rows = Q.sql_execute(spark, f"""
+        MERGE INTO {name} AS t USING (SELECT * FROM orders WHERE o_custkey % 3 = 0) s ON t.o_orderkey = s.o_orderkey
+        WHEN MATCHED AND s.o_orderstatus IN ('F') THEN DELETE
+        WHEN MATCHED THEN UPDATE SET o_orderstatus = 'm' || t.o_orderstatus
+        WHEN NOT MATCHED THEN INSERT (o_orderkey, o_custkey) VALUES (s.o_orderkey, -s.o_custkey)""")
+    return spark.table(name).where(F.lit(before > 0 and rows > 0))
 
 
 _DELETED = "o_orderstatus = 'F' and o_custkey % 10 < 4"
@@ -76,10 +100,13 @@ def update_where(spark, sf):
 @query("sql_script", """
   select 'first' as which, count(*) as n from orders where o_orderstatus <> 'P'
   union all select 'second', count(*) from orders where o_orderstatus = 'P'
-  union all select 'third', count(*) from orders where o_orderstatus = 'F' and o_custkey % 3 <> 0""")
+  union all select 'third', count(*) from orders where o_orderstatus = 'F' and o_custkey % 3 <> 0 and o_custkey not between 10 and 30
+    and o_orderkey % 5 in (0, 1, 2)
+  union all select 'fourth', count(*) from orders where o_custkey % 3 <> 0""")
 def sql_script(spark, sf):
     _views(spark, sf, "orders")
-    first, second, third = (_new_table(spark, "script", "o_orderkey bigint, o_custkey bigint") for _ in range(3))
+    first, second, third, fourth = (_new_table(spark, "script", "o_orderkey bigint, o_custkey bigint") for _ in range(4))
+    spark.sql(f"DROP TABLE {fourth}")
     rows = Q.sql_script(spark, f"""
         INSERT INTO {first} SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F';
         INSERT INTO {second} (o_orderkey, o_custkey) SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P';
@@ -89,10 +116,14 @@ def sql_script(spark, sf):
         INSERT INTO {third} BY NAME SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F';
         UPDATE {third} SET o_orderkey = -1 WHERE o_custkey % 3 = 0;
         DELETE FROM {third} AS t WHERE t.o_orderkey < 0;
+        DELETE FROM {third} WHERE o_custkey BETWEEN 10 AND 30 OR o_orderkey % 5 NOT IN (0, 1, 2);
+        UPDATE {third} SET o_custkey = 0 WHERE o_custkey IS NULL OR o_custkey IN (-1, -2);
+        CREATE TABLE {fourth} USING parquet AS SELECT o_orderkey FROM orders WHERE o_custkey % 3 <> 0;
         """)
     kept = spark.table(first).agg(F.count(F.lit(1)).alias("n")).select(F.lit("first").alias("which"), "n").unionByName(
         spark.table(second).agg(F.count(F.lit(1)).alias("n")).select(F.lit("second").alias("which"), "n"))
-    left = spark.table(third).agg(F.count(F.lit(1)).alias("n")).select(F.lit("third").alias("which"), "n")
+    left = spark.table(third).agg(F.count(F.lit(1)).alias("n")).select(F.lit("third").alias("which"), "n").unionByName(
+        spark.table(fourth).agg(F.count(F.lit(1)).alias("n")).select(F.lit("fourth").alias("which"), "n").where(F.col("n") == rows[fourth]))
     counted = F.when(F.col("which") == "first", rows[first]).otherwise(rows[second])
     return kept.where(F.col("n") == counted).unionByName(left)
 

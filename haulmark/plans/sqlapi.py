@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import datetime
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.text import PLACEHOLDER, resolve_variables
 from ..operators.export import export_delimited
+from ..operators.merge import merge_into
 from ..operators.tables import delete_where, update_where
 from ..settings import ExportSetting
+from ..statements import Create, Delete, Insert, Merge, Update, cut, key_name, name_parts
 
 STATEMENT_END = ";\n"
 FILE_PROVIDERS = ("parquet", "orc", "csv", "json", "text", "avro")
@@ -56,71 +59,61 @@ def sql_export(spark: SparkSession, sql: str, path: str, setting: ExportSetting
     return export_delimited(spark.sql(sql), path, setting)
 
 
-def _each(nodes):
-    """The elements of a JVM sequence."""
-    return [nodes.apply(i) for i in range(nodes.size())]
+def _shown(spark: SparkSession, table: str) -> str:
+    """A table's name as results give it: without the session catalog and the current database."""
+    parts = [p.lower() for p in name_parts(table)]
+    for known in ("spark_catalog", spark.catalog.currentDatabase().lower()):
+        if len(parts) > 1 and parts[0] == known:
+            parts = parts[1:]
+    return ".".join(parts)
 
 
-def _written(plan, current: str) -> list[tuple[str, int]]:
-    """(target, rows) of every write of an executed plan, from the write's own metric."""
-    kind = plan.getClass().getSimpleName()
-    if kind == "AdaptiveSparkPlanExec":
-        return _written(plan.executedPlan(), current)
-    if kind.endswith("QueryStageExec"):
-        return _written(plan.plan(), current)
-    if kind == "DataWritingCommandExec":
-        target = plan.cmd().catalogTable() if hasattr(plan.cmd(), "catalogTable") else None
-        if target is not None and target.isDefined():
-            name = target.get().identifier()
-            database = name.database().get() if name.database().isDefined() else current
-            shown = name.table() if database == current else f"{database}.{name.table()}"
-            return [(shown, plan.metrics().apply("numOutputRows").value())]
-    return [x for child in _each(plan.children()) for x in _written(child, current)]
+def _counted(spark: SparkSession, head: str, query: str) -> int:
+    """Run ``head`` followed by ``query``; returns the rows that the query gave while it was written."""
+    rows = spark.sql(query)
+    if len({c.lower() for c in rows.columns}) < len(rows.columns):
+        rows = rows.toDF(*[f"_c{i}" for i in range(len(rows.columns))])  # by place; a name that is there twice means nothing
+    seen, view = Observation(), f"_counted_{uuid.uuid4().hex}"
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).createOrReplaceTempView(view)
+    try:
+        spark.sql(f"{head} SELECT * FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
+    return seen.get["rows"]
 
 
-def _target(plan) -> tuple[str, str | None]:
-    """Name and alias of the table of a parsed DELETE or UPDATE."""
-    alias = None
-    if plan.getClass().getSimpleName() == "SubqueryAlias":
-        alias, plan = plan.alias(), plan.child()
-    return ".".join(f"`{x}`" for x in _each(plan.multipartIdentifier())), alias
-
-
-def _source(sql: str, expression) -> str:
-    """The text an expression was parsed from."""
-    origin = expression.origin()
-    if expression.getClass().getSimpleName() == "Literal":  # also the condition that was left out
-        return expression.sql()
-    return sql[origin.startIndex().get():origin.stopIndex().get() + 1]
+def _insert(spark: SparkSession, part: Insert) -> tuple[str, int]:
+    shown = part.target if part.folder else _shown(spark, part.target)
+    if part.guard and not spark.sql(f"SHOW PARTITIONS {part.target} {part.guard}").isEmpty():
+        return shown, 0  # IF NOT EXISTS, and it does
+    return shown, _counted(spark, part.head, part.query)
 
 
 def _run(spark: SparkSession, sql: str) -> tuple[list[tuple[str, int]], int]:
     """Run one statement; returns the inserts by target, and all rows effected.
 
-    The engine's parser tells what a statement is, so comments, WITH and BY NAME are no matter. DELETE and UPDATE of tables
-    that the engine cannot change row by row rewrite the table. Rows are those the writes report.
+    The statement is cut at the words of its outermost level and the parts are parsed by Spark. INSERT and CREATE TABLE AS count
+    their query's rows while these are written; DELETE, UPDATE and MERGE of tables that the engine cannot change row by
+    row rewrite the table. What cannot be cut without doubt is an error, and nothing is run.
     """
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    kind = plan.getClass().getSimpleName()
-    if kind in ("DeleteFromTable", "UpdateTable") and not _row_level(spark, _target(plan.table())[0]):
-        table, alias = _target(plan.table())
-        if kind == "DeleteFromTable":
-            return [], delete_where(spark, table, _source(sql, plan.condition()), alias)
-        condition = _source(sql, plan.condition().get()) if plan.condition().isDefined() else "true"
-        values = {_each(a.key().nameParts())[-1]: _source(sql, a.value()) for a in _each(plan.assignments())}
-        return [], update_where(spark, table, values, condition, alias)
-    result = spark.sql(sql)
-    done = result._jdf.queryExecution().commandExecuted()
-    if done.getClass().getSimpleName() == "CommandResult":
-        command = done.commandLogicalPlan()
-        if command.getClass().getSimpleName() == "InsertIntoDataSourceDirCommand":
-            folder = command.storage().locationUri().get().toString()
-            rows = spark.read.format(command.provider()).load(folder).count()  # the overwrite left just its own rows
-            return [(folder, rows)], rows
-        inserts = _written(done.commandPhysicalPlan(), spark.catalog.currentDatabase())
-        if inserts:
-            return inserts, sum(n for _, n in inserts)
-    return [], _affected(result)
+    part = cut(sql)
+    if isinstance(part, (Delete, Update, Merge)) and not _row_level(spark, part.target.name):
+        table, alias = part.target.name, part.target.alias and key_name(part.target.alias)
+        if isinstance(part, Delete):
+            return [], delete_where(spark, table, part.condition, alias)
+        if isinstance(part, Update):
+            return [], update_where(spark, table, part.values, part.condition, alias)
+        source = spark.sql(f"SELECT * FROM {part.source} AS _given")
+        named = part.source_alias or (None if part.source.startswith("(") else part.source)
+        return [], merge_into(spark, table, source, part.on, part.clauses, alias, key_name(named) if named else "source")
+    inserts: list[tuple[str, int]] = []
+    if isinstance(part, list):
+        inserts = [_insert(spark, x) for x in part]
+    elif isinstance(part, Create) and not (part.if_new and spark.catalog.tableExists(part.target)):
+        inserts = [(_shown(spark, part.target), _counted(spark, part.head, part.query))]
+    else:
+        return [], _affected(spark.sql(sql))
+    return inserts, sum(n for _, n in inserts)
 
 
 def _row_level(spark: SparkSession, table: str) -> bool:
@@ -137,7 +130,7 @@ def _affected(result: DataFrame) -> int:
 
 
 def sql_execute(spark: SparkSession, sql: str) -> int:
-    """Run one DDL or DML statement, DELETE and UPDATE included; returns rows effected."""
+    """Run one DDL or DML statement, DELETE, UPDATE and MERGE included; returns rows effected."""
     return _run(spark, sql)[1]
 
 
