@@ -6,7 +6,9 @@ discarded by its largest coordinate difference, and only survivors are compared
 
 Pairs to look at come from an equality join, never from all pairs: fingerprints that differ in at most four bits agree on at
 least two of six bands, so each is listed under its 15 pairs of bands, and a link counts where its first two equal bands
-meet. In a crowded band pair (many near copies) some members are picked as leaders; a member is linked to the leaders
+meet. Unrelated fingerprints meet by chance the more the corpus grows, so from ``BY_BANDS`` fingerprints on there are seven bands of
+which three agree (27 bits in place of 20), then eight of which four do (32 bits): the links are the same.
+In a crowded group of equal bands (many near copies) some members are picked as leaders; a member is linked to the leaders
 within the radius, and two members that share a leader are not compared, because they are connected already. All
 connections remain, while the links of a dense group stay in proportion to its members. Components come from
 contraction (``components``).
@@ -19,7 +21,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import xxhash
@@ -34,7 +36,7 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 PIVOTS = 16
-BANDS = (11, 11, 11, 11, 10, 10)
+BY_BANDS = ((6, 1 << 27), (7, 1 << 33), (8, None))  # bands, up to so many fingerprints: some 64 chance members a group
 CROWDED = 128  # members of a band pair from which leaders are picked
 LEADERS = 6
 
@@ -72,23 +74,30 @@ def fingerprints(docs: DataFrame, text: str = "text", keep=("doc_id",), shingle:
     return map_rows(docs.select(*keep, raw_text(text)), setup, [*((k, "long") for k in keep), ("fp", "long")])
 
 
-def _masks(bands=BANDS) -> list[int]:
-    ends = list(accumulate(bands))
-    return [((1 << e) - 1) ^ ((1 << (e - b)) - 1) for b, e in zip(bands, ends)]
+def bands_for(n: int) -> int:
+    """How many bands to cut ``n`` fingerprints into."""
+    return next(bands for bands, most in BY_BANDS if most is None or n <= most)
+
+
+def _keys(bands: int, equal: int) -> list[tuple[int, list[int]]]:
+    """Of each choice of ``equal`` bands: their bits, and the bits of each other band before the last of them."""
+    ends = list(accumulate(64 // bands + (i < 64 % bands) for i in range(bands)))
+    masks = [((1 << e) - 1) ^ ((1 << s) - 1) for s, e in zip([0, *ends], ends)]
+    return [(sum(masks[i] for i in chosen), [masks[i] for i in range(chosen[-1]) if i not in chosen]) for chosen in combinations(range(bands), equal)]
 
 
 def _near(a: Column, b: Column, radius: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= radius
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, crowded: int = CROWDED, leaders: int = LEADERS) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp`` that connect all pairs within ``radius``."""
-    masks = _masks()
-    if radius > len(masks) - 2:
-        raise ValueError("two equal bands are certain only up to a radius of four")
+def near_links(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, crowded: int = CROWDED, leaders: int = LEADERS,
+               bands: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints ``fp``, which are counted, that connect all pairs within ``radius``."""
+    bands = bands or bands_for(prints.count())
+    if radius > bands - 2:
+        raise ValueError(f"two of {bands} equal bands are certain only up to a radius of {bands - 2}")
     references = [F.lit(signed(xxhash.xxh64_intdigest(f"pivot {i}"))) for i in range(pivots)]
-    # (pair number, bits of both bands, bands before the second other than the first)
-    pairs = [(masks[i] | masks[j], [masks[b] for b in range(j) if b != i]) for j in range(len(masks)) for i in range(j)]
+    pairs = _keys(bands, bands - max(radius, 4))
     listed = prints.select("fp", *(F.bit_count(F.col("fp").bitwiseXOR(r)).cast("byte").alias(f"p{i}") for i, r in enumerate(references)),
                            F.explode(F.array(*[F.struct(F.lit(k).cast("byte").alias("pair"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits"),
                                                         F.array(*[F.lit(signed(x)).cast("long") for x in before]).cast("array<long>").alias("before"))

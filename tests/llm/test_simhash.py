@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from haulmark.llm import simhash
-from haulmark.llm.components import components
+from haulmark.llm.components import components, contraction
 
 
 def plain_print(text):
@@ -70,10 +70,35 @@ def test_crowded_groups_lose_no_connection(spark, loose):
     got = {r.fp: r.component_id for r in simhash.near_duplicates(frame).collect()}
     want = plain_components(range(len(prints)), prints)
     assert [got[simhash.signed(p)] for p in prints] == want
+    for bands in {3: (), 9: (8,), 14: (7,)}[loose]:
+        more = simhash.near_links(frame.select("fp").distinct(), bands=bands)
+        roots = {r.node: r.root for r in components(more).collect()}
+        by_root, by_want = {}, {}
+        for p, w in zip(prints, want):
+            p = simhash.signed(p)
+            by_root.setdefault(roots.get(p, ("alone", p)), set()).add(p)
+            by_want.setdefault(w, set()).add(p)
+        assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_want.values()))
     links = simhash.near_links(frame.select("fp").distinct()).count()
     assert links <= 15 * simhash.LEADERS * len(set(prints))  # not their square
 
 
+def test_bands_grow_with_the_corpus():
+    assert [simhash.bands_for(n) for n in (0, 10**8, 10**9, 5 * 10**10)] == [6, 6, 7, 8]
+    assert [len(simhash._keys(b, b - 4)) for b in (6, 7, 8)] == [15, 35, 70]
+
+
+def test_a_sorted_chain_takes_few_rounds(spark):
+    chain = spark.range(10_000).selectExpr("id as a", "id + 1 as b")
+    rounds = contraction(chain)
+    assert len(rounds) <= 25
+    sizes = [r.count() for r in rounds]
+    assert all(b < a / 1.5 for a, b in zip(sizes, sizes[1:]) if a > 100), sizes
+    roots = components(chain)
+    assert roots.count() == 10_001 and roots.select("root").distinct().count() == 1
+    assert roots._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
 def test_contraction_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000), (7, 3), (3, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
