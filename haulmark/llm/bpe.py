@@ -5,7 +5,7 @@ white space, whatever surrounds them: no alternative of its pattern crosses such
 ` ?\\p{N}+`, ` ?[^\\s\\p{L}\\p{N}]+` begins there. BPE never merges across pieces. So a text may be cut at these
 spaces, and each cut ("unit") be encoded once and remembered, without changing any id. Special strings are matched by the
 library before all this, so texts are first cut at them. A new unit of plain Latin letters, digits and marks is cut on into the
-pre-tokenizer's pieces here, and only pieces not met before go to the library's model; any other unit goes whole. Files with another pre-tokenizer, a normaliser, or special
+pre-tokenizer's pieces here, which are units themselves, and a unit of one piece goes to the library's model; any other unit goes whole. Files with another pre-tokenizer, a normaliser, or special
 tokens that swallow white space are encoded whole, always.
 """
 
@@ -24,6 +24,7 @@ _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+|
 # The model reads bytes as printable characters: those that are printable as themselves, the others from 256 on, in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_BLANK, _LINE = chr(_BYTES[32]), chr(_BYTES[10])
 UNITS = 1_000_000
 LONG_UNIT = 64
 
@@ -39,15 +40,30 @@ def tokenizer_path(name: str) -> str:
     return name if os.sep in name else public_tokenizers.path(name)
 
 
+class Units(dict):
+    """Unit -> ``value`` of its ids behind a lead, found at first sight; remembers up to ``UNITS`` units that are not long."""
+
+    def __init__(self, encoder: "Encoder", lead: str):
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, unit: str):
+        value = self.encoder.unit_value(self.lead, unit)
+        if len(unit) <= LONG_UNIT:
+            if len(self) >= UNITS:
+                self.clear()
+            self[unit] = value
+        return value
+
+
 class Encoder:
-    """``value`` of the ids of texts (their number, or packed bytes); remembers up to ``UNITS`` units, and as many pieces."""
+    """``value`` of the ids of texts: their number, or packed bytes."""
 
     _made: dict[tuple, "Encoder"] = {}
 
     def __init__(self, path: str, value=len):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lib = Tokenizer.from_file(path)
-        self.model = self.lib.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
@@ -58,7 +74,7 @@ class Encoder:
                         and spec.get("model", {}).get("type") == "BPE")
         self.special = {a["content"]: a["id"] for a in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
-        self.value, self.spaced, self.bare, self.pieces = value, {}, {}, {}
+        self.value, self.spaced, self.bare = value, Units(self, " "), Units(self, "")
         self.joined = sum if value is len else b"".join
 
     @classmethod
@@ -72,48 +88,35 @@ class Encoder:
     def encode(self, texts: list[str]):
         return self.lib.encode_batch(texts, add_special_tokens=False)
 
-    def _learn(self, known: dict, units: list[str], lead: str) -> None:
-        if len(known) + len(units) > UNITS:
-            known.clear()
-        if len(self.pieces) > UNITS:
-            self.pieces.clear()
-        pieces, whole = self.pieces, []
-        for u in units:
-            if not _SIMPLE.fullmatch(u) or "\n\n" in u:
-                whole.append(u)
-                continue
-            found = [lead + u] if u.isalpha() else _PIECE.findall(lead + u)
-            values = list(map(pieces.get, found))
-            if None in values:
-                for i, v in enumerate(values):
-                    if v is None:
-                        shown = found[i].encode().decode("latin-1").translate(_BYTES)
-                        values[i] = pieces[found[i]] = self.value([t.id for t in self.model.tokenize(shown)])
-            known[u] = values[0] if len(values) == 1 else self.joined(values)
-        if whole:
-            for u, e in zip(whole, self.lib.encode_batch_fast([lead + u for u in whole], add_special_tokens=False)):
-                known[u] = self.value(e.ids)
-
-    def _values(self, known: dict, units: list[str], lead: str) -> list:
-        out = list(map(known.get, units))
-        if None in out:
-            self._learn(known, list({u for u, v in zip(units, out) if v is None and len(u) <= LONG_UNIT}), lead)
-            for i, v in enumerate(out):
-                if v is None:
-                    out[i] = known[units[i]] if len(units[i]) <= LONG_UNIT else \
-                        self.value(self.lib.encode(lead + units[i], add_special_tokens=False).ids)
-        return out
+    def _model_value(self, piece: str):
+        """``value`` of one piece of the pre-tokenizer made of ``_SIMPLE`` characters, by the model alone."""
+        if piece.isascii():  # below 128 only these two do not stand for themselves
+            shown = piece.replace(" ", _BLANK).replace("\n", _LINE)
+        else:
+            shown = piece.encode().decode("latin-1").translate(_BYTES)
+        return self.value([t.id for t in self.lib.model.tokenize(shown)])
+
+    def unit_value(self, lead: str, unit: str):
+        """``value`` of the ids of a unit behind its lead, from its pieces where they are known to be those of the library."""
+        if unit.isalpha() and (unit.isascii() or _SIMPLE.fullmatch(unit)):
+            return self._model_value(lead + unit)
+        if not _SIMPLE.fullmatch(unit) or "\n\n" in unit:
+            return self.value(self.lib.encode(lead + unit, add_special_tokens=False).ids)
+        found = _PIECE.findall(lead + unit)
+        if len(found) == 1:
+            return self._model_value(found[0])
+        return self.joined([self.spaced[p[1:]] if p[0] == " " else self.bare[p] for p in found])
 
     def _segment(self, text: str) -> list:
         flat = text.replace("\n", " ")
         # All white space but the space is unprintable, so here it is single spaces and line ends.
         single = "  " not in flat and flat[0] != " " and flat[-1] != " " and flat.isprintable()
         units = text.split(" ") if single else _STABLE.split(text)
-        return self._values(self.bare, units[:1], "") + self._values(self.spaced, units[1:], " ")
+        return [*map(self.bare.__getitem__, units[:1]), *map(self.spaced.__getitem__, units[1:])]
 
     def word_values(self, words: list[str]) -> list:
         """``value`` of the ids of each word behind a space, whatever the words hold."""
-        return self._values(self.spaced, words, " ")
+        return list(map(self.spaced.__getitem__, words))
 
     def values(self, text: str) -> list:
         """``value`` of the ids of consecutive stretches of the text."""

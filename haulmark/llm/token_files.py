@@ -20,7 +20,9 @@ Null and empty texts store the end id alone. An empty table gives empty tables.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +38,18 @@ END_ID = 0
 SHARD_IDS = 500_000
 PARTITION_KEYS = 4_000
 GROUP_KEYS = 4  # keys that share a pilot, on average
+LITTLE = sys.byteorder == "little" and array("H").itemsize == 2 and array("I").itemsize == 4
 NULL_KEY = b"\x00null"
 
 SLOT = np.dtype([("print", "<u4"), ("copies", "<u4"), ("n", "<i8"), ("shard", "<i8"), ("at", "<i8"), ("start", "<i8")])
 
 
 def packed16(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}H", *ids)
+    return array("H", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}H", *ids)
 
 
 def packed32(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def key_hashes(keys: list) -> np.ndarray:
@@ -274,7 +277,7 @@ def stored_documents(docs: DataFrame, folder: str, key: str = "doc_id") -> DataF
     """
     spark = docs.sparkSession
     found = find_documents(docs, folder, key)
-    stored = read_documents(spark, folder)
+    stored = pinned(read_documents(spark, folder), "token-documents")
     first = found.where("copies = 1").join(stored.drop("key", "n"), ["shard", "at"]).select("key", "start", "n", "ids_crc32")
     # Of repeated keys the stored copies follow one another; their places come from the shards' own lists.
     shards = spark.read.parquet(f"{folder}/shards").select("shard", F.col("start").alias("shard_start"))

@@ -93,7 +93,7 @@ def test_a_sorted_chain_takes_few_rounds(spark):
     rounds = contraction(chain)
     assert len(rounds) <= 25
     sizes = [r.count() for r in rounds]
-    assert all(b < a / 1.5 for a, b in zip(sizes, sizes[1:]) if a > 100), sizes
+    assert all(b < 0.8 * a for a, b in zip(sizes, sizes[1:]) if a > 100), sizes
     roots = components(chain)
     assert roots.count() == 10_001 and roots.select("root").distinct().count() == 1
     assert roots._jdf.queryExecution().executedPlan().toString().count("Join") == 0
