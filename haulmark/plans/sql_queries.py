@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import tables as T
+from ..operators.rangejoin import range_join
 from ..session import scratch_path
 from ..settings import ExportSetting
 from ..sources import files as FS
@@ -181,13 +182,34 @@ _sql("join_semi", "select o_orderkey from orders where exists (select 1 from lin
 _sql("join_anti", "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
      "orders", "lineitem")
 
-_sql("join_theta", """
+@query("join_theta", """
   select r_name, count(*) as orders, cast(sum(cast(o_totalprice as decimal(12,2))) as double) as price
-  from orders join (select r_name, r_regionkey * 100000 as low, (r_regionkey + 1) * 100000 as high from region) band
-    on o_totalprice >= low and o_totalprice < high group by r_name""", "orders", "region", spark_text="""
-  select r_name, count(*) as orders, cast(sum(cast(o_totalprice as decimal(12,2))) as double) as price
-  from orders join (select r_name, r_regionkey as band, r_regionkey * 100000 as low, (r_regionkey + 1) * 100000 as high from region) band
-    on cast(floor(o_totalprice / 100000) as bigint) = band and o_totalprice >= low and o_totalprice < high group by r_name""")
+  from orders join (select r_name, r_regionkey * 100000 as low, (r_regionkey + 1) * 100000 as high from region
+                    union all select r_name || ' (narrow)', r_regionkey * 1000, r_regionkey * 1000 + 37 from region
+                    union all select 'any', -1, 100000000) band
+    on o_totalprice >= low and o_totalprice < high group by r_name""")
+def join_theta(spark, sf):
+    regions = table(spark, sf, "region").selectExpr("r_name", "cast(r_regionkey as bigint) as r")
+    bands = regions.selectExpr("r_name", "r * 100000 as low", "(r + 1) * 100000 as high").unionAll(
+        regions.selectExpr("concat(r_name, ' (narrow)')", "r * 1000", "r * 1000 + 37")).unionAll(
+        spark.range(1).selectExpr("'any'", "-1L", "100000000L"))
+    met = range_join(table(spark, sf, "orders").select("o_totalprice"), bands, "o_totalprice", "low", "high")
+    return met.groupBy("r_name").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("price"))
+
+
+@query("join_validity", """
+  select p.p_brand, count(*) as orders, count(distinct o_orderkey) as distinct_orders, sum(p.p_partkey) as parts
+  from orders join (select p_partkey, p_brand, date '1995-01-01' + cast(p_partkey % 1500 as integer) as valid_from,
+                           date '1995-01-01' + cast(p_partkey % 1500 + p_size as integer) as valid_to from part) p
+    on cast(o_orderdate as date) >= valid_from and cast(o_orderdate as date) <= valid_to group by p.p_brand""")
+def join_validity(spark, sf):
+    parts = table(spark, sf, "part").selectExpr(
+        "p_partkey", "p_brand", "date_add(date'1995-01-01', cast(p_partkey % 1500 as int)) as valid_from",
+        "date_add(date'1995-01-01', cast(p_partkey % 1500 + p_size as int)) as valid_to")
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderdate as date) as day")
+    met = range_join(orders, parts, "day", "valid_from", "valid_to", closed="[]")
+    return met.groupBy("p_brand").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("o_orderkey").alias("distinct_orders"), F.sum("p_partkey").alias("parts"))
+
 
 _sql("group_count", """
   select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(12,2))) as double) as qty,
