@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..schema import TargetColumn, names, target_of
+from ..session import pinned
 from ..settings import LoadSetting
 from ..sources.delimited import scan_delimited
 from ..sources.files import path_stats
@@ -16,6 +17,8 @@ from .stats import auto_mode, check_error_limit, check_tolerance
 from .tables import insert_batch
 from .validate import REASON, REJECT, check_rows, split_rejects, strict_rows
 
+_VALID = "_valid"
+
 
 @dataclass(frozen=True)
 class LoadResult:
@@ -41,40 +44,30 @@ def load(spark: SparkSession, path: str | Sequence[str], table: str, setting: Lo
          columns: Sequence[TargetColumn] | None = None, url: str | None = None, **jdbc: str) -> LoadResult:
     """Load delimited files into a catalog table (or a JDBC table when ``url`` is given).
 
-    Rows are counted by the write that loads them. Rejects are rare, so they are read a second time
-    and only when there are any and a reject file is wanted; nothing is cached. The limits are checked
-    after the write, or before it with ``check_first`` (one more narrow pass).
+    The source is read and classified once. Without a reject file or a limit the rows go straight to the table, counted by
+    that write. Otherwise the classified rows are written to the shared folder by outcome, in the same single pass; then
+    rejects are written, the limits are judged, and only if they hold are the valid rows inserted from there. So a refused load
+    leaves the target as it was, its rejects can be looked at, and a source that changes meanwhile makes no difference.
     """
     cols = list(columns or target_of(spark.table(table)))
     mode, batch_rows = setting.mode, setting.rows_per_batch
     if mode == "auto":
         mode, batch_rows = auto_mode(path_stats(spark, path).first()["bytes"], mode, batch_rows, setting.bulk_threshold)
     checked = checked_rows(spark, path, cols, setting)
-    if setting.check_first:
-        seen = checked.agg(F.count(F.lit(1)).alias("total"), F.count(REASON).alias("rejected")).first()
-        _gate(seen["total"], seen["rejected"], setting)
     counts = Observation()
     watched = checked.observe(counts, F.count(F.lit(1)).alias("total"), F.count(REASON).alias("rejected"))
-    valid, _ = split_rejects(watched, cols)
-    insert_batch(valid, table, batch_rows, url, setting.truncate, **jdbc)
+    if not setting.reject_path and setting.error_limit is None and setting.error_tolerance is None:
+        insert_batch(split_rejects(watched, cols)[0], table, batch_rows, url, setting.truncate, **jdbc)
+        return LoadResult(counts.get["total"], counts.get["total"] - counts.get["rejected"], counts.get["rejected"], mode)
+    by_outcome = pinned(watched.withColumn(_VALID, F.col(REASON).isNull()), "load", partition_by=[_VALID])
     total, rejected = counts.get["total"], counts.get["rejected"]
-    if rejected and setting.reject_path:
-        write_rejects(split_rejects(checked, cols)[1], setting.reject_path, overwrite=True)
-    else:
-        _clear_rejects(spark, setting)
-    _gate(total, rejected, setting)
-    return LoadResult(total, total - rejected, rejected, mode)
-
-
-def _clear_rejects(spark: SparkSession, setting: LoadSetting) -> None:
-    """Leave no rejects of an earlier run behind."""
     if setting.reject_path:
-        write_rejects(spark.createDataFrame([], f"{REJECT} string"), setting.reject_path, overwrite=True)
-
-
-def _gate(total: int, rejected: int, setting: LoadSetting) -> None:
+        rejects = by_outcome.where(f"not {_VALID}") if rejected else spark.createDataFrame([], f"{REJECT} string")
+        write_rejects(rejects, setting.reject_path, overwrite=True)
     check_error_limit(rejected, setting.error_limit)
     check_tolerance(total, rejected, setting.error_tolerance)
+    insert_batch(by_outcome.where(_VALID).select(*names(cols)), table, batch_rows, url, setting.truncate, **jdbc)
+    return LoadResult(total, total - rejected, rejected, mode)
 
 
 def bulk_load(spark: SparkSession, path: str | Sequence[str], table: str, setting: LoadSetting = LoadSetting(),

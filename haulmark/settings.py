@@ -42,7 +42,7 @@ class LoadSetting:
     bulk_threshold: int = BULK_THRESHOLD_BYTES
     error_tolerance: float | None = None
     error_limit: int | None = None
-    check_first: bool = False
+    check_first: bool = False  # limits are judged before the insert with or without it
     reject_path: str | None = None
 
     def __post_init__(self) -> None:

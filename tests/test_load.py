@@ -265,3 +265,31 @@ def test_an_empty_file_is_loaded_alike_in_all_modes(spark, tmp_path, mode):
     (tmp_path / "in.csv").write_text("")
     out = L.load(spark, str(tmp_path / "in.csv"), name, LoadSetting(truncate=True, mode=mode), target(("a", "int"),))
     assert (out.total, spark.table(name).count()) == (0, 0)
+
+
+def test_a_load_reads_its_source_once_and_a_refused_one_changes_nothing(spark, tmp_path, monkeypatch):
+    """The source is gone before anything is inserted or any reject written, whatever the number of rejects."""
+    source, bad = tmp_path / "in.csv", str(tmp_path / "bad")
+    name = "load_once"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} (a int, b string) USING parquet")
+    written = L.pinned
+
+    def then_gone(*args, **kwargs):
+        out = written(*args, **kwargs)
+        source.unlink()
+        return out
+
+    monkeypatch.setattr(L, "pinned", then_gone)
+    for rejects, limit, ok in ((0, 0, True), (3, 3, True), (4, 3, False), (90, None, True)):
+        source.write_text("".join(f"{'x' if i < rejects else ''}{i},v\n" for i in range(100)))
+        before = spark.table(name).count()
+        setting = LoadSetting(reject_path=bad, error_limit=limit)
+        if ok:
+            out = L.load(spark, str(source), name, setting)
+            assert (out.total, out.loaded, out.rejected) == (100, 100 - rejects, rejects)
+        else:
+            with pytest.raises(LoadRejected, match=f"{rejects} rows"):
+                L.load(spark, str(source), name, setting)
+        assert spark.table(name).count() == before + (100 - rejects if ok else 0)
+        assert sorted(r.value for r in spark.read.text(bad).collect()) == sorted(f"x{i}\u0001v" for i in range(rejects))
