@@ -348,6 +348,16 @@ def split_rejects(spark, sf):
     return counted.select("outcome", "n", F.col("l_quantity").cast("double").alias("quantity"))
 
 
+@query("scan_quoted", "select cast(doc_id as varchar) as doc_id, source, sha256(coalesce(text, '')) as text_sha256 from documents")
+def scan_quoted(spark, sf):
+    """Texts with line breaks and quotes, written as quoted fields and read back by any number of tasks."""
+    path = scratch_path(spark, "quoted")
+    cell = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r'(["\\\\])', r"\\$1"), F.lit('"'))
+    table(spark, sf, "documents").select(F.concat_ws(",", cell("doc_id"), cell("source"), cell("text")).alias("value")).write.text(path)
+    cells = D.scan_delimited(spark, path, ["doc_id", "source", "text"], LoadSetting(quoting=True, multi_line=True))
+    return cells.where("_arity_ok").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 @query("valid_rows", f"""
   select l_orderkey, l_partkey, l_linenumber, case when {BLANK_QUANTITY} then null else l_quantity end as l_quantity, l_returnflag,
     cast(cast(l_shipdate as date) as varchar) as l_shipdate from ({REASONED_SQL}) where reason is null""")

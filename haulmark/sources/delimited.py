@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..settings import LoadSetting
 from .files import scan_compressed
+from .quoted import quoted_records
 
 LINE = "_line"
 ARITY_OK = "_arity_ok"
@@ -118,29 +119,15 @@ def scan_delimited(spark: SparkSession, path: str | Sequence[str], columns: Sequ
                    setting: LoadSetting = LoadSetting(), positions: bool = False) -> DataFrame:
     """Delimited files as string columns plus ``_line``, ``_arity_ok`` and ``_source``.
 
-    ``multi_line`` reads quoted fields that hold line breaks; such files cannot be split, so it is
-    opt-in, and there the whole record (not one line) is what ``_line`` holds for a bad row.
+    ``multi_line`` reads quoted fields that hold line breaks, in any number of splits; there ``_line`` is the whole record.
     """
     if not setting.multi_line:
         return split_lines(scan_lines(spark, path, setting, positions), columns, setting)
-    if setting.skip_rows > 1 or setting.codec:
-        raise ValueError("multi_line reads allow at most one skipped row and no explicit codec")
-    schema = ", ".join(f"`{c}` string" for c in [*columns, "_bad"])
-    rows = (
-        spark.read.schema(schema)
-        .options(sep=setting.delimiter, quote=setting.quotechar, escape=setting.escapechar,
-                 header=setting.skip_rows == 1, enforceSchema=True, multiLine=True,
-                 columnNameOfCorruptRecord="_bad", columnPruning=False, maxCharsPerColumn=-1)
-        .csv(path if isinstance(path, str) else list(path))
-    )
-    # Spark refuses a query that reads nothing but the corrupt-record column, so the flag names a field too.
-    named = F.coalesce(F.length(columns[0]), F.lit(0)) >= 0
-    out = rows.select(
-        *[F.col(c) for c in columns], F.col("_metadata.file_path").alias(SOURCE),
-        F.col("_bad").alias(LINE), (F.col("_bad").isNull() & named).alias(ARITY_OK),
-    )
-    return out.withColumn(BLOCK, F.lit(0).cast("bigint")).withColumn(
-        SEQ, F.monotonically_increasing_id()) if positions else out
+    if setting.codec:
+        raise ValueError("multi_line reads allow no explicit codec")
+    records = quoted_records(spark, path, setting).select("value", F.col("source").alias(SOURCE), F.col("block").alias(BLOCK))
+    out = split_lines(records, columns, setting)
+    return out.withColumn(SEQ, F.monotonically_increasing_id()) if positions else out.drop(BLOCK)
 
 
 def rendered(column: Column | str, as_type: str | None = None) -> Column:
