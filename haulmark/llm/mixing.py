@@ -33,9 +33,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: str = "doc_id", seed: int = SEED) -> Column:
-    """A seeded hash of the id as text that sorts like a uniform number."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def draw(doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> Column:
+    """A seeded hash of the id and the text that sorts like a uniform number: only true copies of a row are drawn alike."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (doc_id, text)]
+    return F.md5(F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1]).cast("binary"))
 
 
 def water_fill(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -117,7 +118,7 @@ def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = S
 
 _SIZED = r"""
 sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-  md5('17:' || coalesce(cast(doc_id as varchar), '')) as draw from documents),
+  md5('17:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as draw from documents),
 sizes as (select source, cast(sum(size) as bigint) as source_size,
   (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from sized group by source),
 caps as (select *, 3 * source_size as cap, (3 * source_size) * 1.0::double / weight as lim,

@@ -63,3 +63,12 @@ def test_taken_words_come_near_their_targets(spark):
 def test_only_native_operations(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_that_share_an_id_are_drawn_apart(spark):
+    """Null ids with texts of their own are no block: the taken words come near the target."""
+    rows = [(None, f"word{i} and more of it", "a", i) for i in range(3000)] + [(i, "one two three four", "b", 0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 4, r

@@ -25,15 +25,15 @@ def plain_language(model, text):
     pieces, total = language.Pieces.of(model.vocabulary), np.zeros(len(model.languages))
     for word in runs:
         word = language.MARK + word
-        sums = [np.ones(len(model.languages))]
+        sums = [np.zeros(len(model.languages))]  # logs, as long words leave the range of floats
         for end in range(1, len(word) + 1):
-            here = np.zeros(len(model.languages))
+            here = np.full(len(model.languages), -np.inf)
             for start in range(max(0, end - pieces.longest), end):
                 piece = pieces.ids.get(word[start:end], pieces.unk if end - start == 1 else None)
                 if piece is not None:
-                    here += sums[start] * np.exp(model.logs[piece])
+                    here = np.logaddexp(here, sums[start] + model.logs[piece])
             sums.append(here)
-        total += np.log(sums[-1])
+        total += sums[-1]
     x = total * min(1.0, 40 / sum(map(len, runs)))
     p = np.exp(x - x.max())
     return (p / p.sum()).max() >= 0.5
@@ -71,7 +71,7 @@ def test_run_equals_plain_stages(spark, tmp_path):
     sizes = [sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources]
     mixed = []
     for s, total, target in zip(sources, sizes, rounds(sizes, [i % 3 + 1 for i in range(len(sources))])):
-        mine = sorted((r for r in rows if r["source"] == s), key=lambda r: hashlib.md5(f"17:{r['doc_id']}".encode()).hexdigest())
+        mine = sorted((r for r in rows if r["source"] == s), key=lambda r: hashlib.md5(f"17:{r['doc_id']}:{r['text']}".encode()).hexdigest())
         whole = int(target // total)
         upto, rest = 0, target - whole * total
         for r in mine:
