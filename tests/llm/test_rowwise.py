@@ -60,6 +60,36 @@ def test_quality_bands_reject_noise_and_filler(spark):
     assert rows[1].ratio == len(zstandard.ZstdCompressor(level=3).compress(noise.encode())) / len(noise)
 
 
+def plain_kept(text):
+    """The verdict from the limits, by its definition."""
+    body = (text or "").encode()
+    size = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+
+    def fits(b):
+        for top, low, high in quality.BANDS:
+            if top is None or len(b) <= top:
+                return low <= size(b) <= high
+
+    chunks = [body[i:i + 4096] for i in range(0, len(body), 4096)] if len(body) > 4096 else []
+    return not plain_quality(text)[-1] and bool(body) and fits(body) and sum(not fits(c) for c in chunks) <= len(chunks) / 4
+
+
+def test_kept_by_its_definition(spark, docs, doc_rows):
+    assert by_id(quality.quality(docs).select("doc_id", "kept")) == sorted(((r[0], plain_kept(r[1])) for r in doc_rows), key=repr)
+
+
+def test_noise_of_every_length_and_mixed_documents(spark):
+    rnd = random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    noise = lambda n: " ".join("".join(rnd.choices(alphabet, k=rnd.randint(4, 9))) for _ in range(n // 4))[:n]
+    prose = lambda n: " ".join("".join(rnd.choices(["the", "an", "ver", "ka", "ti", "on", "sol"], k=rnd.randint(1, 3))) for _ in range(n // 3))[:n]
+    rows = [(n, noise(n)) for n in (150, 200, 250, 300, 400, 500, 700, 900, 1500, 5000)]
+    rows += [(100_000 + n, prose(n)) for n in (150, 200, 250, 300, 400, 500, 700, 900, 1500, 5000)]
+    rows.append((7, prose(22_000) + " " + noise(18_000)))  # 45% noise
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {n for n, kept in got.items() if kept} == {n for n, _ in rows if n > 100_000}
+
+
 def test_token_counts_equal_the_library(docs, doc_rows, no_docs):
     lib = Tokenizer.from_file(tokenizer_path(BPE))
     want = []
