@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import pinned
+from ..skew import split_hot_join
 from .common import Windows, WordHashes, map_rows, raw_text
 from .components import components
 from .registry import query, table
@@ -36,6 +37,7 @@ from .registry import query, table
 WINDOW = 50
 KMER = 12
 LAST = (1 << 63) - 1
+HOT_PIECES = 50_000  # equal pieces from which their join is split
 _SPAN_BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -70,12 +72,12 @@ def _key(doc_id: str) -> Column:
 
 def _mark(text: str) -> Column:
     """Tells rows apart that share an id."""
-    return F.hash(text).alias("mark")
+    return F.xxhash64(F.lit(5), F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("mark")
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """(mini, span, start, n, doc, mark) of every piece."""
-    schema = pa.schema([("mini", pa.int64()), ("span", pa.int64()), ("start", pa.int32()), ("n", pa.int8()), ("doc", pa.int64()), ("mark", pa.int32())])
+    schema = pa.schema([("mini", pa.int64()), ("span", pa.int64()), ("start", pa.int32()), ("n", pa.int8()), ("doc", pa.int64()), ("mark", pa.int64())])
 
     def run(batches):
         cutter = PieceCutter(window, kmer)
@@ -86,11 +88,11 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                     mini, span, start, n = cutter.cut(cutter.hashes.of((body or b"").split()))
                     if len(n):
                         parts.append((mini.view(np.int64), span.view(np.int64), start.astype(np.int32), n.astype(np.int8),
-                                      np.full(len(n), doc), np.full(len(n), mark, np.int32)))
+                                      np.full(len(n), doc), np.full(len(n), mark, np.int64)))
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=schema)
 
-    return docs.select(_key(doc_id), _mark(text), raw_text(text)).mapInArrow(run, "mini long, span long, start int, n byte, doc long, mark int")
+    return docs.select(_key(doc_id), _mark(text), raw_text(text)).mapInArrow(run, "mini long, span long, start int, n byte, doc long, mark long")
 
 
 def _branching_windows(docs: DataFrame, branching: DataFrame, window: int, kmer: int) -> DataFrame:
@@ -143,7 +145,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
         F.collect_list(F.struct("least", "offset")).alias("windows"))
     one_bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["offset"])
     bits = F.aggregate("windows", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.when(x["least"] < F.col("doc"), one_bit(x)).otherwise(F.lit(0).cast("long"))))
-    at_forks = found.join(judged, ["mini", "span"]).select("doc", "mark", "start", F.col("n").cast("int").alias("n"), bits.alias("bits")).where("bits <> 0")
+    # A passage of very many documents is one key here, so heavy keys are joined apart.
+    at_forks = split_hot_join(found, pinned(judged, "repeat-judged"), ["mini", "span"], floor=HOT_PIECES).select("doc", "mark", "start", F.col("n").cast("int").alias("n"), bits.alias("bits")).where("bits <> 0")
 
     # Elsewhere classes follow one another along paths.
     straight = classes.where("classes = 1 and src.doc < most").select("mini", "src")
