@@ -250,7 +250,7 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) by word hash, the end included, and with ``subword`` set (id, n) of ids."""
     def run(batches):
         reader = Reader()
-        ids = np.zeros(1 << 16, np.int64)
+        ids = np.zeros(max(END + 1, reader.encoder.lib.get_vocab_size()), np.int64)
         held: list[np.ndarray] = []
 
         def merged():
@@ -267,7 +267,7 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     words = reader.words(body)
                     some.append(reader.word_hashes(words))
                     found = np.bincount(reader.ids(words), minlength=len(ids))
-                    ids[:len(found)] += found[:len(ids)]
+                    ids += found
                 held.append(np.unique(np.concatenate(some), return_counts=True))
                 if sum(len(h) for h, _ in held) > 1_000_000:
                     held = [merged()]
