@@ -1,8 +1,8 @@
 """Dependency tables: ``nodes(name, status)`` and ``edges(child, parent, kind)``.
 
-The iterative operators go round by round over the nodes that changed in the last one. What a round
-finds is written to the shared folder, so lineage stays short and survives a lost executor. A parent
-with a large share of the edges is joined apart from the others.
+The iterative operators first climb paths of single parents by doubling pointers, then go round by round over the nodes that
+changed in the last one. What a round finds is written to the shared folder, so lineage stays short and survives a lost
+executor. A parent with a large share of the edges is joined apart from the others.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.literals import as_column
+from ..rounds import Runs, climb
 from ..session import pinned, scratch_path
 from ..skew import hot_keys, join_with_hot, split_hot_join
 
@@ -68,33 +69,52 @@ def children(nodes: DataFrame, edges: DataFrame, kind: str = "all") -> DataFrame
         .select("name", "child", "kind")
 
 
-def topo_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """``name, level``: level 1 has no parents, others come one round after their last parent.
+def topo_levels(nodes: DataFrame, edges: DataFrame, max_level: int | None = None) -> DataFrame:
+    """``name, level``: level 1 has no parents, others come one level after their last parent.
 
-    A node on or behind a cycle has no level (NULL). Edges to unknown nodes count as unmet. There are
-    as many rounds as levels. A round joins the nodes just placed to the edges, which are written and checked for hot
-    parents once, and writes one row for each child it touches and one for each node it places; a child whose rows add
-    up to its number of parents is placed. So all rounds together write a row an edge and a row a node at most.
+    A node on or behind a cycle has no level (NULL), nor has a NULL name or a level beyond ``max_level``. Edges to unknown
+    nodes count as unmet. A node with one parent is that many levels after the node its single parents lead to, so chains and
+    trees of any depth are climbed in a logarithm of their depth. What remains are nodes with several parents: a round joins
+    those just placed to the arcs between them and adds up how many parents each has met; there are as many rounds as such
+    nodes follow one another. Waiting nodes are kept in runs that are merged as they double, without those placed meanwhile.
     """
     spark = nodes.sparkSession
-    links = pinned(edges.select("child", "parent").distinct(), "links")
-    hot = hot_keys(links, ["parent"])
     names = pinned(nodes.select("name").distinct(), "names")
-    waits = pinned(links.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("waits")).join(names, "name", "left_semi"), "waits")
-    found, partly = scratch_path(spark, "levels"), scratch_path(spark, "met")
-    level = 1
-    placed = pinned(names.join(waits, "name", "left_anti"), "levels", f"{found}/level=1")
-    while (max_rounds is None or level < max_rounds) and not placed.isEmpty():
-        level += 1
-        met = join_with_hot(links, placed.withColumnRenamed("name", "parent"), ["parent"], hot).groupBy(
-            F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("met"))
-        met = pinned(met, "met", f"{partly}/round={level}")
-        so_far = spark.read.schema("name string, met bigint, round int").parquet(partly)
-        ready = so_far.join(met.select("name"), "name", "left_semi").groupBy("name").agg(F.sum("met").alias("met")).join(
-            waits, "name").where("met = waits").select("name")
-        placed = pinned(ready, "levels", f"{found}/level={level}")
-    done = spark.read.schema("name string, level int").parquet(found)
-    return done.unionByName(names.join(done, "name", "left_anti").select("name", F.lit(None).cast("int").alias("level")))
+    links = pinned(edges.select("child", "parent").distinct(), "links")
+    above = links.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("to"))
+    above = pinned(above.join(names, "name", "left_semi"), "above")
+    ends = climb(above.where("n = 1").select("name", "to", F.lit(False).alias("hit"))).drop("hit")
+
+    meets = split_hot_join(links, above.where("n > 1").select(F.col("name").alias("child")), ["child"])
+    arcs = pinned(split_hot_join(meets.withColumnRenamed("parent", "name"), ends, ["name"], "left").groupBy(
+        "child", F.coalesce("to", "name").alias("anchor")).agg(F.max(F.coalesce("dist", F.lit(0)) + 1).alias("dist")), "arcs")
+    waits = pinned(arcs.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("waits")), "waits")
+    hot = hot_keys(arcs, ["anchor"])
+    most = lambda df: df.groupBy("name").agg(F.max("met").alias("met"), F.max("level").alias("level"), F.max("waits").alias("waits"))
+    runs = Runs("waiting", lambda df: most(df).where("met < waits"))
+    found, round_no = scratch_path(spark, "levels"), 0
+    first = names.join(above, "name", "left_anti").where("name is not null").select(
+        "name", F.lit(0).cast("bigint").alias("met"), F.lit(1).alias("level"), F.lit(0).cast("bigint").alias("waits"))
+    table = pinned(first, "levels", f"{found}/round=0")
+    fresh = table
+    while not fresh.isEmpty():
+        round_no += 1
+        met = join_with_hot(arcs, fresh.select(F.col("name").alias("anchor"), "level"), ["anchor"], hot).groupBy(
+            F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("met"), F.max(F.col("level") + F.col("dist")).alias("level"))
+        earlier = runs.rows()
+        if earlier is not None:
+            before = most(earlier).select("name", F.col("met").alias("_met"), F.col("level").alias("_level"))
+            met = met.join(before, "name", "left").select(
+                "name", (F.col("met") + F.coalesce("_met", F.lit(0))).alias("met"), F.greatest("level", "_level").alias("level"))
+        table = pinned(met.join(waits, "name"), "levels", f"{found}/round={round_no}")
+        fresh = table.where("met = waits")
+        runs.add(table)
+    placed = spark.read.schema("name string, met bigint, level int, waits bigint, round int").parquet(found).where("met = waits").select("name", "level")
+    lower = split_hot_join(ends, placed.withColumnRenamed("name", "to"), ["to"]).select("name", (F.col("level") + F.col("dist")).alias("level"))
+    levels = placed.unionByName(lower)
+    if max_level is not None:
+        levels = levels.where(F.col("level") <= max_level)
+    return names.join(levels, "name", "left")
 
 
 def find_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,37 +140,49 @@ def runnable_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where(F.col("status") == "READY").join(blocked, "name", "left_anti").select("name")
 
 
-def propagate_status(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def propagate_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Deactivate nodes that can no longer run: ``name, status``.
 
     A recovered failure deactivates success children, a success deactivates fail children, and a
-    deactivated node deactivates all its children. Only nodes that are not finished change. Each round
-    follows just the nodes deactivated in the one before.
+    deactivated node deactivates all its children. Only nodes that are not finished change. A node with one unfinished
+    parent shares the fate of whatever its single parents lead to, so chains and trees are climbed in a logarithm of their depth;
+    rounds follow only nodes with several unfinished parents, each from those deactivated in the round before.
     """
     spark = nodes.sparkSession
     links = pinned(edges.select("child", "parent", "kind").distinct(), "links")
     hot = hot_keys(links, ["parent"])
     state = pinned(nodes.select("name", "status"), "state")
-    open_nodes = state.where(~F.col("status").isin(*TERMINAL)).select("name")
-    fresh = state.where(F.col("status").isin("DEACTIVATE", "FAILED_RECOVERED", *SUCCESSFUL))
-    found = scratch_path(spark, "deactivated")
-    dead, round_no = None, 0
-    while max_rounds is None or round_no < max_rounds:
-        parents = fresh.select(F.col("name").alias("parent"), F.col("status").alias("_ps"))
-        kills = ((F.col("_ps") == "DEACTIVATE") | ((F.col("_ps") == "FAILED_RECOVERED") & (F.col("kind") == "success"))
-                 | (F.col("_ps").isin(*SUCCESSFUL) & (F.col("kind") == "fail")))
-        hit = join_with_hot(links, parents, ["parent"], hot).where(kills).select(F.col("child").alias("name")).distinct()
-        dies = hit.join(open_nodes, "name", "left_semi")
-        if dead is not None:
-            dies = dies.join(dead, "name", "left_anti")
+    open_nodes = pinned(state.where(~F.col("status").isin(*TERMINAL)).select("name").distinct(), "open")
+    ended = state.where(F.col("status").isin("DEACTIVATE", "FAILED_RECOVERED", *SUCCESSFUL)).select(F.col("name").alias("parent"), F.col("status").alias("_ps"))
+    kills = ((F.col("_ps") == "DEACTIVATE") | ((F.col("_ps") == "FAILED_RECOVERED") & (F.col("kind") == "success"))
+             | (F.col("_ps").isin(*SUCCESSFUL) & (F.col("kind") == "fail")))
+    struck = join_with_hot(links, ended, ["parent"], hot).where(kills).select(F.col("child").alias("name")).distinct()
+    struck = pinned(struck.join(open_nodes, "name", "left_semi"), "struck")
+
+    inner = join_with_hot(links, open_nodes.withColumnRenamed("name", "parent"), ["parent"], hot).select("child", "parent").distinct()
+    inner = pinned(split_hot_join(pinned(inner, "links"), open_nodes.withColumnRenamed("name", "child"), ["child"]), "links")
+    above = pinned(inner.groupBy(F.col("child").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("to")), "above")
+    single = above.where("n = 1").join(struck.withColumn("hit", F.lit(True)), "name", "left").select(
+        "name", "to", F.coalesce("hit", F.lit(False)).alias("hit"))
+    ends = climb(pinned(single, "single"))
+
+    meets = split_hot_join(inner, above.where("n > 1").select(F.col("name").alias("child")), ["child"])
+    arcs = pinned(split_hot_join(meets.withColumnRenamed("parent", "name"), ends, ["name"], "left").select(
+        "child", F.coalesce("to", "name").alias("anchor"), F.coalesce("hit", F.lit(False)).alias("hit")).distinct(), "arcs")
+    hot = hot_keys(arcs, ["anchor"])
+    runs = Runs("dead", lambda df: df)
+    found, round_no = scratch_path(spark, "deactivated"), 0
+    first = struck.unionByName(arcs.where("hit").select(F.col("child").alias("name"))).distinct()
+    fresh = pinned(first, "deactivated", f"{found}/round=0")
+    while not fresh.isEmpty():
+        runs.add(fresh)
         round_no += 1
-        fresh = pinned(dies, "deactivated", f"{found}/round={round_no}").withColumn("status", F.lit("DEACTIVATE"))
-        if fresh.isEmpty():
-            break
-        dead = spark.read.schema("name string, round int").parquet(found).select("name")
-    if dead is None:
-        return state
-    gone = dead.withColumn("_gone", F.lit(True))
+        hits = join_with_hot(arcs, fresh.withColumnRenamed("name", "anchor"), ["anchor"], hot).select(F.col("child").alias("name")).distinct()
+        fresh = pinned(hits.join(runs.rows(), "name", "left_anti"), "deactivated", f"{found}/round={round_no}")
+    dead = spark.read.schema("name string, round int").parquet(found).select("name")
+    below = ends.where("hit").select("name").unionByName(
+        split_hot_join(ends.where("not hit"), dead.withColumnRenamed("name", "to"), ["to"], "left_semi").select("name"))
+    gone = dead.unionByName(below).distinct().withColumn("_gone", F.lit(True))
     return state.join(gone, "name", "left").select(
         "name", F.when(F.col("_gone"), F.lit("DEACTIVATE")).otherwise(F.col("status")).alias("status"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from haulmark.operators import graph as GR, state as ST
 from haulmark import session, skew
+from haulmark.rounds import Runs
 
 EDGE = "child string, parent string, kind string"
 
@@ -180,13 +181,80 @@ def test_state_log(spark):
     assert df.select(ST.seconds_between("ts", F.lit("2024-01-01 00:00:59").cast("timestamp_ntz"))).first()[0] == 59
 
 
-def test_rounds_write_a_row_a_node_and_a_row_an_edge(spark, tmp_path, monkeypatch):
-    """A chain with a fan at its end: no round writes the nodes that still wait."""
-    chain = [(f"c{i}", f"c{i - 1}") for i in range(1, 12)] + [(f"f{i}", "c11") for i in range(40)]
+def written_rows(spark, folder, *labels):
+    return sum(spark.read.parquet(str(p)).count() for p in folder.iterdir() if p.name.split("-")[0] in labels)
+
+
+def test_long_chains_are_climbed(spark, tmp_path, monkeypatch):
+    """10,000 nodes in a row and a fan at the end: a logarithm of rounds, n log n rows written."""
+    n = 10_000
+    chain = [(f"c{i}", f"c{i - 1}") for i in range(1, n)] + [(f"f{i}", f"c{n - 1}") for i in range(40)]
     nodes = spark.createDataFrame([("c0",)] + [(c,) for c, _ in chain], "name string")
     edges = spark.createDataFrame([(c, p, "success") for c, p in chain], "child string, parent string, kind string")
     monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
     levels = {r.name: r.level for r in GR.topo_levels(nodes, edges).collect()}
-    assert levels["c11"] == 12 and levels["f7"] == 13 and len(levels) == 52
-    written = sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir() if p.name.startswith(("levels-", "met-")))
-    assert written == len(levels) + len(chain)
+    assert levels == {f"c{i}": i + 1 for i in range(n)} | {f"f{i}": n + 1 for i in range(40)}
+    rounds = [p for d in tmp_path.iterdir() if d.name.startswith(("climb-", "levels-")) for p in d.iterdir() if p.name.startswith("round=")]
+    assert len(rounds) <= 18
+    assert written_rows(spark, tmp_path, "climb", "levels", "waiting") <= 16 * len(levels)
+
+
+def test_long_chains_pass_deactivation_on(spark, tmp_path, monkeypatch):
+    n = 500
+    chain = [(f"c{i}", f"c{i - 1}") for i in range(1, n)]
+    status = {"c0": "FAILED_RECOVERED", "c400": "SUCCEEDED"}
+    nodes = spark.createDataFrame([(f"c{i}", status.get(f"c{i}", "READY")) for i in range(n)], "name string, status string")
+    edges = spark.createDataFrame([(c, p, "success") for c, p in chain], "child string, parent string, kind string")
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    out = {r.name: r.status for r in GR.propagate_status(nodes, edges).collect()}
+    assert out == {f"c{i}": status.get(f"c{i}", "DEACTIVATE" if i < 400 else "READY") for i in range(n)}
+    assert len([p for d in tmp_path.iterdir() if d.name.startswith(("climb-", "deactivated-")) for p in d.iterdir() if p.name.startswith("round=")]) <= 13
+
+
+def test_ladders_take_a_round_a_rung(spark, tmp_path, monkeypatch):
+    """Every rung has two parents, one of them at the end of a chain: nothing but rungs is left for the rounds."""
+    rungs = 5
+    pairs = [x for i in range(1, rungs) for x in ((f"r{i}", f"r{i - 1}"), (f"a{i}", f"r{i - 1}"), (f"b{i}", f"a{i}"), (f"r{i}", f"b{i}"))]
+    names = sorted({x for p in pairs for x in p})
+    nodes = spark.createDataFrame([(x,) for x in names], "name string")
+    edges = spark.createDataFrame([(c, p, "success") for c, p in pairs], "child string, parent string, kind string")
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    levels = {r.name: r.level for r in GR.topo_levels(nodes, edges).collect()}
+    assert levels == {f"{x}{i}": 3 * i + 1 - {"r": 0, "b": 1, "a": 2}[x] for x in "rab" for i in range(x != "r", rungs)}
+    assert written_rows(spark, tmp_path, "waiting") <= 3 * rungs
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7), st.sampled_from(GR.KINDS)), max_size=12),
+       st.lists(st.sampled_from(["READY", "RUNNING", "SUCCEEDED", "FAILED_RECOVERED", "FAILED", "DEACTIVATE"]), min_size=8, max_size=8))
+def test_deactivation_against_plain_python(spark, arcs, statuses):
+    want, changed = list(statuses), True
+    while changed:
+        changed = False
+        for c, p, kind in arcs:
+            kills = want[p] == "DEACTIVATE" or (want[p] == "FAILED_RECOVERED" and kind == "success") or (want[p] == "SUCCEEDED" and kind == "fail")
+            if kills and want[c] in ("READY", "RUNNING"):
+                want[c], changed = "DEACTIVATE", True
+    out = GR.propagate_status(spark.createDataFrame([(str(i), s) for i, s in enumerate(statuses)], "name string, status string"),
+                              edges(spark, *arcs))
+    assert [s for _, s in sorted((int(r.name), r.status) for r in out.collect())] == want
+
+
+def test_levels_of_odd_names(spark):
+    """NULL names and parents, self-reference, repeated edges, children that are no nodes, empty tables."""
+    nodes = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("s",), ("d",), (None,)], "name string")
+    edges = spark.createDataFrame([("b", "a", "success"), ("b", "a", "fail"), ("c", None, "success"), ("s", "s", "success"), ("d", "zz", "success"),
+                                   ("zz", "a", "success"), (None, "a", "success")], "child string, parent string, kind string")
+    assert sorted(map(repr, map(tuple, GR.topo_levels(nodes, edges).collect()))) == sorted(
+        map(repr, [("a", 1), ("b", 2), ("c", None), ("s", None), ("d", None), (None, None)]))
+    assert GR.topo_levels(nodes.where("false"), edges).collect() == []
+    assert {r.name: r.level for r in GR.topo_levels(nodes, edges.where("false"), 1).collect()} == {"a": 1, "b": 1, "c": 1, "s": 1, "d": 1, None: None}
+
+
+def test_runs_stay_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    runs = Runs("some", lambda df: df)
+    for i in range(11):
+        runs.add(spark.range(i, i + 1))
+    assert [rank for rank, _ in runs.tables] == [3, 1, 0]
+    assert sorted(r.id for r in runs.rows().collect()) == list(range(11))
