@@ -1,10 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items and documents are read as normalised words (lower case, ASCII punctuation as white space). Every run of ``SEED``
-words of an item is a seed. A first pass counts the items' words in the whole corpus. A seed is rare if its words, drawn by
-these frequencies, would hardly meet by chance; each item always keeps its rarer half and the rarest of every ``NEAR`` seeds
+words of an item is a seed, and so is every choice of four of five words in a row by ``GAPPED``, which an edited word between them
+leaves intact: copies with every fourth or every third word replaced have no run of four. A first pass counts the items' words in
+the whole corpus. A seed is rare if its words, drawn by
+these frequencies, would hardly meet by chance; each item always keeps its rarer half of the runs and the rarest of every ``NEAR`` runs
 in a row, so that no long passage is without one, and all of them if it is short. (How often the seed itself occurs would
-not do: an item copied into a third of the corpus would lose its seeds.) A second pass cuts a passage around the rare seeds of each document, as wide as the longest item on either side; a join on
+not do: an item copied into a third of the corpus would lose its seeds.) A second pass cuts a passage around the rare seeds of
+each document, as wide as the longest item of the seed on either side; a join on
 the seeds pairs passages with items, and local alignment of the words scores each pair. The score of an item is the
 alignment's score over that of a full match, so exact, edited and partial copies rank on one scale. A pair counts by its
 share, but not below ``LEAST`` (a lone seed proves nothing), or by ``LONG`` words' score, however long the item is. An item
@@ -12,22 +15,26 @@ of six or seven words may differ by one word; shorter ones must match entirely.
 
 The seeds go to the tasks in blocks of bounded size; a larger benchmark makes more passes, not larger tasks.
 
-Null and empty texts or items give no seeds; an item shorter than a seed is one seed as a whole. Repeated documents are each reported; per (doc_id, item_id) the best alignment is kept, of equal ones the
-first by place. Empty tables give an empty result.
+Null and empty texts or items give no seeds; an item shorter than a seed is one seed as a whole. Very long texts are read whole, and
+only passages of them are shuffled. Repeated documents are each reported; per (doc_id, item_id) the best alignment is kept, of equal ones the
+first by place. Other columns of either table, whatever their names, are not looked at. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import Windows, WordHashes, map_rows, map_slices, raw_text
+from .common import Windows, WordHashes, map_rows, map_slices, mixed, raw_text
 from .registry import query, table
 from ..session import pinned
 
 SEED = 4
+GAPPED = ((0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))  # places of a gapped seed's words; shapes SEED + 1 and on
+SPAN = 1 + max(map(max, GAPPED))
 SEED_BLOCK = 1_000_000
 RARE_SHARE = 1e-4  # expected chance occurrences of a rare seed, as a share of the documents
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -54,51 +61,68 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class Gaps:
+    """Hashes of the gapped choices of words at every place: one row a shape of ``GAPPED``, empty if there are fewer words."""
+
+    def __init__(self):
+        self.factors = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(SEED)]
+        self.codes = np.arange(SEED + 1, SEED + 1 + len(GAPPED), dtype=np.uint64)[:, None]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        n = len(h) - SPAN + 1
+        if n <= 0:
+            return np.zeros((len(GAPPED), 0), np.uint64)
+        scaled = [h * f for f in self.factors]
+        return mixed(np.stack([sum(x[o:o + n] for x, o in zip(scaled, places)) for places in GAPPED])) ^ self.codes
+
+
 class SeedFinder:
-    """Where a text's windows of words are among given seeds."""
+    """Where texts' words have given seeds, of shapes 1 to ``SEED`` (runs of so many words) or gapped."""
 
-    def __init__(self, seeds: np.ndarray, widths: list[int]):
-        self.seeds, self.widths = seeds, widths  # sorted, unsigned
+    def __init__(self, seeds: np.ndarray, reach: np.ndarray, shapes: list[int]):
+        self.seeds, self.reach = seeds, reach  # sorted, unsigned, each with the words of its longest item
+        self.widths, self.gapped = [s for s in shapes if s <= SEED], any(s > SEED for s in shapes)
         self.bits = np.zeros(1 << 22, np.bool_)
         self.bits[seeds >> np.uint64(42)] = True
-        self.hashes, self.windows = WordHashes(), Windows()
+        self.hashes, self.windows, self.gaps = WordHashes(), Windows(), Gaps()
 
-    def known(self, h: np.ndarray) -> np.ndarray:
-        h = h[self.bits[h >> np.uint64(42)]]
-        k = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
-        return h[self.seeds[k] == h]
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are seeds, and which seeds they are."""
+        at = np.flatnonzero(self.bits[h >> np.uint64(42)])
+        k = np.minimum(np.searchsorted(self.seeds, h[at]), len(self.seeds) - 1)
+        same = self.seeds[k] == h[at] if len(self.seeds) else np.zeros(0, np.bool_)
+        return at[same], k[same]
 
-    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, widths and seeds of the hits, by place."""
-        h = self.hashes.of(words)
+    def find(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Text, place, place behind and number of the seed of each hit, by place; ``ends`` is where texts end in ``h``."""
         found = []
         for width in self.widths:
-            w = self.windows.of(h, width) ^ np.uint64(width)
-            at = np.flatnonzero(self.bits[w >> np.uint64(42)])
-            if len(at):
-                k = np.minimum(np.searchsorted(self.seeds, w[at]), len(self.seeds) - 1)
-                at = at[self.seeds[k] == w[at]]
-                found.append((at, np.full(len(at), width), w[at]))
-        if not found:
-            none = np.zeros(0, np.int64)
-            return none, none, none.astype(np.uint64)
-        at, width, seed = (np.concatenate(x) for x in zip(*found))
+            at, k = self.places(self.windows.of(h, width) ^ np.uint64(width))
+            found.append((at, at + width, k))
+        if self.gapped:
+            rows = self.gaps.of(h)
+            at, k = self.places(rows.ravel())
+            at = at % max(1, rows.shape[1])
+            found.append((at, at + SPAN, k))
+        at, end, k = (np.concatenate(x) for x in zip(*found))
+        text = np.searchsorted(ends, at, side="right")
         order = np.argsort(at, kind="stable")
-        return at[order], width[order], seed[order]
+        order = order[(end <= ends[text])[order]]  # a window over the edge of two texts is none
+        return text[order], at[order], end[order], k[order]
 
 
 def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """(item_id, words, n, width, seed, parts, blocks) for each distinct seed of each item.
+    """(item_id, words, n, shape, seed, parts, blocks) for each distinct seed of each item.
 
-    ``parts`` are the hashes of its words, ``blocks`` the rows of ``NEAR`` places in which it occurs.
+    ``parts`` are the hashes of its words, ``blocks`` the rows of ``NEAR`` places in which it occurs (none if gapped).
     """
     def setup():
-        hashes, windows = WordHashes(), Windows()
+        hashes, windows, gaps = WordHashes(), Windows(), Gaps()
 
         def fn(item, body):
             words = normal_words(body or b"")
             if words:
-                n = len(words)
+                n, whole = len(words), b" ".join(words)
                 width = seed if n >= SHORT else n // 2 if least_score(n) < MATCH * n else min(seed, n)
                 h = hashes.of(words)
                 found, first, which = np.unique(windows.of(h, width) ^ np.uint64(width), return_index=True, return_inverse=True)
@@ -106,58 +130,61 @@ def item_seeds(items: DataFrame, item_id: str = "item_id", text: str = "text", s
                 for place, k in enumerate(which.tolist()):
                     blocks[k].add(place // NEAR)
                 for s, at, where in zip(found.view(np.int64).tolist(), first.tolist(), blocks):
-                    yield item, b" ".join(words), n, width, s, h[at:at + width].view(np.int64).tolist(), sorted(where)
+                    yield item, whole, n, width, s, h[at:at + width].view(np.int64).tolist(), sorted(where)
+                if n >= SHORT:
+                    for k, (row, places) in enumerate(zip(gaps.of(h), GAPPED)):
+                        found, first = np.unique(row, return_index=True)
+                        for s, at in zip(found.view(np.int64).tolist(), first.tolist()):
+                            yield item, whole, n, SEED + 1 + k, s, h[at + np.array(places)].view(np.int64).tolist(), []
 
         return fn
 
     return map_rows(items.select(F.col(item_id).cast("string").alias("item_id"), raw_text(text)).distinct(), setup,
-                    [("item_id", "string"), ("words", "binary"), ("n", "int"), ("width", "int"), ("seed", "long"), ("parts", "array<long>"),
+                    [("item_id", "string"), ("words", "binary"), ("n", "int"), ("shape", "int"), ("seed", "long"), ("parts", "array<long>"),
                      ("blocks", "array<long>")])
 
 
 def _count_words(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
     """(word, n) for the wanted word hashes that occur, and under null the number of all words."""
     def setup():
-        finder = SeedFinder(wanted, [])
+        finder = SeedFinder(wanted, wanted, [])
 
         def fn(columns):
-            for body in columns[0]:
-                h = finder.hashes.of(normal_words(body or b""))
-                yield None, len(h)
-                values, counts = np.unique(finder.known(h), return_counts=True)
-                yield from zip(values.view(np.int64).tolist(), counts.tolist())
-
-        def summed(columns):
-            totals: dict = {}
-            for word, n in fn(columns):
-                totals[word] = totals.get(word, 0) + n
-            return totals.items()
+            words = [w for body in columns[0] for w in normal_words(body or b"")]
+            _, k = finder.places(finder.hashes.of(words))
+            values, counts = np.unique(k, return_counts=True)
+            yield None, len(words)
+            yield from zip(wanted[values].view(np.int64).tolist(), counts.tolist())
 
-        return summed
+        return fn
 
     return map_slices(docs.select(raw_text(text)), setup, [("word", "long"), ("n", "long")]).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _passages(docs: DataFrame, text: str, keep: tuple, seeds: np.ndarray, widths: list[int], reach: int) -> DataFrame:
+def _passages(docs: DataFrame, text: str, keep: tuple, seeds: np.ndarray, reach: np.ndarray, shapes: list[int]) -> DataFrame:
     """``keep`` (of type long), place of the first word, words, and the seeds of each passage."""
     def setup():
-        finder = SeedFinder(seeds, widths)
+        finder = SeedFinder(seeds, reach, shapes)
 
-        def fn(*cells):
-            words = normal_words(cells[-1] or b"")
-            at, width, seed = finder.find(words)
+        def fn(columns):
+            *kept, bodies = columns
+            texts = [normal_words(body or b"") for body in bodies]
+            ends = np.cumsum([len(words) for words in texts])
+            text, at, end, k = finder.find(finder.hashes.of(list(chain.from_iterable(texts))), ends)
             if not len(at):
                 return
-            ends = np.maximum.accumulate(at + width)
-            cuts = np.flatnonzero(at[1:] - ends[:-1] > reach) + 1
-            for part in np.split(np.arange(len(at)), cuts):
-                start, end = max(0, int(at[part[0]]) - reach), int(ends[part[-1]]) + reach
-                yield (*cells[:-1], start, b" ".join(words[start:end]), np.unique(seed[part]).view(np.int64).tolist())
+            wide = finder.reach[k]
+            far = at[1:] - np.maximum.accumulate(end)[:-1] > np.maximum(wide[1:], wide[:-1])
+            for part in np.split(np.arange(len(at)), np.flatnonzero(far | (text[1:] != text[:-1])) + 1):
+                row, words = int(text[part[0]]), texts[text[part[0]]]
+                begin = int(ends[row]) - len(words)
+                start, stop = max(0, int((at[part] - wide[part]).min()) - begin), int((end[part] + wide[part]).max()) - begin
+                yield (*[c[row] for c in kept], start, b" ".join(words[start:stop]), np.unique(seeds[k[part]]).view(np.int64).tolist())
 
         return fn
 
-    return map_rows(docs.select(*keep, raw_text(text)), setup,
-                    [*((k, "long") for k in keep), ("start", "long"), ("passage", "binary"), ("seeds", "array<long>")])
+    return map_slices(docs.select(*keep, raw_text(text)), setup,
+                      [*((k, "long") for k in keep), ("start", "long"), ("passage", "binary"), ("seeds", "array<long>")])
 
 
 def align(item: list, passage: list) -> tuple[int, int, int]:
@@ -208,19 +235,20 @@ def alignments(pairs: DataFrame, keep: tuple, threshold: float = THRESHOLD) -> D
 
 
 def rare_seeds(found: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
-    """The seeds of ``found`` whose words seldom meet by chance, the rarer half of each item's and the rarest of each of its
+    """The seeds of ``found`` whose words seldom meet by chance, the rarer half of each item's runs and the rarest of each of its
     blocks, and all seeds of short items."""
     total = float(counts.where("word is null").agg(F.max("n")).first()[0] or 1)
-    each = found.select("item_id", "words", "n", "seed", "blocks", F.explode("parts").alias("word")).join(
-        counts.withColumnRenamed("n", "_n"), "word", "left").groupBy("item_id", "words", "n", "seed", "blocks").agg(
+    each = found.select("item_id", "words", "n", "shape", "seed", "blocks", F.explode("parts").alias("word")).join(
+        counts.withColumnRenamed("n", "_n"), "word", "left").groupBy("item_id", "words", "n", "shape", "seed", "blocks").agg(
         (F.sum(F.log(F.coalesce("_n", F.lit(0.5)) / total)) + F.log(F.lit(total))).alias("_chance"))
-    item = W.partitionBy("item_id", "words")
+    run = F.col("shape") <= SEED
+    item = W.partitionBy("item_id", "words", run)
     ranked = each.withColumns({"_rank": F.row_number().over(item.orderBy("_chance", "seed")), "_of": F.count(F.lit(1)).over(item)})
-    near = ranked.withColumn("block", F.explode("blocks")).withColumn(
-        "_near", F.row_number().over(W.partitionBy("item_id", "words", "block").orderBy("_chance", "seed")))
+    near = ranked.withColumn("block", F.explode_outer("blocks")).withColumn(
+        "_near", F.row_number().over(W.partitionBy("item_id", "words", run, "block").orderBy("_chance", "seed")))
     limit = F.log(F.lit(max(1.0, RARE_SHARE * n_docs)))
-    return near.where((F.col("_chance") <= limit) | (F.col("_rank") * 2 <= F.col("_of") + 1) | (F.col("_near") == 1) | (F.col("n") < SHORT)
-                      ).select("item_id", "words", "seed").distinct()
+    kept = (F.col("_chance") <= limit) | (F.col("n") < SHORT) | (run & ((F.col("_rank") * 2 <= F.col("_of") + 1) | (F.col("_near") == 1)))
+    return near.where(kept).select("item_id", "words", "n", "seed").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep=("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
@@ -233,13 +261,13 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep=("d
     out = None
     for k in range(blocks):
         mine = seeds.where(block == k)
-        shape = mine.agg(F.collect_set("width"), F.max("n")).first()
-        if not shape[0]:
+        shapes = sorted(mine.agg(F.collect_set("shape")).first()[0])
+        if not shapes:
             continue
         wanted = _hashes(mine.select(F.explode("parts").alias("seed")))
         counts = pinned(_count_words(docs, text, wanted), "bench-words")
         rare = pinned(rare_seeds(mine, counts, n_docs), "bench-rare")
-        passages = pinned(_passages(docs, text, keep, _hashes(rare), sorted(shape[0]), shape[1]), "bench-passages")
+        passages = pinned(_passages(docs, text, keep, *_reaches(rare), shapes), "bench-passages")
         where = [*keep, "start", "item_id"]
         pairs = passages.select(*keep, "start", "passage", F.explode("seeds").alias("seed")).join(
             rare.select("seed", "item_id", "words"), "seed").groupBy(*where, "words").agg(F.first("passage").alias("passage"))
@@ -256,6 +284,14 @@ def _hashes(seeds: DataFrame) -> np.ndarray:
     return np.sort(seeds.select("seed").distinct().toArrow().column("seed").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _reaches(rare: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most a block of seeds, sorted, and the number of words of the longest item of each."""
+    found = rare.groupBy("seed").agg(F.max("n").alias("n")).toArrow()
+    seeds, n = (found.column(c).to_numpy().astype(np.int64) for c in ("seed", "n"))
+    order = np.argsort(seeds.view(np.uint64))
+    return seeds.view(np.uint64)[order], n[order]
+
+
 def _none(docs: DataFrame, keep: tuple) -> DataFrame:
     lit: dict[str, Column] = {"start": F.lit(0).cast("long"), "item_id": F.lit(""), "words": F.lit(b""), "passage": F.lit(b"")}
     return docs.limit(0).select(*keep).withColumns(lit)

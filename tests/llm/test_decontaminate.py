@@ -97,3 +97,46 @@ def test_every_long_passage_keeps_a_seed(spark):
     places = d.Windows().of(d.WordHashes().of([x.encode() for x in item]), d.SEED) ^ d.np.uint64(d.SEED)
     kept = [x in rare for x in places.view(d.np.int64).tolist()]
     assert all(any(kept[at:at + 10]) for at in range(len(kept) - 9))
+
+
+def test_edited_copies_against_alignment_of_all_pairs(spark):
+    """Copies with evenly spaced and with random edits: what the aligner accepts in any pair is found, and nothing else."""
+    rnd = random.Random(21)
+    vocab = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 8))) for _ in range(3000)]
+    say = lambda k: rnd.choices(vocab, [1 / (r + 3) for r in range(len(vocab))], k=k)
+    items = [say(rnd.randint(12, 60)) for _ in range(40)]
+    rates = {"10%": 10, "20%": 5, "25%": 4, "33%": 3}
+    rows, rate_of = [], {}
+    for rate, step in rates.items():
+        for i in range(60):
+            body = items[rnd.randrange(40)]
+            at = {k for k in range(len(body)) if (k % step == step - 1 if i % 2 else rnd.random() < 1 / step)}
+            rate_of[len(rows)] = rate
+            rows.append((len(rows), " ".join(say(20) + [rnd.choice(vocab) if k in at else w for k, w in enumerate(body)] + say(25))))
+    rows += [(len(rows) + i, " ".join(say(80))) for i in range(60)]
+    want = {}
+    for doc, text in rows:
+        words = text.encode().split()
+        for i, body in enumerate(items):
+            score = d.align([w.encode() for w in body], words)[0]
+            if score >= d.least_score(len(body)):
+                want[doc, str(i)] = score / (2 * len(body))
+    got = {(r.doc_id, r.item_id): r.share for r in d.contaminated(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+        spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    assert got.items() <= want.items()
+    for rate in rates:
+        mine = [p for p in want if rate_of.get(p[0]) == rate]
+        recall = sum(p in got for p in mine) / len(mine)
+        print(f"edits {rate}: {len(mine)} pairs accepted, recall {recall:.3f}")
+        assert len(mine) >= 50 and recall >= 0.97
+
+
+def test_other_columns_are_not_looked_at(spark, docs):
+    bench = docs.where("doc_id in (3, 30, 50)").selectExpr("doc_id as item_id", "text")
+    want = sorted(map(tuple, d.contaminated(docs, bench).collect()), key=repr)
+    clash = docs.selectExpr("*", "1 as start", "2 as passage", "'x' as item_id", "3 as share", "4 as seed", "5 as _mark")
+    assert sorted(map(tuple, d.contaminated(clash, bench.selectExpr("*", "7 as n", "'y' as words", "8 as doc_id")).collect()), key=repr) == want
+    kept = d.without_contaminated(clash, bench)
+    assert kept.columns == clash.columns and kept.count() == docs.count() - len({(r[0]) for r in want}) - sum(
+        docs.where(f"doc_id = {r[0]}").count() - 1 for r in {r[:1] for r in want if r[0] is not None})
