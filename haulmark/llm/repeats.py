@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..session import pinned
 from ..skew import split_hot_join
-from .common import Windows, WordHashes, map_rows, raw_text
+from .common import WORD, Windows, WordHashes, map_rows, raw_text
 from .components import components
 from .registry import query, table
 
@@ -200,6 +200,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
                     [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")])
 
 
-@query("op9_repeated_spans")
+# Every window by its words; rows are told apart by number, so that rows that share an id keep their own words.
+REPEATS_SQL = f"""with rows as (
+    select row_number() over () as row, doc_id, coalesce(doc_id, {LAST}) as doc, regexp_extract_all(coalesce(text, ''), '{WORD}') as words from documents),
+  windows as (
+    select row, doc, start, sha256(array_to_string(words[start:start + {WINDOW - 1}], ' ')) as w
+    from rows, unnest(range(1, len(words) - {WINDOW - 2})) as t(start)),
+  leasts as (select w, min(doc) as least from windows group by w),
+  gone as (
+    select distinct row, start + k as place from windows join leasts using (w), unnest(range(0, {WINDOW})) as s(k) where doc > least),
+  each as (select row, place, words[place] as word from rows, unnest(range(1, len(words) + 1)) as t(place)),
+  kept as (
+    select row, count(*) as n, string_agg(word, ' ' order by place) as words from each anti join gone using (row, place) group by row)
+select doc_id, len(rows.words) as n_words, len(rows.words) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.words, '')) as kept_sha256
+from rows left join kept using (row)"""
+
+
+@query("op9_repeated_spans", REPEATS_SQL)
 def op9_repeated_spans(spark: SparkSession, sf: str) -> DataFrame:
     return without_repeats(table(spark, sf, "documents"))
