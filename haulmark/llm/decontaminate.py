@@ -266,11 +266,12 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keep=("d
             continue
         wanted = _hashes(mine.select(F.explode("parts").alias("seed")))
         counts = pinned(_count_words(docs, text, wanted), "bench-words")
-        rare = pinned(rare_seeds(mine, counts, n_docs), "bench-rare")
-        passages = pinned(_passages(docs, text, keep, *_reaches(rare), shapes), "bench-passages")
-        where = [*keep, "start", "item_id"]
-        pairs = passages.select(*keep, "start", "passage", F.explode("seeds").alias("seed")).join(
-            rare.select("seed", "item_id", "words"), "seed").groupBy(*where, "words").agg(F.first("passage").alias("passage"))
+        item, passage = F.xxhash64("item_id", "words").alias("item"), F.xxhash64(*keep, "start", "passage").alias("place")
+        rare = pinned(rare_seeds(mine, counts, n_docs).select("seed", "n", item), "bench-rare")
+        passages = pinned(_passages(docs, text, keep, *_reaches(rare), shapes).select("*", passage), "bench-passages")
+        # Pairs are found by numbers alone; texts are joined to each pair once.
+        met = passages.select("place", F.explode("seeds").alias("seed")).join(rare.select("seed", "item"), "seed").select("place", "item").distinct()
+        pairs = met.join(passages.drop("seeds"), "place").join(mine.select("item_id", "words", item).distinct(), "item")
         found = alignments(pairs, keep, threshold)
         out = found if out is None else out.unionByName(found)
     if out is None:
