@@ -24,7 +24,7 @@ _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+|
 # The model reads bytes as printable characters: those that are printable as themselves, the others from 256 on, in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_BLANK, _LINE = chr(_BYTES[32]), chr(_BYTES[10])
+BLANK, _LINE = chr(_BYTES[32]), chr(_BYTES[10])
 UNITS = 1_000_000
 LONG_UNIT = 64
 
@@ -91,11 +91,15 @@ class Encoder:
     def _model_value(self, piece: str):
         """``value`` of one piece of the pre-tokenizer made of ``_SIMPLE`` characters, by the model alone."""
         if piece.isascii():  # below 128 only these two do not stand for themselves
-            shown = piece.replace(" ", _BLANK).replace("\n", _LINE)
+            shown = piece.replace(" ", BLANK).replace("\n", _LINE)
         else:
             shown = piece.encode().decode("latin-1").translate(_BYTES)
         return self.value([t.id for t in self.lib.model.tokenize(shown)])
 
+    def bytes_value(self, raw: bytes):
+        """``value`` of bytes that are no text, by the model alone."""
+        return self.value([t.id for t in self.lib.model.tokenize(raw.decode("latin-1").translate(_BYTES))])
+
     def unit_value(self, lead: str, unit: str):
         """``value`` of the ids of a unit behind its lead, from its pieces where they are known to be those of the library."""
         if unit.isalpha() and (unit.isascii() or _SIMPLE.fullmatch(unit)):

@@ -5,10 +5,14 @@ an end id. One attention layer with relative position biases predicts the class
 frequency, and the id within its class follows corpus counts. Its log probability sums over all ids of the text, the end
 included.
 
+Texts are *encoded* once; ids of two bytes are written by the round that trains on them, and all else reads these. No id but a
+word's first begins with a space, so ids give back the words: a word's hash is one of its ids, which spell it to the byte.
+
 *Counts* of words and of ids cover all training documents: a pass with partial sums. *Attention* is trained by local steps
 and averaging: every partition takes Adam steps over its documents of the round, from the common parameters, and sends back
 its parameters and how many ids it saw; they are averaged by groups of bounded size. A hash deals the documents to the
-``ROUNDS``, so that after the last one each training document was used once.
+``ROUNDS``, so that after the last one each training document was used once. A step reads stretches of consecutive windows,
+whose keys and values are computed once for both windows they lie in.
 
 *Scoring* cuts the ids of a text into context windows that overlap by half. A window's second half is scored, with attention,
 masked to the past, on the whole window, so each id is scored once; windows of many texts go through as one batch.
@@ -23,31 +27,31 @@ zero and attention untrained, and scores are defined still. An empty table gives
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import pinned
-from .bpe import Encoder, tokenizer_path
-from .common import WordHashes, id_mod, map_slices, raw_text
+from .bpe import BLANK, Encoder, tokenizer_path
+from .common import Windows, id_mod, map_slices, mixed, raw_text
 from .registry import query, table
-from .token_files import packed32
+from .token_files import packed16, packed32
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 50_256
 WIDTH, HALF = 16, 32  # of vectors; of a window
 OWN_ROWS, CLASSES = 2_048, 64
 ROUNDS = 4  # each trains on another slice of the documents, all together on every one
-STEP, BATCH = 0.01, 64
+STEP, BATCH, STRETCH = 0.01, 64, 8  # windows of a step; of a stretch
+WORDS = 500_000  # remembered by a worker
 HEAD = 1 << 18  # most frequent words held by each task: 4 MB
 ALPHA = 0.1
 FOLDS, HELD_OUT = 10, 0
 AVERAGED_AT_ONCE = 64
 
-END_HASH = 0x6E64  # stands for the end among word hashes
-
 
 class Vocabulary:
     """Classes and input rows of ids, from corpus counts; ``inside`` is the log probability of an id within its class."""
@@ -105,24 +109,6 @@ _PAST = _AHEAD >= 0
 _BEHIND = np.where(_PAST, _AHEAD, 0)
 
 
-def _attend(p: dict, rows: np.ndarray):
-    """Attention of the second half of each window over the whole window, and class log probabilities."""
-    e = p["e"][rows]
-    near = e[:, HALF:]
-    q, k, v = near @ p["q"], e @ p["k"], e @ p["v"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= 1 / math.sqrt(WIDTH)
-    s += np.where(_PAST, p["b"][_BEHIND], -1e9).astype(np.float32)
-    s += np.where(rows == Vocabulary.PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    out = s @ v + near
-    logits = out @ p["o"] + p["c"]
-    logits -= logits.max(axis=2, keepdims=True)
-    return e, q, k, v, s, out, logits
-
-
 def _sums_of_exp(x: np.ndarray, safe: bool) -> np.ndarray:
     """Exponentials in place, up to a factor a row where values may leave the range of floats; returns the rows' shifts."""
     shift = np.zeros(x.shape[:-1] + (1,), x.dtype)
@@ -133,37 +119,61 @@ def _sums_of_exp(x: np.ndarray, safe: bool) -> np.ndarray:
     return shift
 
 
+def _overlapping(x: np.ndarray, windows: int) -> np.ndarray:
+    """Windows [..., window, 2 * HALF, width] over stretches [..., (windows + 1) * HALF, width], as a view."""
+    line, item = x.strides[-2:]
+    return np.lib.stride_tricks.as_strided(x, (*x.shape[:-2], windows, 2 * HALF, x.shape[-1]), (*x.strides[:-2], HALF * line, line, item), writeable=False)
+
+
+class Space(dict):
+    """Arrays to be filled again at each call: fresh ones of their size the system maps and clears, which took half the time."""
+
+    def __call__(self, name: str, *shape: int, dtype=np.float32) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self or self[name].size < n or self[name].dtype != dtype:
+            self[name] = np.empty(n, dtype)
+        return self[name][:n].reshape(shape)
+
+
+def _bias(p: dict) -> np.ndarray:
+    return np.where(_PAST, p["b"][_BEHIND], -1e9).astype(p["b"].dtype)
+
+
 def log_probabilities(p: dict, vocabulary: Vocabulary, ids: list[np.ndarray], batch: int = 64) -> np.ndarray:
     """Natural log probability of each text's ids.
 
     Keys, values, queries and inputs of a row are one row of a table, looked up once an id; windows are overlapping views
-    of the looked-up rows.
+    of the looked-up rows. Behind the values stands a one, so that the product with them also sums the weights; where
+    nothing stands before a text, both are zero.
     """
     rows, targets, sizes = halves_of(ids, vocabulary)
     d, halves = WIDTH, len(rows)
-    table_ = np.hstack([p["e"] @ p["k"], p["e"] @ p["v"], p["e"] @ p["q"] / np.float32(math.sqrt(d)), p["e"]]).astype(np.float32)
-    bias = np.where(_PAST, p["b"][_BEHIND], -1e9).astype(np.float32)
+    one = np.ones((Vocabulary.ROWS, 1), np.float32)
+    table_ = np.hstack([p["e"] @ p["k"], p["e"] @ p["q"] / np.float32(math.sqrt(d)), p["e"], p["e"] @ p["v"], one]).astype(np.float32)
+    bias = _bias(p).astype(np.float32)
     longest = [float(np.sqrt((table_[:, i * d:(i + 1) * d] ** 2).sum(axis=1).max())) for i in range(4)]
-    small = longest[0] * longest[2] + float(np.abs(p["b"]).max()) < 60
-    small_out = (longest[1] + longest[3]) * float(np.sqrt((p["o"] ** 2).sum(axis=0).max())) + float(np.abs(p["c"]).max()) < 60
+    small = longest[0] * longest[1] + float(np.abs(p["b"]).max()) < 60
+    small_out = (longest[2] + longest[3]) * float(np.sqrt((p["o"] ** 2).sum(axis=0).max())) + float(np.abs(p["c"]).max()) < 60
+    table_[Vocabulary.PAD, 3 * d:] = 0
+    outward = np.vstack([p["o"], p["c"]]).astype(np.float32)
     empty = np.zeros(halves, bool)
     empty[np.cumsum(sizes) - sizes] = True
-    out = np.zeros(halves)
+    out, space = np.zeros(halves), Space()
     for at in range(1, halves, batch):
         end = min(halves, at + batch)
         n = end - at
-        found = table_.take(rows[at - 1:end].ravel(), axis=0)
-        line, item = found.strides
-        window = np.lib.stride_tricks.as_strided(found, (n, 2 * HALF, 4 * d), (HALF * line, line, item), writeable=False)
-        s = window[:, HALF:, 2 * d:3 * d] @ window[:, :, :d].transpose(0, 2, 1)
+        found = np.take(table_, rows[at - 1:end].ravel(), axis=0, out=space("found", (n + 1) * HALF, 4 * d + 1), mode="clip")
+        window = _overlapping(found, n)
+        s = np.matmul(window[:, HALF:, d:2 * d], window[:, :, :d].transpose(0, 2, 1), out=space("s", n, HALF, 2 * HALF))
         s += bias
+        if not small:
+            s[empty[at - 1:end - 1], :, :HALF] = -1e9
         _sums_of_exp(s, small)
-        s[empty[at - 1:end - 1], :, :HALF] = 0  # nothing stands before a text
-        h = s @ window[:, :, d:2 * d]
-        h /= s.sum(axis=2, keepdims=True)
-        h += window[:, HALF:, 3 * d:]
-        logits = (h @ p["o"]).reshape(n * HALF, -1)  # a product a window: in one of all, rounding would hang on a row's place
-        logits += p["c"]
+        h = np.matmul(s, window[:, :, 3 * d:], out=space("h", n, HALF, d + 1))
+        h /= np.maximum(h[:, :, d:], np.float32(1e-30))
+        h[:, :, :d] += window[:, HALF:, 2 * d:3 * d]
+        h[:, :, d] = 1
+        logits = np.matmul(h, outward, out=space("logits", n, HALF, CLASSES)).reshape(n * HALF, -1)  # a product a window: in one of all, rounding would hang on a row's place
         t = targets[at:end].ravel()
         there = t >= 0
         t = np.where(there, t, 0)
@@ -174,64 +184,220 @@ def log_probabilities(p: dict, vocabulary: Vocabulary, ids: list[np.ndarray], ba
     return np.add.reduceat(out, np.cumsum(sizes) - sizes)
 
 
-def gradients(p: dict, rows: np.ndarray, classes: np.ndarray) -> tuple[dict, float]:
-    """Mean cross entropy of the next class (-1: none) over the windows, and its gradients."""
-    e, q, k, v, a, out, logits = _attend(p, rows)
-    there = classes >= 0
-    n = max(1, int(there.sum()))
-    want = np.where(there, classes, 0)[:, :, None]
-    d = np.exp(logits)
-    total = d.sum(axis=2, keepdims=True)
-    loss = -float(((np.take_along_axis(logits, want, 2) - np.log(total))[:, :, 0] * there).sum()) / n
-    d /= total
-    np.put_along_axis(d, want, np.take_along_axis(d, want, 2) - 1, 2)
-    d *= (there / n).astype(np.float32)[:, :, None]
-    near = e[:, HALF:]
+def _rows_added(rows: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the lines of ``x`` by row."""
+    cells = rows[:, None] * x.shape[1] + np.arange(x.shape[1])
+    return np.bincount(cells.ravel(), x.ravel(), n * x.shape[1]).reshape(n, -1).astype(x.dtype)
+
+
+def gradients(p: dict, rows: np.ndarray, classes: np.ndarray, space: Space | None = None) -> tuple[dict, float]:
+    """Mean cross entropy of the next class (-1: none) and its gradients.
+
+    ``rows`` [stretch, (n + 1) * HALF] are stretches of n consecutive windows, ``classes`` [stretch, n * HALF]. Weights stay
+    as they come from the exponential; their sum, from a column of ones behind the values, divides the outcome.
+    """
+    d, dtype = WIDTH, p["e"].dtype
+    stretches, n = len(rows), rows.shape[1] // HALF - 1
+    halves, space = (stretches, n, HALF), functools.partial(Space() if space is None else space, dtype=dtype)
+    take = lambda x, y, name, *shape: np.matmul(x, y, out=space(name, *shape))
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    d_out = d @ p["o"].T
-    d_a = d_out @ v.transpose(0, 2, 1)
-    d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
-    d_v = a.transpose(0, 2, 1) @ d_out
-    scaled = d_s / np.float32(math.sqrt(WIDTH))
-    d_q, d_k = scaled @ k, scaled.transpose(0, 2, 1) @ q
-    d_e = d_k @ p["k"].T + d_v @ p["v"].T
-    d_e[:, HALF:] += d_out + d_q @ p["q"].T
-    cells = (rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    rows_e = np.bincount(cells, d_e.ravel(), p["e"].size).reshape(p["e"].shape).astype(p["e"].dtype)
-    return {"e": rows_e, "q": flat(near).T @ flat(d_q), "k": flat(e).T @ flat(d_k), "v": flat(e).T @ flat(d_v),
-            "b": np.bincount(_BEHIND[_PAST], d_s.sum(axis=0)[_PAST], 2 * HALF).astype(np.float32),
-            "o": flat(out).T @ flat(d), "c": d.sum(axis=(0, 1))}, loss
+    e = np.take(p["e"], rows, axis=0, out=space("e", *rows.shape, d), mode="clip")
+    near = space("near", stretches * n * HALF, d)
+    near.reshape(stretches, -1, d)[:] = e[:, HALF:]
+    to_q = p["q"] * dtype.type(1 / math.sqrt(d))
+    q = take(near, to_q, "q", len(near), d).reshape(*halves, d)
+    k = take(flat(e), p["k"], "k", rows.size, d).reshape(e.shape)
+    v = space("v", *rows.shape, d + 1)
+    v[:, :, :d] = take(flat(e), p["v"], "v0", rows.size, d).reshape(e.shape)
+    v[:, :, d] = 1
+    none = rows == Vocabulary.PAD
+    v[none] = 0
+    keys, values = _overlapping(k, n), _overlapping(v, n)
+    s = take(q, keys.swapaxes(2, 3), "s", *halves, 2 * HALF)
+    s += _bias(p)
+    if math.sqrt((flat(q) ** 2).sum(axis=1).max() * (flat(k) ** 2).sum(axis=1).max()) + np.abs(p["b"]).max() < 60:
+        np.exp(s, out=s)
+    else:
+        np.copyto(s, -1e9, where=_overlapping(none[:, :, None], n).swapaxes(2, 3))
+        _sums_of_exp(s, False)
+    out = flat(take(s, values, "out", *halves, d + 1))
+    total = np.maximum(out[:, d:], dtype.type(1e-30))
+    seen = out[:, :d] / total
+    out[:, :d] = seen + near
+    out[:, d] = 1
+    outward = np.vstack([p["o"], p["c"]])
+    logits = take(out, outward, "logits", len(out), CLASSES)
+
+    want = classes.ravel()
+    there = want >= 0
+    weight = there.astype(dtype) / max(1, int(there.sum()))
+    want, line = np.where(there, want, 0), np.arange(len(want))
+    picked = logits[line, want]
+    shift = _sums_of_exp(logits, (out ** 2).sum(axis=1).max() * (outward ** 2).sum(axis=0).max() < 3600)[:, 0]
+    sums = logits @ np.ones(CLASSES, dtype)
+    loss = -float(((picked - shift - np.log(sums)) * weight).sum())
+    logits *= (weight / sums)[:, None]
+    logits[line, want] -= weight
+
+    d_outward = out.T @ logits
+    d_out = take(logits, p["o"].T, "d_out", len(out), d)
+    back = space("back", len(out), d + 1)
+    np.divide(d_out, total, out=back[:, :d])
+    back[:, d] = -np.einsum("ij,ij->i", back[:, :d], seen)
+    back = back.reshape(*halves, d + 1)
+    d_s = take(back, values.swapaxes(2, 3), "d_s", *halves, 2 * HALF)
+    d_values = take(s.swapaxes(2, 3), back[..., :d], "d_values", stretches, n, 2 * HALF, d)
+    d_s *= s
+    d_q = flat(take(d_s, keys, "d_q", *halves, d))
+    d_keys = take(d_s.swapaxes(2, 3), q, "d_keys", stretches, n, 2 * HALF, d)
+    d_bias = (np.ones(stretches * n, dtype) @ d_s.reshape(stretches * n, -1)).reshape(HALF, 2 * HALF)
+
+    def met(x, name):  # a half is the first of one window and the second of the one before
+        y = space(name, stretches, n + 1, HALF, d)
+        y[:, :-1], y[:, -1] = x[:, :, :HALF], 0
+        y[:, 1:] += x[:, :, HALF:]
+        return y.reshape(-1, d)
+
+    d_k, d_v = met(d_keys, "d_k"), met(d_values, "d_v")
+    d_v[none.ravel()] = 0
+    d_e = take(d_k, p["k"].T, "d_e", rows.size, d)
+    d_e += take(d_v, p["v"].T, "v0", rows.size, d)
+    d_out += d_q @ to_q.T
+    d_e.reshape(e.shape)[:, HALF:] += d_out.reshape(stretches, -1, d)
+    return {"e": _rows_added(rows.ravel(), d_e, len(p["e"])), "q": near.T @ d_q * dtype.type(1 / math.sqrt(d)), "k": flat(e).T @ d_k,
+            "v": flat(e).T @ d_v, "b": np.bincount(_BEHIND[_PAST], d_bias[_PAST], 2 * HALF).astype(dtype),
+            "o": d_outward[:d], "c": d_outward[d]}, loss
+
+
+def stretches_of(ids: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows [stretch, (STRETCH + 1) * HALF] and classes to predict [stretch, STRETCH * HALF] (-1: none)."""
+    rows, targets, _ = halves_of(ids, vocabulary)
+    n = -(-(len(rows) - 1) // STRETCH)
+    more = n * STRETCH + 1 - len(rows)
+    rows = np.pad(rows, ((0, more), (0, 0)), constant_values=Vocabulary.PAD)
+    classes = np.where(targets >= 0, vocabulary.class_of[np.maximum(targets, 0)], -1)
+    classes = np.pad(classes, ((0, more), (0, 0)), constant_values=-1)[1:]
+    at = np.arange(n)[:, None] * STRETCH + np.arange(STRETCH + 1)
+    return rows[at].reshape(n, -1), classes.reshape(n, -1)
 
 
 class Adam:
+    """Adam over all parameters as one vector; ``p`` are views of it."""
+
     def __init__(self, p: dict, step: float = STEP):
-        self.p, self.step, self.t = p, step, 0
-        self.m, self.v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
+        self.names, self.step, self.t = sorted(p), step, 0
+        self.x = np.concatenate([p[n].ravel() for n in self.names])
+        self.m, self.v, self.some = np.zeros_like(self.x), np.zeros_like(self.x), np.empty_like(self.x)
+        ends = np.cumsum([p[n].size for n in self.names])
+        self.p = {n: self.x[end - p[n].size:end].reshape(p[n].shape) for n, end in zip(self.names, ends)}
 
     def update(self, g: dict) -> None:
         self.t += 1
-        rate = self.step * math.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t)
-        for n, x in self.p.items():
-            self.m[n] += 0.1 * (g[n] - self.m[n])
-            self.v[n] += 0.001 * (g[n] ** 2 - self.v[n])
-            x -= (rate * self.m[n] / (np.sqrt(self.v[n]) + 1e-8)).astype(np.float32)
+        rate, some = self.step * math.sqrt(1 - 0.999 ** self.t) / (1 - 0.9 ** self.t), self.some
+        flat = np.concatenate([g[n].ravel() for n in self.names])
+        self.m *= 0.9
+        self.m += np.multiply(flat, 0.1, out=some)
+        self.v *= 0.999
+        flat *= flat
+        self.v += np.multiply(flat, 0.001, out=some)
+        np.sqrt(self.v, out=some)
+        some += 1e-8
+        np.divide(self.m, some, out=some)
+        some *= rate
+        self.x -= some
 
 
-class Reader:
-    """Words, hashes and ids of texts, for one task."""
+class Reader(dict):
+    """Packed ids of words behind a space, remembered up to ``WORDS`` words, and hashes of words from ids."""
+
+    _made: dict[str, "Reader"] = {}
 
     def __init__(self, tokenizer: str = TOKENIZER):
-        self.encoder, self.hashes = Encoder.of(tokenizer_path(tokenizer), packed32), WordHashes()
+        super().__init__()
+        path = tokenizer_path(tokenizer)
+        self.encoder = Encoder.of(path, packed16)
+        tokens = self.encoder.lib.get_vocab()
+        self.size = max(END + 1, 1 + max(tokens.values()))
+        self.type = np.dtype("<u2")
+        if self.size > 1 << 16:
+            self.encoder, self.type = Encoder.of(path, packed32), np.dtype("<u4")
+        self.first = np.zeros(self.size, bool)
+        self.first[[i for t, i in tokens.items() if t.startswith(BLANK)]] = True
+        self.hash_of, self.windows = mixed(np.arange(1, self.size + 1, dtype=np.uint64)), Windows()
+
+    @classmethod
+    def of(cls, tokenizer: str = TOKENIZER) -> "Reader":
+        """One a worker process, kept across its tasks."""
+        if tokenizer not in cls._made:
+            cls._made[tokenizer] = cls(tokenizer)
+        return cls._made[tokenizer]
+
+    def __missing__(self, word: bytes) -> bytes:
+        try:
+            value = self.encoder.unit_value(" ", word.decode())
+        except UnicodeDecodeError:
+            value = self.encoder.bytes_value(b" " + word)
+        if len(word) <= 64:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = value
+        return value
 
     def words(self, body: bytes | None) -> list[bytes]:
         return (body or b"").lower().split()
 
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.append(self.hashes.of(words), np.uint64(END_HASH))
+    def packed(self, body: bytes | None) -> bytes:
+        return b"".join(map(self.__getitem__, self.words(body))) + self.encoder.value([END])
+
+    def unpacked(self, cell: bytes) -> np.ndarray:
+        return np.frombuffer(cell, self.type)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        values = self.encoder.word_values(b" ".join(words).decode("utf-8", "replace").split(" ")) if words else []
-        return np.append(np.frombuffer(b"".join(values), "<u4").astype(np.int32), np.int32(END))
+        return np.append(self.unpacked(b"".join(map(self.__getitem__, words))).astype(np.int32), np.int32(END))
+
+    def word_hashes(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of the texts, ends included, and where in them each text begins (and the last ends)."""
+        ids = np.concatenate(texts)
+        begins = self.first[ids]
+        ends = np.cumsum([len(t) for t in texts])
+        begins[ends - 1] = True
+        start = np.flatnonzero(begins)
+        hashes = self.windows.spans(self.hash_of[ids], start, np.append(start[1:], len(ids)))
+        return hashes, np.append(0, np.searchsorted(start, ends))
+
+
+def some_at_once(texts: list, size: int):
+    """Runs of consecutive texts of about ``size`` ids, but of one at least."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= size):
+            held += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def encoded(docs: DataFrame, held: Column, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """row, doc_id, ids and slice of each document: the round that trains on it, -1 if it is ``held`` out."""
+    draw = F.pmod(F.xxhash64(F.lit(31), F.col("doc_id"), F.col(text)), F.lit(rounds)).cast("int")
+
+    def setup():
+        from pyspark import TaskContext
+
+        reader, row = Reader.of(), TaskContext.get().partitionId() << 40
+
+        def fn(columns):
+            nonlocal row
+            for doc_id, part, body in zip(*columns):
+                yield row, doc_id, reader.packed(body), part
+                row += 1
+
+        return fn
+
+    found = map_slices(docs.select("doc_id", F.when(held, -1).otherwise(draw).alias("slice"), raw_text(text)), setup,
+                       [("row", "long"), ("doc_id", "long"), ("ids", "binary"), ("slice", "int")])
+    return pinned(found, "lm-ids", partition_by=["slice"])
 
 
 def _pack(p: dict) -> bytes:
@@ -246,12 +412,12 @@ def _unpack(blob: bytes, like: dict) -> dict:
     return out
 
 
-def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) by word hash, the end included, and with ``subword`` set (id, n) of ids."""
+def corpus_counts(ids: DataFrame) -> DataFrame:
+    """(key, n) by word hash, the end included, and with ``subword`` set of ids, over the rows of ``encoded``."""
     def run(batches):
-        reader = Reader()
-        ids = np.zeros(max(END + 1, reader.encoder.lib.get_vocab_size()), np.int64)
-        held: list[np.ndarray] = []
+        reader = Reader.of()
+        total = np.zeros(reader.size, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
             word, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
@@ -261,14 +427,10 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), subword)), pa.array(word), pa.array(n)], ["subword", "key", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = []
-                for body in batch.column(0).slice(at, 256).to_pylist():
-                    words = reader.words(body)
-                    some.append(reader.word_hashes(words))
-                    found = np.bincount(reader.ids(words), minlength=len(ids))
-                    ids += found
-                held.append(np.unique(np.concatenate(some), return_counts=True))
+            texts = [reader.unpacked(x) for x in batch.column(0).to_pylist()]
+            for at, end in some_at_once(texts, 1_000_000):
+                total += np.bincount(np.concatenate(texts[at:end]), minlength=len(total))
+                held.append(np.unique(reader.word_hashes(texts[at:end])[0], return_counts=True))
                 if sum(len(h) for h, _ in held) > 1_000_000:
                     held = [merged()]
                     if len(held[0][0]) > 500_000:
@@ -277,37 +439,40 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             word, n = merged()
             yield rows(word.view(np.int64), n, False)
-        there = np.flatnonzero(ids)
-        yield rows(there, ids[there], True)
+        there = np.flatnonzero(total)
+        yield rows(there, total[there], True)
 
-    return docs.select(raw_text(text)).mapInArrow(run, "subword boolean, key long, n long").groupBy("subword", "key").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(run, "subword boolean, key long, n long").groupBy("subword", "key").agg(F.sum("n").alias("n"))
 
 
 def train_attention(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> dict:
     """Parameters after ``rounds`` of local steps and averaging, each over its own slice of the documents."""
+    return trained(encoded(docs, F.lit(False), text, rounds), vocabulary, rounds)
+
+
+def trained(ids: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dict:
+    """As ``train_attention``, over the rows of ``encoded``."""
     p = first_parameters(vocabulary)
-    draw = F.pmod(F.xxhash64(F.lit(31), F.col("doc_id"), F.col(text)), F.lit(rounds))
     for r in range(rounds):
         start = _pack(p)
 
         def run(batches, start=start):
             from pyspark import TaskContext
 
-            reader, mine = Reader(), _unpack(start, first_parameters(vocabulary))
-            adam, seen, waiting, held = Adam(mine), 0, [], 0
+            reader, adam = Reader.of(), Adam(_unpack(start, first_parameters(vocabulary)))
+            seen, waiting, held, space = 0, [], 0, Space()
 
             def step(some):
-                rows, targets = windows_of(some, vocabulary)
-                classes = np.where(targets >= 0, vocabulary.class_of[np.maximum(targets, 0)], -1)
+                rows, classes = stretches_of(some, vocabulary)
                 order = np.random.default_rng(len(rows)).permutation(len(rows))
-                for at in range(0, len(rows), BATCH):
-                    pick = order[at:at + BATCH]
-                    adam.update(gradients(mine, rows[pick], classes[pick])[0])
-                return int((targets >= 0).sum())
+                for at in range(0, len(rows), BATCH // STRETCH):
+                    pick = order[at:at + BATCH // STRETCH]
+                    adam.update(gradients(adam.p, rows[pick], classes[pick], space)[0])
+                return sum(map(len, some))
 
             for batch in batches:
-                for body in batch.column(0):
-                    waiting.append(reader.ids(reader.words(body.as_py())))
+                for cell in batch.column(0):
+                    waiting.append(reader.unpacked(cell.as_py()))
                     held += len(waiting[-1])
                     if held > 100_000:
                         seen += step(waiting)
@@ -315,11 +480,11 @@ def train_attention(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
             if waiting:
                 seen += step(waiting)
             if seen:
-                total = np.frombuffer(_pack(mine), "<f4") * np.float64(seen)
+                total = np.frombuffer(_pack(adam.p), "<f4") * np.float64(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()),
                                                   pa.array([total.tobytes()], pa.binary())], ["task", "seen", "total"])
 
-        sums = pinned(docs.where(draw == r).select(raw_text(text)).mapInArrow(run, "task long, seen long, total binary"), "lm-parts")
+        sums = pinned(ids.where(F.col("slice") == r).select("ids").mapInArrow(run, "task long, seen long, total binary"), "lm-parts")
         while (n := sums.count()) > AVERAGED_AT_ONCE:
             grouped = sums.groupBy(F.pmod("task", F.lit(-(-n // AVERAGED_AT_ONCE))).alias("group"))
             sums = pinned(grouped.applyInArrow(_added, "task long, seen long, total binary"), "lm-parts")
@@ -361,57 +526,45 @@ class Head:
         return int(times[hit].sum()), float((np.log10(self.counts[k[hit]] + ALPHA) * times[hit]).sum()), word[~hit], times[~hit]
 
 
-def score_documents(docs: DataFrame, head: Head, vocabulary: Vocabulary, p: dict, text: str = "text") -> DataFrame:
-    """``docs`` (doc_id, held_out, text): row, n_tokens, the head's part of the base, the tail, and the model's score."""
+def score_documents(ids: DataFrame, head: Head, vocabulary: Vocabulary, p: dict) -> DataFrame:
+    """Rows of ``encoded``: row, doc_id, slice, n_tokens, the head's part of the base, the tail, and the model's score."""
     vocab, params = vocabulary, _pack(p)
 
     def setup():
-        from pyspark import TaskContext
-
-        reader, mine = Reader(), _unpack(params, first_parameters(vocab))
-        row = TaskContext.get().partitionId() << 40
+        reader, mine = Reader.of(), _unpack(params, first_parameters(vocab))
 
         def fn(columns):
-            nonlocal row
-            texts, parts = [], []
-            for doc_id, held, body in zip(*columns):
-                words = reader.words(body)
-                found, times = np.unique(reader.word_hashes(words), return_counts=True)
-                parts.append((row, doc_id, held, len(words) + 1, *head.split(found, times)))
-                texts.append(reader.ids(words))
-                row += 1
-            scores = np.zeros(len(texts))
-            at = 0
-            while at < len(texts):  # windows of many texts at once, but not of all
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 200_000):
-                    size += len(texts[end])
-                    end += 1
-                scores[at:end] = log_probabilities(mine, vocab, texts[at:end]) / math.log(10)
-                at = end
-            for (r, doc_id, held, n, known, base, word, times), score in zip(parts, scores.tolist()):
-                yield r, doc_id, held, n, known, base, word.view(np.int64).tolist(), times.tolist(), score
+            row, doc_id, part, cells = columns
+            texts = [reader.unpacked(x) for x in cells]
+            for at, end in some_at_once(texts, 200_000):  # windows of many texts at once, but not of all
+                scores = log_probabilities(mine, vocab, texts[at:end]) / math.log(10)
+                hashes, cut = reader.word_hashes(texts[at:end])
+                for i, score in enumerate(scores.tolist()):
+                    of = hashes[cut[i]:cut[i + 1]]
+                    known, base, word, times = head.split(*np.unique(of, return_counts=True))
+                    yield row[at + i], doc_id[at + i], part[at + i], len(of), known, base, word.view(np.int64).tolist(), times.tolist(), score
 
         return fn
 
-    return map_slices(docs.select("doc_id", "held_out", raw_text(text)), setup, [
-        ("row", "long"), ("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("head_known", "long"), ("head_base", "double"),
+    return map_slices(ids.select("row", "doc_id", "slice", "ids"), setup, [
+        ("row", "long"), ("doc_id", "long"), ("slice", "int"), ("n_tokens", "long"), ("head_known", "long"), ("head_base", "double"),
         ("tail", "array<long>"), ("tail_times", "array<long>"), ("score", "double")])
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.coalesce(id_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    training = docs.where(~held)
+    texts = encoded(docs, held)
+    training = texts.where("slice >= 0")
     counted = pinned(corpus_counts(training), "lm-counts")
     words = counted.where("not subword").select("key", "n")
     head = Head(words)
     ids = counted.where("subword").select("key", "n").toArrow()  # at most the vocabulary
-    frequency = np.zeros(END + 1, np.int64)
+    frequency = np.zeros(Reader.of().size, np.int64)
     frequency[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
     vocabulary = Vocabulary(frequency)
-    p = train_attention(training, vocabulary)
-    scored = pinned(score_documents(docs.select("doc_id", held.alias("held_out"), "text"), head, vocabulary, p), "lm-scores")
+    p = trained(training, vocabulary)
+    scored = pinned(score_documents(texts, head, vocabulary, p), "lm-scores")
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "tail_times")).alias("t")).select(
         "row", F.col("t.tail").alias("key"), F.col("t.tail_times").alias("times"))
     rare = tail.join(words, "key", "left").groupBy("row").agg(
@@ -419,7 +572,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA)) * F.col("times")).alias("base"))
     each = math.log10(head.total + ALPHA * (head.distinct + 1))
     return scored.drop("tail", "tail_times").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        "doc_id", (F.col("slice") < 0).alias("held_out"), "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"),
         (F.col("head_base") + F.coalesce("base", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score")
 
