@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.literals import as_column
 from ..rounds import Runs, climb
 from ..session import pinned, scratch_path
-from ..skew import hot_keys, join_with_hot, split_hot_join
+from ..skew import HOT_ROWS, hot_keys, join_with_hot, split_hot_join, spread_join
 
 # Statuses by meaning, dependency kinds, and the keys of a task entry.
 SUCCESSFUL = ("SUCCEEDED", "SKIPPED", "FAILURE_IGNORED")
@@ -197,12 +197,13 @@ def status_rollup(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.coalesce(F.bool_and(s.isin(*TERMINAL)), F.lit(True)).alias("has_completed"))
 
 
-def splice(edges: DataFrame, sub_nodes: DataFrame, sub_edges: DataFrame) -> DataFrame:
+def splice(edges: DataFrame, sub_nodes: DataFrame, sub_edges: DataFrame, floor: int = HOT_ROWS) -> DataFrame:
     """Replace nodes by their subgraphs; returns all edges.
 
     ``sub_nodes(node, name)`` and ``sub_edges(node, child, parent, kind)`` give each replaced node's
     subgraph. Its nodes are renamed ``node$name``; those without parents take over the node's own
-    parents, and whoever depended on the node now depends on every one without children.
+    parents, and whoever depended on the node now depends on every one without children. The edges of a replaced node
+    are dealt to several tasks if it has ``floor`` of them or more.
     """
     def full(node: str, name: str) -> Column:
         return F.concat(as_column(node), F.lit(SEPARATOR), as_column(name))
@@ -213,8 +214,8 @@ def splice(edges: DataFrame, sub_nodes: DataFrame, sub_edges: DataFrame) -> Data
     leaves = sub_nodes.join(sub_edges.select("node", F.col("parent").alias("name")).distinct(), ["node", "name"], "left_anti") \
         .select("node", full("node", "name").alias("_leaf"))
     # A child that is itself replaced hands the edge to its roots, a replaced parent to its leaves.
-    down = edges.join(roots, edges["child"] == roots["node"], "left").select(
+    down = spread_join(edges.select("child", "parent", "kind"), roots.withColumnRenamed("node", "child"), ["child"], "left", floor).select(
         F.coalesce("_root", "child").alias("child"), "parent", "kind")
-    up = down.join(leaves, down["parent"] == leaves["node"], "left").select(
+    up = spread_join(pinned(down, "spliced"), leaves.withColumnRenamed("node", "parent"), ["parent"], "left", floor).select(
         "child", F.coalesce("_leaf", "parent").alias("parent"), "kind")
     return up.unionByName(inner)

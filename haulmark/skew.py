@@ -73,3 +73,27 @@ def join_with_hot(rows: DataFrame, lookup: DataFrame, on: Sequence[str], hot: Da
     if how in ("left", "left_anti"):
         out = out.unionByName(rows.where(~whole), allowMissingColumns=True)
     return out
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", floor: int = HOT_ROWS) -> DataFrame:
+    """Join ``rows`` to a ``lookup`` that may have any number of rows a key.
+
+    ``rows`` is read twice. Rows of a hot key are dealt to as many groups as they hold ``floor`` rows, and its rows of the
+    lookup are repeated for each group; rows with a NULL key, which match nothing, are dealt to any task. Only the hot keys
+    (at most ``HOT_KEYS``) are broadcast. Copies of a row are dealt apart where different tasks hold them.
+    """
+    _check(how)
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= floor)
+    heavy = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*on, F.ceil(F.col("_n") / floor).cast("int").alias("_groups"))
+    found = heavy.collect()
+    if not found:
+        return rows.join(lookup, list(on), how)
+    keys = [r for r in found if all(r[c] is not None for c in on)]
+    hot = F.broadcast(rows.sparkSession.createDataFrame(keys, heavy.schema))
+    mixed = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.spark_partition_id())
+    missing = reduce(Column.__or__, [F.col(c).isNull() for c in on])
+    groups = F.coalesce("_groups", F.lit(1))
+    dealt = rows.join(hot, list(on), "left").withColumn(
+        "_group", F.when(missing, F.pmod(mixed, F.lit(1 << 30))).otherwise(F.pmod(mixed, groups)).cast("int")).drop("_groups")
+    repeated = lookup.join(hot, list(on), "left").withColumn("_group", F.explode(F.sequence(F.lit(0), groups - 1))).drop("_groups")
+    return dealt.join(repeated, [*on, "_group"], how).drop("_group")

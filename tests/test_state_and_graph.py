@@ -92,6 +92,49 @@ def test_splice(spark):
         ("2$a", "1", "complete"), ("3", "2$b", "fail"), ("3", "2$c", "fail"), ("2$b", "2$a", "success"), ("2$c", "2$a", "fail")])
 
 
+def test_splice_of_hot_nodes(spark):
+    """A replaced parent of 300 edges and a replaced child of 200: the same edges whatever counts as hot."""
+    sub_nodes = spark.createDataFrame([(n, x) for n in ("1", "2") for x in "abc"], "node string, name string")
+    sub_edges = spark.createDataFrame([(n, "b", "a", "success") for n in ("1", "2")], "node string, child string, parent string, kind string")
+    rows = [(10 + i, 1, "fail") for i in range(300)] + [(2, 1000 + i, "complete") for i in range(200)] + [(2, 1, "success"), (5, 6, "fail")]
+    df = edges(spark, *rows).unionByName(spark.createDataFrame([(None, "1", "fail"), ("7", None, "fail"), (None, None, "fail")], EDGE))
+    first, last = {"2": ("2$a", "2$c")}, {"1": ("1$b", "1$c")}
+    want = [(c, p, k) for r in df.collect() for c in first.get(r.child, (r.child,)) for p in last.get(r.parent, (r.parent,)) for k in [r.kind]]
+    want += [(f"{n}$b", f"{n}$a", "success") for n in "12"]
+    for floor in (skew.HOT_ROWS, 50, 1):
+        assert sorted(map(tuple, GR.splice(df, sub_nodes, sub_edges, floor).collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_spread_join_with_many_rows_a_key_on_both_sides(spark, how):
+    rows = spark.range(4000).select(F.expr("case when id % 3 = 0 then 0 when id % 7 = 0 then null else id % 50 end").alias("k"), (F.col("id") % 900).alias("v"))
+    lookup = spark.range(120).select(F.expr("case when id % 10 = 0 then 0 when id % 11 = 0 then null else id % 40 end").alias("k"), F.col("id").alias("w"))
+    want = sorted(map(repr, rows.join(lookup, ["k"], how).collect()))
+    for floor in (300, 1, 100_000):
+        assert sorted(map(repr, skew.spread_join(rows, lookup, ["k"], how, floor).collect())) == want
+    empty = rows.where("k < -1")
+    assert skew.spread_join(empty, lookup, ["k"], how, 1).count() == 0
+    assert skew.spread_join(rows, lookup.where("k < -1"), ["k"], how, 1).count() == (4000 if how in ("left", "left_anti") else 0)
+
+
+def test_spread_join_deals_the_hot_key_and_broadcasts_no_lookup(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    lookup = session.pinned(spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("w")), "lookup")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, value in zip(names, ["-1", "false"]):
+            spark.conf.set(n, value)
+        out = skew.spread_join(rows, lookup, ["k"], "inner", 100)
+        tasks = out.where("k = 0").groupBy(F.spark_partition_id()).count().collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    assert sum(r[1] for r in tasks) == 1500 and max(r[1] for r in tasks) < 800
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastExchange") <= 2
+
+
 def test_dependency_fields(spark):
     df = spark.createDataFrame([("a", '["x", "y"]'), ("b", '{"fail": ["x"], "complete": ["y", "z"]}'), ("c", None)], "name string, d string")
     assert sorted(map(tuple, GR.parse_dependencies(df, "name", "d").collect())) == [
