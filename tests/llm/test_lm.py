@@ -113,3 +113,18 @@ def test_every_training_document_is_used(spark):
     moved = (p["e"] != lm.first_parameters(vocabulary)["e"]).any(axis=1)
     read = np.unique(vocabulary.row_of[np.concatenate([x[:-1] for x in ids])])
     assert len(read) > 200 and moved[read].all()
+
+
+def test_words_come_back_from_ids():
+    """Hashes made from ids tell words apart as their bytes do, whatever the words hold and wherever they stand."""
+    rnd = np.random.default_rng(5)
+    odd = ["<|endoftext|>", "a<|endoftext|>b", "　x", "\xa0", "x y", "don't", "ß", "日本", "Ġ", "Ġa", "a", "aa", "...", "1234", "\x00", "'s"]
+    words = [w.encode() for w in odd] + [b"\xff", b"\xff\xfe", b"\xfe\xff", b"a\xff", b"\xef\xbf\xbd", b"a\xef\xbf\xbd", b"x" * 5000]
+    words += [bytes(rnd.integers(33, 256, int(n)).astype(np.uint8)) for n in rnd.integers(1, 9, 300)]
+    texts = [[words[i] for i in rnd.integers(0, len(words), n)] for n in (0, 1, 50, 2000)]
+    reader = lm.Reader()
+    split = [reader.words(b" ".join(t)) for t in texts]
+    hashes, cut = reader.word_hashes([reader.unpacked(reader.packed(b"\t".join(t) + b" \n")) for t in texts])
+    flat = [w for t in split for w in (*t, None)]
+    assert np.diff(cut).tolist() == [len(t) + 1 for t in split] and len(flat) == len(hashes)
+    assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
