@@ -6,11 +6,12 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from haulmark.llm import decontaminate, language
+from haulmark.llm import decontaminate, language, token_files
 from haulmark.llm.bpe import tokenizer_path
 
 from test_mixing import rounds
@@ -93,3 +94,28 @@ def test_stages_keep_columns_and_take_empty_tables(spark, docs, no_docs, tmp_pat
         assert stage(spark, no_docs, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, no_docs, str(tmp_path)).count() == 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_hand_over_texts_in_batches_of_bounded_bytes(spark, tmp_path):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "rows"])
+
+    docs = spark.range(1_500, numPartitions=1).selectExpr("id as doc_id", "repeat('a b c d e ', 1000) as text")
+    kept, name = spark.conf.get(corpus_pipeline.BATCH_BYTES, None), corpus_pipeline.BATCH_BYTES
+    try:
+        spark.conf.unset(name)
+        corpus_pipeline.bounded(lambda spark, docs, sf_dir: docs)(spark, docs, "")
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+        found = docs.mapInArrow(sizes, "size long, rows long").toPandas()
+        assert found["rows"].sum() == 1_500 and found["size"].max() < 4 << 20
+        spark.conf.set(name, "5m")
+        corpus_pipeline.bounded(lambda spark, docs, sf_dir: docs)(spark, docs, "")
+        assert spark.conf.get(name).startswith("5")
+        spark.conf.unset(name)
+        folder = str(tmp_path / "files")
+        corpus_pipeline.bounded(lambda spark, docs, sf_dir: token_files.write_token_files(docs, folder))(spark, docs, "")
+        back = token_files.stored_documents(docs, folder)
+        assert back.count() == 1_500 and back.select("n_tokens", "ids_crc32").distinct().count() == 1
+    finally:
+        spark.conf.unset(name) if kept is None else spark.conf.set(name, kept)
