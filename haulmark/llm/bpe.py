@@ -4,8 +4,8 @@ The library's pre-tokenizer starts a new piece at every single space that stands
 white space, whatever surrounds them: no alternative of its pattern crosses such a space, and one of ` ?\\p{L}+`,
 ` ?\\p{N}+`, ` ?[^\\s\\p{L}\\p{N}]+` begins there. BPE never merges across pieces. So a text may be cut at these
 spaces, and each cut ("unit") be encoded once and remembered, without changing any id. Special strings are matched by the
-library before all this, so texts are first cut at them. A new unit of plain Latin letters, digits and marks is cut on into the
-pre-tokenizer's pieces here, which are units themselves, and a unit of one piece goes to the library's model; any other unit goes whole. Files with another pre-tokenizer, a normaliser, or special
+library before all this, so texts are first cut at them. A text, or a new unit, of plain Latin letters, digits, marks, spaces
+and line ends is cut into the pre-tokenizer's pieces here, and a new piece goes to the library's model; any other unit goes whole. Files with another pre-tokenizer, a normaliser, or special
 tokens that swallow white space are encoded whole, always.
 """
 
@@ -20,7 +20,8 @@ from tokenizers import Tokenizer
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 # The pre-tokenizer's pattern over units of these characters, whose classes no Unicode version changes.
 _SIMPLE = re.compile(r"[\n!-~À-ÖØ-öø-ſ]+")
-_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ſ0-9]+|\n")
+_PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ſ]+")
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ſ0-9]+|\s+(?!\S)|\s+")
 # The model reads bytes as printable characters: those that are printable as themselves, the others from 256 on, in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -40,19 +41,49 @@ def tokenizer_path(name: str) -> str:
     return name if os.sep in name else public_tokenizers.path(name)
 
 
-class Units(dict):
+class Remembered(dict):
+    """Key -> value, at most ``limit`` of them. When half as many are new, those not asked for since the half before go."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half, self.older = max(1, limit // 2), {}
+
+    def remember(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class Units(Remembered):
     """Unit -> ``value`` of its ids behind a lead, found at first sight; remembers up to ``UNITS`` units that are not long."""
 
     def __init__(self, encoder: "Encoder", lead: str):
-        super().__init__()
+        super().__init__(UNITS)
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, unit: str):
-        value = self.encoder.unit_value(self.lead, unit)
+        value = self.older.get(unit)
+        if value is None:
+            value = self.encoder.unit_value(self.lead, unit)
         if len(unit) <= LONG_UNIT:
-            if len(self) >= UNITS:
-                self.clear()
-            self[unit] = value
+            self.remember(unit, value)
+        return value
+
+
+class Pieces(Remembered):
+    """Piece of the pre-tokenizer -> ``value`` of its ids by the model alone; remembered as units are."""
+
+    def __init__(self, encoder: "Encoder"):
+        super().__init__(UNITS)
+        self.encoder = encoder
+
+    def __missing__(self, piece: str):
+        value = self.older.get(piece)
+        if value is None:
+            value = self.encoder._model_value(piece)
+        if len(piece) <= LONG_UNIT:
+            self.remember(piece, value)
         return value
 
 
@@ -74,7 +105,7 @@ class Encoder:
                         and spec.get("model", {}).get("type") == "BPE")
         self.special = {a["content"]: a["id"] for a in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
-        self.value, self.spaced, self.bare = value, Units(self, " "), Units(self, "")
+        self.value, self.spaced, self.bare, self.pieces = value, Units(self, " "), Units(self, ""), Pieces(self)
         self.joined = sum if value is len else b"".join
 
     @classmethod
@@ -109,9 +140,15 @@ class Encoder:
         found = _PIECE.findall(lead + unit)
         if len(found) == 1:
             return self._model_value(found[0])
-        return self.joined([self.spaced[p[1:]] if p[0] == " " else self.bare[p] for p in found])
+        return self.joined(list(map(self.pieces.__getitem__, found)))
+
+    def plain_values(self, text: str) -> list | None:
+        """``value`` of the ids of each piece of a text of ``_PLAIN`` characters, whose special strings are not told apart; of other texts None."""
+        return list(map(self.pieces.__getitem__, _PIECE.findall(text))) if _PLAIN.fullmatch(text) else None
 
     def _segment(self, text: str) -> list:
+        if (found := self.plain_values(text)) is not None:
+            return found
         flat = text.replace("\n", " ")
         # All white space but the space is unprintable, so here it is single spaces and line ends.
         single = "  " not in flat and flat[0] != " " and flat[-1] != " " and flat.isprintable()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from haulmark.llm import token_files as tf
+from haulmark.llm import bpe, token_files as tf
 from haulmark.llm.bpe import tokenizer_path
 from tokenizers import Tokenizer
 
@@ -49,3 +51,24 @@ def test_files_hold_what_the_library_gives(spark, docs, doc_rows, no_docs, tmp_p
 def test_larger_vocabularies_take_four_bytes():
     assert np.frombuffer(tf.packed32([70_000, 0]), "<u4").tolist() == [70_000, 0]
     assert np.frombuffer(tf.packed16([50_000, 0]), "<u2").tolist() == [50_000, 0]
+
+
+def test_common_pieces_stay_remembered(monkeypatch):
+    """Rare words pass through the bounded memory; words that every text holds go to the model once."""
+    monkeypatch.setattr(bpe, "UNITS", 100)
+    encoder, asked = bpe.Encoder(tokenizer_path("byte_bpe_50k.json"), tf.packed16), Counter()
+    model_value = encoder._model_value
+    monkeypatch.setattr(encoder, "_model_value", lambda piece: asked.update([piece]) or model_value(piece))
+    for i in range(60):
+        text = "it is the end of the " + " ".join(f"{chr(97 + i % 26)}{chr(97 + j)}{'xyz'[i // 26]}q" for j in range(26)) + " and the rest."
+        assert b"".join(encoder.values(text)) == tf.packed16(LIB.encode(text, add_special_tokens=False).ids)
+        assert len(encoder.pieces) + len(encoder.pieces.older) <= 100
+    assert {asked[w] for w in ("it", " is", " the", " end", " of", " and", " rest", ".")} == {1}
+
+
+def test_plain_texts_are_cut_as_the_library_does():
+    rnd = random.Random(4)
+    encoder = bpe.Encoder(tokenizer_path("byte_bpe_50k.json"), tf.packed16)
+    for _ in range(3000):
+        text = "".join(rnd.choices(["a", "the", "B", " ", " ", "  ", "\n", "'s", "'", "ll", "re", "7", "42", ".", ",", "-", "é", "ÿ", "ſ", "×", "<|"], k=rnd.randint(1, 25)))
+        assert b"".join(encoder.values(text)) == tf.packed16(LIB.encode(text, add_special_tokens=False).ids), text
