@@ -32,11 +32,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import pinned
-from .bpe import BLANK, Encoder, tokenizer_path
-from .common import Windows, id_mod, map_slices, mixed, raw_text
+from . import graphs
+from .bpe import BLANK, Encoder, Remembered, tokenizer_path
+from .common import SLICE, Windows, id_mod, mixed, raw_text
 from .registry import query, table
 from .token_files import packed16, packed32
 
@@ -47,6 +49,7 @@ OWN_ROWS, CLASSES = 2_048, 64
 ROUNDS = 4  # each trains on another slice of the documents, all together on every one
 STEP, BATCH, STRETCH = 0.01, 64, 8  # windows of a step; of a stretch
 WORDS = 500_000  # remembered by a worker
+AT_ONCE = 4 << 20  # bytes of texts encoded at once
 HEAD = 1 << 18  # most frequent words held by each task: 4 MB
 ALPHA = 0.1
 FOLDS, HELD_OUT = 10, 0
@@ -139,7 +142,13 @@ def _bias(p: dict) -> np.ndarray:
     return np.where(_PAST, p["b"][_BEHIND], -1e9).astype(p["b"].dtype)
 
 
-def log_probabilities(p: dict, vocabulary: Vocabulary, ids: list[np.ndarray], batch: int = 64) -> np.ndarray:
+def _window_feeds(before: np.ndarray, near: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """What graphs read of windows: rows and classes of their halves [window, HALF]."""
+    return {"rows": np.concatenate([before, near], axis=1, dtype=np.int64), "near": near.astype(np.int64),
+            "classes": classes.astype(np.int64)[:, :, None], "ones": np.ones((*near.shape, 1), np.float32)}
+
+
+def log_probabilities(p: dict, vocabulary: Vocabulary, ids: list[np.ndarray], batch: int = 128) -> np.ndarray:
     """Natural log probability of each text's ids.
 
     Keys, values, queries and inputs of a row are one row of a table, looked up once an id; windows are overlapping views
@@ -159,6 +168,19 @@ def log_probabilities(p: dict, vocabulary: Vocabulary, ids: list[np.ndarray], ba
     empty = np.zeros(halves, bool)
     empty[np.cumsum(sizes) - sizes] = True
     out, space = np.zeros(halves), Space()
+    if small and small_out:
+        queries, (keys, values, e) = table_[:, d:2 * d], (table_[:, i] for i in (slice(d), slice(3 * d, None), slice(2 * d, 3 * d)))
+        feeds = {n: np.ascontiguousarray(x) for n, x in (("keys", keys), ("queries", queries), ("values", values), ("e", e), ("bias", bias), ("outward", outward))}
+        filled = np.flatnonzero(~empty)
+        for at in range(0, len(filled), batch):
+            at = filled[at:at + batch]
+            t = targets[at]
+            there = t >= 0
+            t = np.where(there, t, 0)
+            feeds |= _window_feeds(rows[at - 1], rows[at], vocabulary.class_of[t])
+            each = graphs.scores(d).run(None, feeds)[0][:, :, 0] + vocabulary.inside[t]
+            out[at] = np.where(there, each, 0).sum(axis=1, dtype=np.float64)
+        return np.add.reduceat(out, np.cumsum(sizes) - sizes)
     for at in range(1, halves, batch):
         end = min(halves, at + batch)
         n = end - at
@@ -269,6 +291,32 @@ def gradients(p: dict, rows: np.ndarray, classes: np.ndarray, space: Space | Non
             "o": d_outward[:d], "c": d_outward[d]}, loss
 
 
+def quick_gradients(p: dict, rows: np.ndarray, classes: np.ndarray, space: Space | None = None) -> dict:
+    """The gradients of ``gradients`` by onnxruntime, unless sums of exponentials near the ends of the range of floats."""
+    halves, want = rows.reshape(len(rows), -1, HALF), classes.reshape(-1, HALF)
+    filled = np.flatnonzero(want[:, 0] >= 0)  # a half has no gap: the others have nothing to predict
+    want, before, near = want[filled], halves[:, :-1].reshape(-1, HALF)[filled], halves[:, 1:].reshape(-1, HALF)[filled]
+    found = np.zeros(Vocabulary.ROWS, bool)
+    found[before], found[near] = True, True
+    place, read = np.cumsum(found) - 1, np.flatnonzero(found)
+    there = (read != Vocabulary.PAD).astype(np.float32)[:, None]
+    known = want >= 0
+    weight = known[:, :, None] * np.float32(1 / max(1, np.count_nonzero(known)))
+    scale = np.float32(1 / math.sqrt(WIDTH))
+    feeds = _window_feeds(place[before], place[near], np.maximum(want, 0)) | {
+        "e": p["e"][read] * there, "there": there, "zeros": np.zeros((len(read), WIDTH), np.float32), "q": p["q"] * scale, "k": p["k"], "v": p["v"],
+        "bias": _bias(p), "o": p["o"], "outward": np.vstack([p["o"], p["c"]]), "weight": weight}
+    if not len(filled):
+        return gradients(p, rows, classes, space)[0]
+    d_e, d_q, d_k, d_v, d_bias, d_outward, *sums = graphs.gradients(WIDTH, CLASSES).run(graphs.GRADIENTS, feeds)
+    if not all(1e-30 < float(x) < 1e30 for x in sums):
+        return gradients(p, rows, classes, space)[0]
+    every = np.zeros_like(p["e"])
+    every[read] = d_e * there
+    return {"e": every, "q": d_q * scale, "k": d_k, "v": d_v, "b": np.bincount(_BEHIND[_PAST], d_bias[_PAST], 2 * HALF).astype(np.float32),
+            "o": d_outward[:WIDTH], "c": d_outward[WIDTH]}
+
+
 def stretches_of(ids: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Input rows [stretch, (STRETCH + 1) * HALF] and classes to predict [stretch, STRETCH * HALF] (-1: none)."""
     rows, targets, _ = halves_of(ids, vocabulary)
@@ -307,13 +355,13 @@ class Adam:
         self.x -= some
 
 
-class Reader(dict):
+class Reader(Remembered):
     """Packed ids of words behind a space, remembered up to ``WORDS`` words, and hashes of words from ids."""
 
     _made: dict[str, "Reader"] = {}
 
     def __init__(self, tokenizer: str = TOKENIZER):
-        super().__init__()
+        super().__init__(WORDS)
         path = tokenizer_path(tokenizer)
         self.encoder = Encoder.of(path, packed16)
         tokens = self.encoder.lib.get_vocab()
@@ -333,21 +381,31 @@ class Reader(dict):
         return cls._made[tokenizer]
 
     def __missing__(self, word: bytes) -> bytes:
-        try:
-            value = self.encoder.unit_value(" ", word.decode())
-        except UnicodeDecodeError:
-            value = self.encoder.bytes_value(b" " + word)
+        value = self.older.get(word)
+        if value is None:
+            try:
+                value = self.encoder.unit_value(" ", word.decode())
+            except UnicodeDecodeError:
+                value = self.encoder.bytes_value(b" " + word)
         if len(word) <= 64:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = value
+            self.remember(word, value)
         return value
 
     def words(self, body: bytes | None) -> list[bytes]:
         return (body or b"").lower().split()
 
     def packed(self, body: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.words(body))) + self.encoder.value([END])
+        return self.packed_texts(pa.array([body], pa.binary()))[0]
+
+    def packed_texts(self, bodies: pa.Array) -> list[bytes]:
+        """Packed ids of texts; each distinct word of theirs is looked up once. Arrow lower-cases and splits at the bytes at which ``words`` does."""
+        texts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(bodies, b"").view(pa.string())))
+        words = texts.values.view(pa.binary()).dictionary_encode()
+        values = pa.array([self[w] if w else b"" for w in words.dictionary.to_pylist()], pa.large_binary())  # empty before leading and behind trailing white space
+        found = values.take(words.indices)
+        at = np.frombuffer(found.buffers()[1], np.int64)[texts.offsets.to_numpy()].tolist()
+        raw, end = (found.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), self.encoder.value([END])
+        return [raw[a:b] + end for a, b in zip(at, at[1:])]
 
     def unpacked(self, cell: bytes) -> np.ndarray:
         return np.frombuffer(cell, self.type)
@@ -382,21 +440,23 @@ def encoded(docs: DataFrame, held: Column, text: str = "text", rounds: int = ROU
     """row, doc_id, ids and slice of each document: the round that trains on it, -1 if it is ``held`` out."""
     draw = F.pmod(F.xxhash64(F.lit(31), F.col("doc_id"), F.col(text)), F.lit(rounds)).cast("int")
 
-    def setup():
+    fields = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("slice", pa.int32())])
+
+    def run(batches):
         from pyspark import TaskContext
 
         reader, row = Reader.of(), TaskContext.get().partitionId() << 40
-
-        def fn(columns):
-            nonlocal row
-            for doc_id, part, body in zip(*columns):
-                yield row, doc_id, reader.packed(body), part
-                row += 1
-
-        return fn
-
-    found = map_slices(docs.select("doc_id", F.when(held, -1).otherwise(draw).alias("slice"), raw_text(text)), setup,
-                       [("row", "long"), ("doc_id", "long"), ("ids", "binary"), ("slice", "int")])
+        for batch in batches:
+            doc_id, part, bodies = batch.columns
+            ends = np.cumsum(pc.fill_null(pc.binary_length(bodies), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < len(ends):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + end - at)), doc_id[at:end], pa.array(reader.packed_texts(bodies[at:end]), pa.binary()),
+                                                  part[at:end]], schema=fields)
+                row, at = row + end - at, end
+
+    found = docs.select("doc_id", F.when(held, -1).otherwise(draw).alias("slice"), raw_text(text)).mapInArrow(run, "row long, doc_id long, ids binary, slice int")
     return pinned(found, "lm-ids", partition_by=["slice"])
 
 
@@ -467,7 +527,7 @@ def trained(ids: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dic
                 order = np.random.default_rng(len(rows)).permutation(len(rows))
                 for at in range(0, len(rows), BATCH // STRETCH):
                     pick = order[at:at + BATCH // STRETCH]
-                    adam.update(gradients(adam.p, rows[pick], classes[pick], space)[0])
+                    adam.update(quick_gradients(adam.p, rows[pick], classes[pick], space))
                 return sum(map(len, some))
 
             for batch in batches:
@@ -517,38 +577,42 @@ class Head:
             order = np.argsort(word)
             self.words, self.counts = word[order], found.column("n").to_numpy()[order]
 
-    def split(self, word: np.ndarray, times: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
-        """How many of the counted words are in the head, their summed log10(count + ALPHA), and the others."""
-        if not len(self.words):
-            return 0, 0.0, word, times
-        k = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        hit = self.words[k] == word
-        return int(times[hit].sum()), float((np.log10(self.counts[k[hit]] + ALPHA) * times[hit]).sum()), word[~hit], times[~hit]
+    def split(self, hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+        """For each text, whose words begin at ``cut``: how many are in the head, their summed log10(count + ALPHA), the others and how often each occurs."""
+        coded = pa.array(hashes).dictionary_encode()
+        word, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        hit, weight = np.zeros(len(word), np.int64), np.zeros(len(word))
+        if len(self.words):
+            k = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+            hit[:] = self.words[k] == word
+            weight = np.where(hit, np.log10(self.counts[k] + ALPHA), 0)
+        known, base = (np.add.reduceat(x[at], cut[:-1]) for x in (hit, weight))  # no text is without words: each has its end
+        rare = np.flatnonzero(hit[at] == 0)
+        one, times = np.unique((np.searchsorted(cut, rare, "right") - 1) * len(word) + at[rare], return_counts=True)
+        offsets = pa.array(np.searchsorted(one, np.arange(len(cut)) * len(word)), pa.int32())
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (word[one % len(word)].view(np.int64), times.astype(np.int64)))
+        return known, base, *lists
 
 
 def score_documents(ids: DataFrame, head: Head, vocabulary: Vocabulary, p: dict) -> DataFrame:
     """Rows of ``encoded``: row, doc_id, slice, n_tokens, the head's part of the base, the tail, and the model's score."""
     vocab, params = vocabulary, _pack(p)
+    names = ["row", "doc_id", "slice", "n_tokens", "head_known", "head_base", "tail", "tail_times", "score"]
 
-    def setup():
+    def run(batches):
         reader, mine = Reader.of(), _unpack(params, first_parameters(vocab))
-
-        def fn(columns):
-            row, doc_id, part, cells = columns
-            texts = [reader.unpacked(x) for x in cells]
-            for at, end in some_at_once(texts, 200_000):  # windows of many texts at once, but not of all
-                scores = log_probabilities(mine, vocab, texts[at:end]) / math.log(10)
-                hashes, cut = reader.word_hashes(texts[at:end])
-                for i, score in enumerate(scores.tolist()):
-                    of = hashes[cut[i]:cut[i + 1]]
-                    known, base, word, times = head.split(*np.unique(of, return_counts=True))
-                    yield row[at + i], doc_id[at + i], part[at + i], len(of), known, base, word.view(np.int64).tolist(), times.tolist(), score
-
-        return fn
-
-    return map_slices(ids.select("row", "doc_id", "slice", "ids"), setup, [
-        ("row", "long"), ("doc_id", "long"), ("slice", "int"), ("n_tokens", "long"), ("head_known", "long"), ("head_base", "double"),
-        ("tail", "array<long>"), ("tail_times", "array<long>"), ("score", "double")])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                texts = [reader.unpacked(x) for x in batch.column(3).to_pylist()]
+                for at, end in some_at_once(texts, 200_000):  # windows of many texts at once, but not of all
+                    scores = log_probabilities(mine, vocab, texts[at:end]) / math.log(10)
+                    hashes, cut = reader.word_hashes(texts[at:end])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i)[at:end] for i in range(3)), pa.array(np.diff(cut)), *map(
+                        lambda x: x if isinstance(x, pa.Array) else pa.array(x), head.split(hashes, cut)), pa.array(scores)], names)
+
+    return ids.select("row", "doc_id", "slice", "ids").mapInArrow(
+        run, "row long, doc_id long, slice int, n_tokens long, head_known long, head_base double, tail array<long>, tail_times array<long>, score double")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

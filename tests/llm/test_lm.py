@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from haulmark.llm import lm
@@ -38,6 +39,29 @@ def test_gradients(vocabulary):
             assert g[name].ravel()[i] == pytest.approx((up - down) / (2 * h), rel=1e-2, abs=1e-5), name
 
 
+@pytest.mark.parametrize("times", [1, 3000])
+def test_gradients_by_graph(vocabulary, times):
+    """The graph's gradients are those of numpy, where exponentials leave the range of floats too."""
+    rnd = np.random.default_rng(4)
+    p = lm.first_parameters(vocabulary)
+    p |= {"b": rnd.standard_normal(2 * lm.HALF).astype(np.float32), "q": p["q"] * times}
+    rows, classes = lm.stretches_of([rnd.integers(0, 9000, n) for n in (1, 31, 32, 33, 700, 5)], vocabulary)
+    for pick in (slice(None), slice(1), slice(len(rows) - 1, None)):
+        want, got = lm.gradients(p, rows[pick], classes[pick])[0], lm.quick_gradients(p, rows[pick], classes[pick])
+        assert want.keys() == got.keys()
+        for name in want:
+            assert got[name].dtype == np.float32 and np.abs(got[name] - want[name]).max() <= 1e-5 * np.abs(want[name]).max(), name
+
+
+def test_a_text_scores_alike_in_any_batch(vocabulary):
+    rnd = np.random.default_rng(6)
+    p = lm.first_parameters(vocabulary)
+    texts = [rnd.integers(0, 9000, n) for n in (1, 31, 32, 33, 64, 65, 200, 3000)]
+    alone = np.concatenate([lm.log_probabilities(p, vocabulary, [t]) for t in texts])
+    for batch in (1, 7, 64):
+        assert lm.log_probabilities(p, vocabulary, texts, batch).tolist() == alone.tolist()
+
+
 def plain_score(p, vocabulary, ids):
     """Each id from a loop over its own window."""
     rows = [lm.Vocabulary.START, *vocabulary.row_of[ids[:-1]]]
@@ -128,3 +152,12 @@ def test_words_come_back_from_ids():
     flat = [w for t in split for w in (*t, None)]
     assert np.diff(cut).tolist() == [len(t) + 1 for t in split] and len(flat) == len(hashes)
     assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_texts_encoded_at_once_are_those_encoded_by_word():
+    bodies = [None, b"", b" ", b"  A b\t\nB\x0bc\x0cd\re ", b"\xff\xfe A \xff\xfe", "Äß　x\xa0y \x85z\x1cq Ä".encode(), b"a\x00b \x00 it's, the the THE", b"x" * 5000]
+    reader = lm.Reader()
+    want = [b"".join(reader[w] for w in reader.words(b)) + reader.encoder.value([lm.END]) for b in bodies]
+    column = pa.array([b"before", *bodies, None], pa.binary())
+    assert reader.packed_texts(column[1:-1]) == want and [reader.packed(b) for b in bodies] == want
+    assert reader.packed_texts(column[:0]) == []
