@@ -1,4 +1,4 @@
-"""Language-model scores: causal self-attention over subword ids, in numpy.
+"""Language-model scores: causal self-attention over subword ids, by onnxruntime (``graphs``), or numpy where floats end.
 
 A text is its words (lower-cased A-Z) and one end. The model reads the library's subword ids of each word behind a space, then
 an end id. One attention layer with relative position biases predicts the class of the next id; ids are dealt to classes by
