@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import tables as T
 from ..operators.rangejoin import range_join
-from ..session import scratch_path
+from ..session import pinned, scratch_path
 from ..settings import ExportSetting
 from ..sources import files as FS
 from . import sqlapi as Q
@@ -44,20 +44,23 @@ def sql_export(spark, sf):
 
 
 @query("sql_execute", """
-  select c_mktsegment, count(*) as n from customer
-  where c_acctbal > 100 and c_custkey % 5 <> 0 and c_mktsegment not in ('BUILDING', 'MACHINERY') and c_custkey not between 20 and 40
-    and c_custkey % 7 not in (2, 3) and not (c_custkey % 11 = 4) group by 1""")
+  select c_mktsegment, count(*) as n, count(*) filter (where c_mktsegment not in ('BUILDING', 'MACHINERY') and (c_custkey is null
+    or c_custkey % 5 <> 0 and c_custkey not between 20 and 40 and c_custkey % 7 not in (2, 3) and not (c_custkey % 11 = 4))) as kept
+  from customer where c_acctbal > 100 group by 1""")
 def sql_execute(spark, sf):
     _views(spark, sf, "customer")
     name = _new_table(spark, "execute", "c_custkey bigint, c_mktsegment string")
     added = Q.sql_execute(spark, f"-- all that are in credit\nINSERT INTO {name} SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 100")
+    every = pinned(spark.table(name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "executed")
     gone = sum(Q.sql_execute(spark, f"DELETE FROM {name} {where}") for where in (
         "WHERE c_custkey % 5 = 0", "AS t WHERE t.c_mktsegment IN ('BUILDING', 'MACHINERY')", "WHERE c_custkey BETWEEN 20 AND 40",
         "WHERE c_custkey % 7 NOT IN (0, 1, 4, 5, 6) /* that is 2, 3 */"))
     blank = Q.sql_execute(spark, f"UPDATE {name} SET c_mktsegment = NULL WHERE c_custkey % 11 = 4")
     gone += Q.sql_execute(spark, f"DELETE FROM {name} WHERE c_mktsegment IS NULL")
-    kept = spark.table(name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    return kept.where(F.lit(added - gone == spark.table(name).count() and blank <= gone))
+    left = spark.table(name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("kept"))
+    rows = every.alias("e").join(left.alias("k"), F.col("e.c_mktsegment").eqNullSafe(F.col("k.c_mktsegment")), "left").select(
+        "e.c_mktsegment", "n", F.coalesce("kept", F.lit(0).cast("bigint")).alias("kept"))
+    return rows.where(F.lit(added - gone == spark.table(name).count() and blank <= gone))
 
 
 @query("sql_merge", """

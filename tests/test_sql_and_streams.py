@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime
 
+import duckdb
 import pytest
 
 from haulmark.plans import sqlapi as Q
+from haulmark.plans.catalog import QUERIES, SQL
 from haulmark.operators.export import export_delimited
 from haulmark.schema import target
 from haulmark.settings import ExportSetting, LoadSetting
@@ -122,3 +124,17 @@ def test_stream_over_its_limit_fails(spark, tmp_path):
 def test_script_transform(spark):
     out = script_transform(spark.range(5), "sed s/^/n/", "x string")
     assert sorted(r.x for r in out.collect()) == [f"n{i}" for i in range(5)]
+
+
+def test_execute_query_counts_every_segment(spark, tmp_path):
+    data = [(i, segment, float(i % 9 * 100 - 150)) for i in (*range(1, 400), 7, 7) for segment in ("BUILDING", "FURNITURE", None)]
+    data += [(None, "FURNITURE", 500.0), (None, "MACHINERY", 500.0), (35, "HOUSEHOLD", 500.0)]
+    spark.createDataFrame(data, "c_custkey bigint, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    rich = [(k, s) for k, s, balance in data if balance > 100]
+    kept = [s for k, s in rich if s == "FURNITURE" and (k is None or k % 5 and not 20 <= k <= 40 and k % 7 not in (2, 3) and k % 11 != 4)]
+    every = [s for _, s in rich]
+    want = {(s, every.count(s), kept.count(s)) for s in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", None)}
+    got = QUERIES["sql_execute"](spark, str(tmp_path)).select("c_mktsegment", "n", "kept")
+    assert set(map(tuple, got.collect())) == want and got.count() == 5
+    sql = SQL["sql_execute"].replace("from customer", f"from read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert set(duckdb.connect().execute(f"select c_mktsegment, n, kept from ({sql})").fetchall()) == want
