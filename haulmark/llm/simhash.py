@@ -114,7 +114,8 @@ def near_links(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS, cr
     stars = led.where("led <> 0").select(
         F.col("fp").alias("a"), F.explode(F.filter("leaders", lambda x: _near(x, F.col("fp"), radius))).alias("b")).where("a <> b")
     slim = led.drop("leaders")
-    x, y = slim.alias("x"), slim.drop("before").alias("y")
+    # Spark takes rows listed under many keys for as few as the fingerprints, and would broadcast them all.
+    x, y = slim.alias("x"), slim.drop("before").alias("y").hint("merge")
     close = [F.abs(F.col(f"x.p{i}").cast("int") - F.col(f"y.p{i}").cast("int")) <= radius for i in range(pivots)]
     apart = F.col("x.led").bitwiseAND(F.col("y.led")) == 0
     first = F.forall("x.before", lambda m: F.col("x.fp").bitwiseXOR(F.col("y.fp")).bitwiseAND(m) != 0)

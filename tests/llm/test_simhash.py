@@ -83,6 +83,17 @@ def test_crowded_groups_lose_no_connection(spark, loose):
     assert links <= 15 * simhash.LEADERS * len(set(prints))  # not their square
 
 
+def test_listed_fingerprints_are_not_broadcast(spark):
+    """Each is listed under 15 keys; sized as one row, too many of them would fit into a broadcast."""
+    rnd = random.Random(1)
+    prints = [simhash.signed(rnd.getrandbits(64)) for _ in range(2_000)]
+    prints += [p ^ 1 for p in prints[:5]]
+    found = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    assert {frozenset(r) for r in found.collect()} == {frozenset((p, p ^ 1)) for p in prints[:5]}
+    meets = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "x.before" not in x and "bit_count" in x]
+    assert meets and all("SortMergeJoin" in x for x in meets), meets
+
+
 def test_bands_grow_with_the_corpus():
     assert [simhash.bands_for(n) for n in (0, 10**8, 10**9, 5 * 10**10)] == [6, 6, 7, 8]
     assert [len(simhash._keys(b, b - 4)) for b in (6, 7, 8)] == [15, 35, 70]
