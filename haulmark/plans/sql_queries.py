@@ -210,8 +210,22 @@ def join_validity(spark, sf):
         "p_partkey", "p_brand", "date_add(date'1995-01-01', cast(p_partkey % 1500 as int)) as valid_from",
         "date_add(date'1995-01-01', cast(p_partkey % 1500 + p_size as int)) as valid_to")
     orders = table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderdate as date) as day")
-    met = range_join(orders, parts, "day", "valid_from", "valid_to", closed="[]")
-    return met.groupBy("p_brand").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("o_orderkey").alias("distinct_orders"), F.sum("p_partkey").alias("parts"))
+    # All orders of a day meet the same parts, all parts of a span the same days, so days meet spans and their totals are
+    # multiplied: the pairs of rows grow with the square of the tables. A key of several days is counted once a brand apart.
+    n = F.count(F.lit(1))
+    keyed = orders.where("day is not null and o_orderkey is not null")
+    ends = keyed.groupBy("o_orderkey").agg(F.min("day").alias("day"), F.max("day").alias("last"))
+    several = keyed.join(ends.where("day <> last").select("o_orderkey"), "o_orderkey", "left_semi").distinct()
+    single = ends.where("day = last").groupBy("day").agg(n.alias("single"))
+    days = orders.groupBy("day").agg(n.alias("n_orders")).join(single, "day", "left")
+    spans = parts.groupBy("p_brand", "valid_from", "valid_to").agg(n.alias("n_parts"), F.sum("p_partkey").alias("keys"))
+    met = pinned(range_join(days, spans, "day", "valid_from", "valid_to", closed="[]").groupBy("p_brand", "day", "n_orders", "single").agg(
+        F.sum("n_parts").alias("n_parts"), F.sum("keys").alias("keys")), "validity")
+    again = several.join(met.select("p_brand", "day"), "day").groupBy("p_brand").agg(F.countDistinct("o_orderkey").alias("several"))
+    totals = met.groupBy("p_brand").agg(F.sum(F.col("n_orders") * F.col("n_parts")).alias("orders"),
+                                        F.coalesce(F.sum("single"), F.lit(0)).alias("single"), F.sum(F.col("n_orders") * F.col("keys")).alias("parts"))
+    return totals.alias("t").join(again.alias("a"), F.col("t.p_brand").eqNullSafe(F.col("a.p_brand")), "left").select(
+        "t.p_brand", "orders", (F.col("single") + F.coalesce("several", F.lit(0))).alias("distinct_orders"), "parts")
 
 
 _sql("group_count", """

@@ -9,6 +9,7 @@ import pytest
 
 from haulmark.operators.checks import reconcile_contents, unequal_buckets
 from haulmark.operators.rangejoin import range_join
+from haulmark.plans import sql_queries
 
 
 @pytest.mark.parametrize("closed", ["[)", "[]", "(]", "()"])
@@ -93,3 +94,24 @@ def test_equal_tables_shuffle_bucket_sums_only(spark):
     for line in plan.splitlines():
         if "Exchange" in line:
             assert "_bucket" in line and "text" not in line
+
+
+def test_validity_meets_days_with_spans(spark, tmp_path, monkeypatch):
+    """Orders of one day and parts of one span are met at once; keys repeat, also on other days, and anything may be null."""
+    rnd, start = random.Random(3), datetime.datetime(1995, 1, 1)
+    orders = [(rnd.choice([None, *range(90)]) if i < 200 else i, rnd.choice([None, start + datetime.timedelta(rnd.randint(-5, 40), rnd.randint(0, 86_399))]) if i < 300
+               else start + datetime.timedelta(3)) for i in range(600)]
+    parts = [(rnd.choice([None, rnd.randint(0, 3), rnd.randint(1500, 1520)]), rnd.choice([None, "a", "b", "c"]), rnd.choice([None, 0, 2, 30])) for _ in range(80)]
+    parts += [(2, "a", 5)] * 200
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = {}
+    for brand, key, part in ((b, o, k) for o, at in orders if at for k, b, size in parts
+                             if k is not None and size is not None and k % 1500 <= (at - start).days <= k % 1500 + size):
+        pairs.setdefault(brand, []).append((key, part))
+    want = {(b, len(x), len({k for k, _ in x} - {None}), sum(p for _, p in x)) for b, x in pairs.items()}
+    sizes = []
+    monkeypatch.setattr(sql_queries, "range_join", lambda *a, **b: (found := range_join(*a, **b), sizes.append(found.count()))[0])
+    got = sql_queries.join_validity(spark, str(tmp_path))
+    assert got.columns == ["p_brand", "orders", "distinct_orders", "parts"] and set(map(tuple, got.collect())) == want
+    assert sum(n for _, n, _, _ in want) > 60_000 and sizes[0] < 3_000
