@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from haulmark.llm import decontaminate, language, token_files
+from haulmark.llm import decontaminate, language, simhash, token_files
 from haulmark.llm.bpe import tokenizer_path
 
 from test_mixing import rounds
@@ -119,3 +119,12 @@ def test_stages_hand_over_texts_in_batches_of_bounded_bytes(spark, tmp_path):
         assert back.count() == 1_500 and back.select("n_tokens", "ids_crc32").distinct().count() == 1
     finally:
         spark.conf.unset(name) if kept is None else spark.conf.set(name, kept)
+
+
+def test_near_duplicates_broadcast_no_listed_fingerprints(spark, docs, monkeypatch):
+    seen, real = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    assert corpus_pipeline.near_duplicate_stage(spark, docs, "").count()
+    seen[0].collect()
+    meets = [x for x in seen[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "bit_count" in x]
+    assert meets and all("SortMergeJoin" in x for x in meets), meets
